@@ -12,9 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = (
-    "dedup",
-)
+_MODULES = ("dedup", "scalars",)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

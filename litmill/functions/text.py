@@ -116,11 +116,9 @@ def first_author(authors_text: Column) -> Column:
 
 
 def person_name(collective: Column, given: Column, family: Column, initials: Column) -> Column:
-    """Collective name, else given and family name, else initials and family name."""
-    g, f, i = single_line(given), single_line(family), single_line(initials)
-    return F.coalesce(
-        single_line(collective), single_line(F.concat_ws(" ", F.coalesce(g, i), f))
-    )
+    """Collective name, else given and family name, else initials."""
+    full = F.concat_ws(" ", single_line(given), single_line(family))
+    return F.coalesce(single_line(collective), null_if_empty(full), single_line(initials))
 
 
 def embedding_text(title: Column, keywords: Column, abstract: Column, limit: int = 12_000) -> Column:
