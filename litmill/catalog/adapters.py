@@ -39,6 +39,7 @@ def duck(sql: str) -> str:
 
 def spark_sql(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
     """Run a shared SQL text over the given frames."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for name in views:
         sql = re.sub(rf"\b(from|join)\s+{name}\b", rf"\1 {{{name}}}", sql)
     return spark.sql(_words(sql, SPARK_WORDS), **views)

@@ -68,6 +68,22 @@ def multi_line(c: Column) -> Column:
     return null_if_empty(F.array_join(lines, "\n"))
 
 
+def first_of_each(values: Column, clean, key) -> Column:
+    """Cleaned list items, the first of each key, blank keys left out; order kept.
+
+    Keys are worked out once per item; only they are compared afterwards.
+    """
+    kind = "array<struct<k:string,v:string>>"
+    items = F.transform(values, lambda x: F.struct(key(x).alias("k"), clean(x).alias("v")))
+
+    def add(kept: Column, x: Column) -> Column:
+        skip = (x["k"] == "") | x["k"].isNull() | F.exists(kept, lambda y: y["k"] == x["k"])
+        return F.when(skip, kept).otherwise(F.concat(kept, F.array(x))).cast(kind)
+
+    kept = F.aggregate(items, F.array().cast(kind), add)
+    return F.transform(kept, lambda x: x["v"])
+
+
 def doi(c: Column) -> Column:
     s = collapse(c)
     s = F.regexp_replace(s, r"^(?i)https?://(?:dx\.)?doi\.org/", "")

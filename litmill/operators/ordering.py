@@ -132,6 +132,4 @@ def latest(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
 
 def distinct_terms(values: Column) -> Column:
     """Array without blank and repeated terms (match-text rule), order kept."""
-    cleaned = F.filter(F.transform(values, text.strip), lambda x: text.match_text(x) != "")
-    keys = F.transform(cleaned, text.match_text)
-    return F.filter(cleaned, lambda x, i: F.array_position(keys, text.match_text(x)) == i + 1)
+    return text.first_of_each(values, text.strip, text.match_text)

@@ -130,7 +130,7 @@ def contribution_evidence_issues(df: DataFrame) -> DataFrame:
     return df.withColumn(
         "issues",
         codes(
-            (nothing & ((F.col("cited") > 0) | (F.col("overlaps") == 0)), "none_needs_overlap_only"),
+            (nothing & ((F.col("cited") > 0) | (F.col("overlap_count") == 0)), "none_needs_overlap_only"),
             (~nothing & (F.col("cited") == 0), "evidence_required"),
         ),
     )

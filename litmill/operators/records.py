@@ -32,9 +32,7 @@ CLOSED_CODES = ("s", "sub", "subscription")
 
 def distinct_texts(c: Column) -> Column:
     """List of single-line texts without blanks and repeats (case-insensitive), order kept."""
-    cleaned = F.filter(F.transform(c, text.collapse), lambda x: x != "")
-    keys = F.transform(cleaned, text.fold)
-    kept = F.filter(cleaned, lambda x, i: F.array_position(keys, text.fold(x)) == i + 1)
+    kept = text.first_of_each(c, text.collapse, text.list_key)
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 

@@ -51,11 +51,14 @@ def has_phrase(body: Column, terms: Sequence[str]) -> Column:
 def word_runs(c: Column, lengths: Sequence[int]) -> Column:
     """Distinct runs of 1..n words of a normalised text, for the given lengths."""
     words = F.split(c, " ")
-    parts = []
-    for n in sorted(set(lengths)):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        runs = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        parts.append(F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>")))
+    parts, run = [], words
+    for n in range(1, max(lengths) + 1):
+        if n > 1:
+            # Pair each run with the word after it; the padding of the last ones is null.
+            after = F.slice(words, F.lit(n), F.size(words))
+            run = F.array_compact(F.zip_with(run, after, lambda a, b: F.concat(a, F.lit(" "), b)))
+        if n in lengths:
+            parts.append(run)
     return F.array_distinct(F.concat(*parts))
 
 
