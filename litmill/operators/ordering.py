@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from litmill import scale
 from litmill.functions import text
@@ -98,12 +99,36 @@ def next_sequence(store: DataFrame, new: DataFrame, key: str, order: Sequence[Co
     ).drop("_last", "_rn")
 
 
-def stage_changes(df: DataFrame, key: str, order: Sequence[str], stage: str) -> DataFrame:
-    """Rows whose stage differs from the previous row of their key."""
-    from pyspark.sql import Window as W
+def stage_changes(
+    df: DataFrame, key: str, ts: str, tie: str, stage: str, hot_rows: int = scale.HOT_ROWS
+) -> DataFrame:
+    """Rows whose stage differs from the previous row of their key (order: ts, then tie).
 
-    before = F.lag(stage).over(W.partitionBy(key).orderBy(*order))
-    rows = df.withColumn("previous", before)
+    Keys with too many rows for one task are cut into slices of time.  Inside a
+    slice the previous row is a lag; the first row of a slice takes the last
+    stage of the slices before it, of which there are SLICES per hot key.
+    """
+    hot = scale.hot_groups(df, [key], hot_rows)
+    order = [F.asc(ts), F.asc(tie)]
+    if hot is None:
+        rows = df.withColumn("previous", F.lag(stage).over(W.partitionBy(key).orderBy(*order)))
+        return rows.filter(F.col("previous").isNull() | (F.col("previous") != F.col(stage)))
+    sliced, _ = scale.sliced(df, [key], F.unix_micros(F.col(ts).cast("timestamp")), hot)
+    own = W.partitionBy(key, "_slice").orderBy(*order)
+    lasts = sliced.groupBy(key, "_slice").agg(
+        F.max_by(stage, F.struct(ts, tie)).alias("_last")
+    )
+    before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = scale.stage(
+        lasts.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last"),
+        "carried",
+    )
+    rows = sliced.withColumn("_lag", F.lag(stage).over(own)).withColumn(
+        "_first", F.row_number().over(own) == 1
+    )
+    rows = rows.join(carried, [key, "_slice"])
+    rows = rows.withColumn("previous", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
+    rows = rows.drop("_slice", "_carry", "_lag", "_first")
     return rows.filter(F.col("previous").isNull() | (F.col("previous") != F.col(stage)))
 
 

@@ -101,6 +101,31 @@ def lookup(
     return cold.unionByName(warm)
 
 
+def sliced(
+    df: DataFrame, keys: Sequence[str], split: Column, hot: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """All rows with a ``_slice``: 0 for ordinary keys, 0..SLICES-1 by ``split`` for hot keys.
+
+    Null split values go to the last slice, so they must sort last.
+    """
+    keys = list(keys)
+    hot = stage(hot, "hot-keys")
+    frame = df.withColumn("_x", split.cast("double"))
+    warm = frame.join(F.broadcast(hot), keys, "left_semi")
+    cuts = [i / SLICES for i in range(1, SLICES)]
+    borders = stage(
+        warm.groupBy(*keys).agg(F.percentile_approx("_x", cuts, BORDER_ACCURACY).alias("_cuts")),
+        "slice-borders",
+    )
+    place = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
+    # At most MAX_HOT_KEYS border lists, so the side is bounded.
+    out = frame.join(F.broadcast(borders), keys, "left").withColumn(
+        "_slice",
+        F.when(F.col("_cuts").isNull(), 0).when(F.col("_x").isNull(), SLICES).otherwise(place),
+    )
+    return out.drop("_cuts", "_x"), borders
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
@@ -134,33 +159,12 @@ def running_sum(
         out = frame.withColumn(name, F.sum("_v").over(window(group_keys)))
         return out.drop("_v", "_all")
 
-    hot = stage(hot, "hot-keys")
     split = F.col(split_on) if isinstance(split_on, str) else split_on
-    frame = frame.withColumn("_x", split.cast("double"))
-    cold = frame.join(F.broadcast(hot), group_keys, "left_anti")
-    cold = cold.withColumn(name, F.sum("_v").over(window(group_keys))).drop("_v", "_all", "_x")
-
-    warm = frame.join(F.broadcast(hot), group_keys, "left_semi")
-    cuts = [i / SLICES for i in range(1, SLICES)]
-    borders = stage(
-        warm.groupBy(*group_keys).agg(
-            F.percentile_approx("_x", cuts, BORDER_ACCURACY).alias("_cuts")
-        ),
-        "slice-borders",
-    )
-    warm = warm.join(F.broadcast(borders), group_keys).withColumn(
-        "_slice",
-        F.coalesce(
-            F.size(F.filter("_cuts", lambda c: c < F.col("_x"))), F.lit(SLICES)
-        ),
-    )
-    # Null split values sort last in both directions here.
-    rank = (
-        F.when(F.col("_x").isNull(), F.lit(SLICES)).otherwise(F.lit(SLICES - 1) - F.col("_slice"))
-        if descending
-        else F.col("_slice")
-    )
-    warm = warm.withColumn("_slice", rank).drop("_cuts")
+    warm, _ = sliced(frame, group_keys, split, hot)
+    if descending:
+        # Null split values keep the last slice in both directions.
+        back = F.when(F.col("_slice") < SLICES, F.lit(SLICES - 1) - F.col("_slice"))
+        warm = warm.withColumn("_slice", F.coalesce(back, F.lit(SLICES)))
     before = W.partitionBy(*group_keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = stage(
         warm.groupBy(*group_keys, "_slice")
@@ -171,11 +175,11 @@ def running_sum(
     )
     warm = (
         warm.withColumn(name, F.sum("_v").over(window([*group_keys, "_slice"])))
-        .join(F.broadcast(offsets), [*group_keys, "_slice"])
+        .join(offsets, [*group_keys, "_slice"])
         .withColumn(name, F.col(name) + F.col("_before"))
-        .drop("_v", "_all", "_x", "_slice", "_before")
+        .drop("_v", "_all", "_slice", "_before")
     )
-    return cold.unionByName(warm)
+    return warm
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
