@@ -61,7 +61,7 @@ def _sentence_bounds(value: str, guard: bool) -> list[int]:
 
     start = 0
     for end in re.finditer(SENTENCE_END, value):
-        if guard and value[: end.start()].casefold().endswith(ABBREVIATIONS):
+        if guard and value[max(start, end.start() - 12) : end.start()].casefold().endswith(ABBREVIATIONS):
             continue
         if value[start : end.start()].strip():
             close(start, end.start())
