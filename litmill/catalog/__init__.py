@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("dedup", "scalars", "rules", "quality", "joins", "aggregates", "windows", "ranking", "streams", "hooks",)
+_MODULES = ("dedup", "scalars", "rules", "quality", "joins", "aggregates", "windows", "ranking", "streams", "hooks", "scans",)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -538,7 +538,7 @@ def scan_preprint_json(spark: SparkSession, path: str, run_id: str) -> tuple[Dat
     server = F.col("requested_server")
     names = F.transform(
         F.split(F.replace(F.coalesce(one(F.col("c.authors")), F.lit("")), F.lit("|"), F.lit(";")), ";"),
-        F.trim,
+        lambda n: F.trim(n),
     )
     names = F.filter(names, lambda n: n != "")
     day = one(F.col("c.date"))
@@ -571,7 +571,7 @@ def scan_preprint_json(spark: SparkSession, path: str, run_id: str) -> tuple[Dat
         doi.alias("doi"),
         one(F.col("c.title")).alias("title"),
         one(F.col("c.abstract")).alias("abstract"),
-        F.transform(names, _author).alias("authors"),
+        F.transform(names, lambda n: _author(n)).alias("authors"),
         F.get(names, F.lit(0)).alias("first_author"),
         server.alias("journal_title"),
         day.alias("publication_date"),
@@ -685,17 +685,24 @@ def scan_id_crosswalk(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_questions(
-    spark: SparkSession, path: str, strict: bool = True, required: Sequence[str] = ("query", "expected_intent")
+    spark: SparkSession,
+    path: str,
+    strict: bool = True,
+    required: Sequence[str] = ("query", "expected_intent"),
+    multi_line: bool = True,
 ) -> DataFrame:
     """Test questions from JSON; blank or repeated ids and blank texts are issues (or raise)."""
     from litmill.operators.quality import codes, demand
 
-    raw = spark.read.option("multiLine", "true").schema(
-        "id string, query string, expected_intent string").json(path)
+    raw = (
+        spark.read.option("multiLine", str(multi_line).lower())
+        .schema("id string, query string, expected_intent string")
+        .json(path)
+    )
     if strict and not raw.limit(1).count():
         raise ValueError("the question set is empty")
     counts = raw.groupBy("id").agg(F.count("*").alias("_n"))
-    rows = raw.join(counts, F.col("id").eqNullSafe(counts["id"]), "left").drop(counts["id"])
+    rows = raw.join(counts, "id", "left")
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     rows = rows.withColumn(
         "issues",
