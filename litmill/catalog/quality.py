@@ -228,7 +228,7 @@ def batch_eligibility(spark, sf_dir):
 @query(
     "a15_quality_checks_summary",
     f"""with {_DUCK_CHECK} select task_id, count(*) filter (where class = 'eligible') as eligible, count(*) filter (where class = 'failed') as failed, count(*) filter (where class = 'pending') as pending,
- count(*) filter (where class = 'invalid') as invalid, coalesce(sum(article_count) filter (where class = 'eligible'), 0) as eligible_articles, 3 * count(*) filter (where class = 'eligible') as planned_calls,
+ count(*) filter (where class = 'invalid') as invalid, cast(coalesce(sum(article_count) filter (where class = 'eligible'), 0) as bigint) as eligible_articles, 3 * count(*) filter (where class = 'eligible') as planned_calls,
  3 * count(*) filter (where class = 'eligible') <= 6 as within_budget from classed group by 1""",
 )
 def quality_checks_summary(spark, sf_dir):

@@ -130,7 +130,7 @@ def upsert_articles(
     rows = store.join(offers, "article_id", "left")
     for f in fields:
         empty = F.col(f).isNull() | (F.col(f).cast("string") == "")
-        rows = rows.withColumn(f, F.when(empty, F.col(f"_n_{f}")).otherwise(F.col(f)))
+        rows = rows.withColumn(f, F.coalesce(F.when(empty, F.col(f"_n_{f}")), F.col(f)))
     rows = rows.withColumn(
         "is_retracted", F.col("is_retracted") | F.coalesce("_retracted", F.lit(False))
     ).select(*store.columns)
