@@ -21,8 +21,13 @@ TABLES = (
 ).split()
 
 
+# Tables with long texts, whose rows are costly to work on.
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return scale.spread(df) if name in TEXT_TABLES else df
 
 
 SPARK_WORDS = {"ARR": "array", "DIV": "div", "EMPTY_LIST": "cast(array() as array<string>)"}

@@ -197,7 +197,7 @@ _DUCK_CHECK = f"""b as ({_BATCHES}), lines as ({_LINES}), arts as ({_ARTS}), sco
   bool_or(scored is not null and nos > 0) as bad, bool_or(abs(low - 10) > 1e-9 or abs(high - 10) > 1e-9) as off from rws group by 1),
  flags as (select b.*, p.n, coalesce(rep, false) as rep, coalesce(lost, false) as lost, coalesce(a1, false) as a1, coalesce(s1, false) as s1, coalesce(s3, false) as s3, coalesce(bad, false) as bad, coalesce(off, false) as off,
   study_type <> 'mystery' as kt from b left join per p on b.batch_id = p.batch_id),
- checked as (select batch_id, task_id, study_type, coalesce(n, 0) as article_count, status, case when status in ('failed', 'pending') then '' else concat_ws(',', case when status <> 'completed' then 'unsupported_status' end,
+ checked as (select batch_id, task_id, study_type, cast(coalesce(n, 0) as bigint) as article_count, status, case when status in ('failed', 'pending') then '' else concat_ws(',', case when status <> 'completed' then 'unsupported_status' end,
  case when n is null then 'empty_article_ids' end, case when rep then 'duplicate_article_ids' end, case when lost then 'missing_articles' end, case when not kt then 'unknown_study_type' end,
  case when not has_assessment then 'missing_assessment_payload' end, case when not has_scores then 'missing_score_payload' end,
  case when has_assessment and kt and assessment_task_id <> task_id then 'task_id_mismatch' end, case when has_assessment and kt and assessment_group_id <> group_id then 'group_id_mismatch' end,

@@ -8,7 +8,6 @@ from litmill.catalog import adapters as A
 from litmill.catalog import query
 from litmill.operators import audit, portfolio, quality, rank, records, routing, search
 from litmill.operators.rubrics import STUDY_TYPES
-from litmill.sources import sinks  # noqa: F401
 
 # Study design inputs: metadata markers and method phrases by document id.
 _MARKS = [m for m, _ in routing.METADATA_MARKERS]
@@ -156,9 +155,9 @@ def validate_records(spark, sf_dir):
 @query(
     "p12_normalize_with_quarantine",
     f"""with {A.DUCK_REC}, f as ({_FAULTY}), c as (select *, {_Q_ISSUES} as issues from f)
- select search_run_id, sum(case when issues = '' then 1 else 0 end) as retrieved_count, sum(case when issues <> '' then 1 else 0 end) as invalid_count,
+ select search_run_id, count(*) filter (where issues = '') as retrieved_count, count(*) filter (where issues <> '') as invalid_count,
  case when sum(case when issues <> '' then 1 else 0 end) > 0 then 'partial_success' else 'success_with_results' end as status,
- sum(case when issues = '' then record_id else 0 end) as good_ids from c group by 1""",
+ cast(sum(case when issues = '' then record_id else 0 end) as bigint) as good_ids from c group by 1""",
 )
 def normalize_with_quarantine(spark, sf_dir):
     good, _, runs = records.split_quarantine(_faulty(spark, sf_dir))
@@ -472,7 +471,7 @@ def table_rules(spark, sf_dir):
 
 @query(
     "u01_union_branches",
-    """select source, lang, count(*) as n, sum(doc_id) as ids from (select doc_id, source, lang from documents where doc_id % 2 = 0
+    """select source, lang, count(*) as n, cast(sum(doc_id) as bigint) as ids from (select doc_id, source, lang from documents where doc_id % 2 = 0
  union all select doc_id, source, null from documents where doc_id % 3 = 0) group by 1, 2""",
 )
 def union_branches(spark, sf_dir):

@@ -16,6 +16,11 @@ NON_WORD_OR_SPACE = r"[^\p{L}\p{N}_]+"
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, even if the branches of body use it often."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def null_if_empty(c: Column) -> Column:
     return F.when(c != "", c)
 

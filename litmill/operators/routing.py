@@ -69,15 +69,22 @@ def infer_design(
         lambda x: F.coalesce(text.collapse(x), F.lit("")),
     )
     meta = F.lower(F.array_join(parts, " "))
-    body = F.lower(F.coalesce(abstract, F.lit("")))
-    from_metadata = [F.when(meta.contains(m), F.lit(v)) for m, v in METADATA_MARKERS]
-    is_meta = body.rlike(META_PHRASE) if strict_meta else body.contains("meta")
-    review = F.when(
-        body.rlike(REVIEW_PHRASE),
-        F.when(is_meta, F.lit("meta_analysis")).otherwise(F.lit("systematic_review")),
+
+    def by_metadata(m: Column) -> Column:
+        return F.coalesce(*[F.when(m.contains(mark), F.lit(v)) for mark, v in METADATA_MARKERS])
+
+    def by_abstract(body: Column) -> Column:
+        is_meta = body.rlike(META_PHRASE) if strict_meta else body.contains("meta")
+        review = F.when(
+            body.rlike(REVIEW_PHRASE),
+            F.when(is_meta, F.lit("meta_analysis")).otherwise(F.lit("systematic_review")),
+        )
+        return F.coalesce(review, *[F.when(body.rlike(p), F.lit(v)) for p, v in ABSTRACT_PHRASES])
+
+    return F.coalesce(
+        text.let(meta, by_metadata),
+        text.let(F.lower(F.coalesce(abstract, F.lit(""))), by_abstract),
     )
-    from_abstract = [F.when(body.rlike(p), F.lit(v)) for p, v in ABSTRACT_PHRASES]
-    return F.coalesce(*from_metadata, review, *from_abstract)
 
 
 def group_token(c: Column) -> Column:
@@ -90,27 +97,34 @@ def study_group(
     types: Column, design: Column, abstract: Column, strict_meta: bool = False
 ) -> Column:
     """Assessment type of a record: inferred, registered as is, by alias, or ``unknown``."""
-    own = F.coalesce(group_token(design), F.lit(""))
     listed = F.coalesce(types, F.array().cast("array<string>"))
-    tokens = F.array_join(
-        F.transform(listed, lambda x: F.coalesce(group_token(x), F.lit(""))), "_"
-    )
-    joined = F.concat_ws("_", text.null_if_empty(own), text.null_if_empty(tokens))
-    alias = [F.when(joined.contains(n), F.lit(v)) for n, v in ALIASES]
-    cross = F.when(
-        joined.contains("cross_sectional"),
-        F.when(joined.contains("prevalence"), F.lit("cross_sectional_prevalence")).otherwise(
-            F.lit("cross_sectional_analytical")
-        ),
-    )
-    return F.coalesce(
-        infer_design(listed, text.null_if_empty(own), abstract, strict_meta),
-        F.when(own.isin(*STUDY_TYPES), own),
-        *alias,
-        cross,
-        F.when(joined.contains("review"), F.lit("narrative_review")),
-        F.lit("unknown"),
-    )
+
+    def route(own: Column) -> Column:
+        tokens = F.array_join(
+            F.transform(listed, lambda x: F.coalesce(group_token(x), F.lit(""))), "_"
+        )
+        joined = F.concat_ws("_", text.null_if_empty(own), text.null_if_empty(tokens))
+        return F.coalesce(
+            infer_design(listed, text.null_if_empty(own), abstract, strict_meta),
+            F.when(own.isin(*STUDY_TYPES), own),
+            text.let(joined, by_alias),
+        )
+
+    def by_alias(joined: Column) -> Column:
+        cross = F.when(
+            joined.contains("cross_sectional"),
+            F.when(joined.contains("prevalence"), F.lit("cross_sectional_prevalence")).otherwise(
+                F.lit("cross_sectional_analytical")
+            ),
+        )
+        return F.coalesce(
+            *[F.when(joined.contains(n), F.lit(v)) for n, v in ALIASES],
+            cross,
+            F.when(joined.contains("review"), F.lit("narrative_review")),
+            F.lit("unknown"),
+        )
+
+    return text.let(F.coalesce(group_token(design), F.lit("")), route)
 
 
 def split_supported(df: DataFrame, by: str = "study_group") -> tuple[DataFrame, DataFrame]:

@@ -50,6 +50,18 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work on an input that comes in too few splits.
+
+    A table with at least as many splits as cores, as any large one, is returned
+    as it is and never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame (an upper bound unless statistics say better)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
