@@ -63,8 +63,11 @@ def key_array(with_authors: bool = False) -> Column:
 
 def identity_keys(records: DataFrame) -> DataFrame:
     """(record_id, kind, value): strong identifiers, or title+year+author if there is none."""
-    keys = F.explode(key_array("authors" in records.columns)).alias("k")
-    return records.select("record_id", keys).select("record_id", "k.kind", "k.value")
+    # The outer form does not test the array's size first, which would build it twice.
+    keys = F.explode_outer(key_array("authors" in records.columns)).alias("k")
+    return records.select("record_id", keys).filter("k is not null").select(
+        "record_id", "k.kind", "k.value"
+    )
 
 
 def _best(edges: DataFrame) -> DataFrame:
@@ -279,6 +282,32 @@ def _pack(items: DataFrame, by: str, value: str, name: str) -> DataFrame:
     )
 
 
+def _pack_texts(members: DataFrame, by: str, order: Column, names: list[str]) -> DataFrame:
+    """Several text lists united in one pass; one array column per list."""
+
+    def tagged(name: str) -> Column:
+        return F.transform(
+            F.coalesce(name, F.array().cast("array<string>")),
+            lambda x, i: F.struct(F.lit(name).alias("list"), i.alias("at"), x.alias("item")),
+        )
+
+    rows = members.select(
+        by, order.alias("_o"), F.explode(F.concat(*[tagged(n) for n in names])).alias("x")
+    ).withColumn("_key", text.identity_text(F.col("x.item")))
+    firsts = (
+        rows.filter("_key is not null")
+        .groupBy(by, F.col("x.list").alias("list"), "_key")
+        .agg(F.min(F.struct(F.struct("_o", "x.at").alias("o"), F.col("x.item").alias("v"))).alias("f"))
+    )
+    packed = [
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("list") == n, F.col("f")))), lambda x: x["v"]
+        ).alias(n)
+        for n in names
+    ]
+    return firsts.groupBy(by).agg(*packed)
+
+
 _FIRST_FILLED = (
     "doi", "pmid", "pmcid", "published_doi", "first_author", "journal_title",
     "journal_abbreviation", "issn", "electronic_issn", "publication_date", "study_design",
@@ -344,12 +373,11 @@ def merge_clusters(
     out = merged.join(identity, "canonical_id").join(abstracts, "_abstract_id", "left")
     out = out.drop("_abstract_id")
     if pack_lists:
-        for name in ("publication_types", "keywords"):
-            if name in have:
-                lists = _pack(union_texts(members, "cluster", order, name), "cluster", "item", name)
-                out = out.join(lists, "cluster", "left").withColumn(
-                    name, F.coalesce(name, F.array().cast("array<string>"))
-                )
+        names = [n for n in ("publication_types", "keywords") if n in have]
+        if names:
+            out = out.join(_pack_texts(members, "cluster", order, names), "cluster", "left")
+            for name in names:
+                out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
         if "full_text_resources" in have:
             res = _pack(
                 union_resources(members, "cluster", order), "cluster", "resource",

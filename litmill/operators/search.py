@@ -83,8 +83,9 @@ def phrase_match(
         docs.select(
             doc_key,
             F.lit(f).alias("field"),
-            F.explode(word_runs(F.col(f), lengths)).alias("term"),
-        )
+            # The outer form does not test the array's size first, which would build it twice.
+            F.explode_outer(word_runs(F.col(f), lengths)).alias("term"),
+        ).filter("term is not null")
         for f in fields
     ]
     runs = parts[0]

@@ -69,7 +69,9 @@ def with_spans(
 def span_rows(df: DataFrame, article: str, **kw) -> DataFrame:
     """Spans in long form, one row each."""
     made = with_spans(df, article, **kw)
-    return made.select(article, F.explode("spans").alias("s")).select(article, "s.*")
+    # The outer form does not test the array's size first, which would build it twice.
+    rows = made.select(article, F.explode_outer("spans").alias("s")).filter("s is not null")
+    return rows.select(article, "s.*")
 
 
 def backfill(articles: DataFrame, article: str = "article_id") -> DataFrame:
