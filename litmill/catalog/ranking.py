@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from litmill import scale
 from litmill.catalog import adapters as A
 from litmill.catalog import query
 from litmill.catalog.rules import DOC_TEXTS, DUCK_DESIGN, _TYPES, design, doc_texts
@@ -70,7 +71,8 @@ def _coarse(table, out):
 
 @query("l02_coarse_filter", f"with {DUCK_KW}, {_coarse('kw', 'c')} select article_id, keyword_score from c")
 def coarse_filter(spark, sf_dir):
-    return rank.coarse_filter(keyword_rows(spark, sf_dir)).select("article_id", "keyword_score")
+    rows = scale.stage(keyword_rows(spark, sf_dir), "scored")
+    return rank.coarse_filter(rows).select("article_id", "keyword_score")
 
 
 # The same with the upper bound out of reach, so that the whole table falls in the middle band.
@@ -79,8 +81,8 @@ _Q_MIDDLE = _coarse("kw", "c").replace("when total > 400 then place <= 200 ", ""
 
 @query("l02_coarse_filter_middle", f"with {DUCK_KW}, {_Q_MIDDLE} select article_id, keyword_score from c")
 def coarse_filter_middle(spark, sf_dir):
-    rows = rank.coarse_filter(keyword_rows(spark, sf_dir), high=10**12)
-    return rows.select("article_id", "keyword_score")
+    rows = scale.stage(keyword_rows(spark, sf_dir), "scored")
+    return rank.coarse_filter(rows, high=10**12).select("article_id", "keyword_score")
 
 
 DUCK_CAND = f"""{DUCK_KW}, q as (select embedding as e from embeddings where vec_id = 0), sem as (select k.*, round(list_cosine_similarity(cast(v.embedding as double[]), cast(q.e as double[])), 5) as cosine
@@ -88,13 +90,14 @@ DUCK_CAND = f"""{DUCK_KW}, q as (select embedding as e from embeddings where vec
 
 
 def candidates(spark, sf_dir):
+    """Scored candidates, written once: ranking and decision read them several times."""
     from litmill.functions.values import cosine_to
 
     e = A.table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id = 0").select("embedding").first()[0]
     rows = keyword_rows(spark, sf_dir).join(e.select(F.col("vec_id").alias("article_id"), "embedding"), "article_id")
     out = rank.candidate_score(rows, F.round(cosine_to(F.col("embedding"), q), 5)).drop("embedding")
-    return out.withColumn("candidate_score", F.round("candidate_score", 4))
+    return scale.stage(out.withColumn("candidate_score", F.round("candidate_score", 4)), "candidates")
 
 
 @query("a04_candidate_score", f"with {DUCK_CAND} select article_id, cosine, round(semantic_score, 4) as semantic_score, candidate_score from cand")
@@ -175,7 +178,6 @@ _TYPES_OF = "case canonical_id % 5 when 0 then 'Cohort Study' when 1 then 'Rando
 )
 def rank_corpus(spark, sf_dir):
     rec, _, clusters = A.resolved(spark, sf_dir)
-    from litmill import scale
     from litmill.operators.resolve import merge_clusters
 
     merged = scale.stage(
