@@ -20,6 +20,8 @@ REVIEW_PRIORITY = {"peer_reviewed": 2, "unknown": 1, "preprint": 0}
 STRONG_IDS = ("doi", "pmid", "pmcid")
 # Up to this many keys a cluster's id is the hash of its full sorted key list.
 FULL_ID_KEYS = 10_000
+# Up to this many distinct items a cluster's lists are also given as arrays.
+PACK_ITEMS = 10_000
 
 
 def _map(values: dict) -> Column:
@@ -272,9 +274,15 @@ def union_resources(members: DataFrame, by: str, order: Column) -> DataFrame:
     )
 
 
-def _pack(items: DataFrame, by: str, value: str, name: str) -> DataFrame:
+def _packable(items: DataFrame, by: str, limit: int) -> DataFrame:
+    """Items of the groups that are small enough to be gathered into an array."""
+    small = items.groupBy(by).agg(F.count("*").alias("_n")).filter(F.col("_n") <= limit).select(by)
+    return scale.lookup(items, small, [by], "left_semi")
+
+
+def _pack(items: DataFrame, by: str, value: str, name: str, limit: int) -> DataFrame:
     """Lists again, for the record contract: one array per group of distinct items."""
-    return items.groupBy(by).agg(
+    return _packable(items, by, limit).groupBy(by).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("item_order", F.col(value).alias("v")))),
             lambda x: x["v"],
@@ -282,7 +290,9 @@ def _pack(items: DataFrame, by: str, value: str, name: str) -> DataFrame:
     )
 
 
-def _pack_texts(members: DataFrame, by: str, order: Column, names: list[str]) -> DataFrame:
+def _pack_texts(
+    members: DataFrame, by: str, order: Column, names: list[str], limit: int
+) -> DataFrame:
     """Several text lists united in one pass; one array column per list."""
 
     def tagged(name: str) -> Column:
@@ -305,7 +315,7 @@ def _pack_texts(members: DataFrame, by: str, order: Column, names: list[str]) ->
         ).alias(n)
         for n in names
     ]
-    return firsts.groupBy(by).agg(*packed)
+    return _packable(firsts, by, limit).groupBy(by).agg(*packed)
 
 
 _FIRST_FILLED = (
@@ -316,10 +326,14 @@ _FIRST_FILLED = (
 
 
 def merge_clusters(
-    records: DataFrame, clusters: DataFrame, pack_lists: bool = True
+    records: DataFrame, clusters: DataFrame, pack_lists: bool = True, pack_items: int = PACK_ITEMS
 ) -> DataFrame:
     """One merged row per cluster.
 
+    Lists are united into arrays.  A cluster of more than ``pack_items`` distinct
+    list items has null arrays, as no task may gather them; ``union_texts`` and
+    ``union_resources`` give the whole lists of every cluster in long form.
+
     Thin fields are merged with map-side-combined aggregates.  Titles and
     abstracts stay out of that shuffle: only the winning record ids travel, and
     the texts join back by record id.  A preprint server is kept only when the
@@ -370,18 +384,27 @@ def merge_clusters(
         "search_run_id", "title", "normalized_title",
     )
     abstracts = records.select(F.col("record_id").alias("_abstract_id"), "abstract")
-    out = merged.join(identity, "canonical_id").join(abstracts, "_abstract_id", "left")
-    out = out.drop("_abstract_id")
+    # Without any abstract the canonical member's own (blank) one is looked up, so that
+    # no crowd of null keys meets in one task.
+    merged = merged.withColumn("_abstract_id", F.coalesce("_abstract_id", "canonical_id"))
+    out = merged.join(identity, "canonical_id").join(abstracts, "_abstract_id")
+    out = out.drop("_abstract_id").withColumn("abstract", text.null_if_empty(F.col("abstract")))
     if pack_lists:
         names = [n for n in ("publication_types", "keywords") if n in have]
         if names:
-            out = out.join(_pack_texts(members, "cluster", order, names), "cluster", "left")
+            counted = F.sum(sum((F.size(F.coalesce(n, F.array().cast("array<string>"))) for n in names), F.lit(0)))
+            given = members.groupBy("cluster").agg(counted.alias("_given"))
+            out = out.join(_pack_texts(members, "cluster", order, names, pack_items), "cluster", "left")
+            out = out.join(given, "cluster")
             for name in names:
-                out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+                # Nothing to list is an empty array; too much to gather stays null.
+                empty = F.when(F.col("_given") <= pack_items, F.array().cast("array<string>"))
+                out = out.withColumn(name, F.coalesce(F.col(name), empty))
+            out = out.drop("_given")
         if "full_text_resources" in have:
             res = _pack(
                 union_resources(members, "cluster", order), "cluster", "resource",
-                "full_text_resources",
+                "full_text_resources", pack_items,
             )
             out = out.join(res, "cluster", "left")
     return out

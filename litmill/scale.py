@@ -108,9 +108,17 @@ def lookup(
         return left.join(right, on, how)
     hot = stage(hot, "hot-keys")
     hot_right = stage(right.join(F.broadcast(hot), on, "left_semi"), "hot-right")
-    cold = left.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
-    warm = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_right), on, how)
-    return cold.unionByName(warm)
+    whole = left.dropna(subset=on)
+    cold = whole.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
+    warm = whole.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_right), on, how)
+    out = cold.unionByName(warm)
+    if how == "left":
+        # Rows with a null key match nothing; they skip the shuffle, where all would meet in one task.
+        null_key = F.lit(False)
+        for c in on:
+            null_key = null_key | F.col(c).isNull()
+        out = out.unionByName(left.filter(null_key), allowMissingColumns=True)
+    return out
 
 
 def sliced(
@@ -192,12 +200,3 @@ def running_sum(
         .drop("_v", "_all", "_slice", "_before")
     )
     return warm
-
-
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """One row per key, the least in the given order; combines map-side, so hot keys are cheap."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    )
-    return picked.select(*keys, "_row.*").select(*df.columns)

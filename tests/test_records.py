@@ -117,6 +117,16 @@ def test_merge_rules(spark):
     assert m["publication_types"] == ["REVIEW", "Trial"] and m["keywords"] == ["a", "b"]
 
 
+def test_lists_too_long_to_gather_stay_in_long_form(spark):
+    rows = [rec(i, doi="10.1/a", keywords=[f"k{i}"]) for i in range(6)] + [rec(9, doi="10.1/b", keywords=["x"])]
+    df, c, _ = clusters_of(spark, rows)
+    m = {r["cluster"]: r["keywords"] for r in resolve.merge_clusters(df, c, pack_items=4).collect()}
+    assert m == {0: None, 9: ["x"]}
+    members = resolve.assign(df, c)
+    longer = resolve.union_texts(members, "cluster", resolve.member_order(), "keywords").filter("cluster = 0")
+    assert [r["item"] for r in longer.orderBy("item_order").collect()] == [f"k{i}" for i in range(6)]
+
+
 def test_input_order_does_not_change_clusters(spark, sf):
     from litmill.catalog import adapters as A
 
