@@ -13,7 +13,24 @@ _STAGE = "case event_type when 'signup' then 'started' when 'purchase' then 'com
 _WORK = "case event_type when 'view' then 'processing' when 'click' then 'processing' when 'error' then 'failed' else 'completed' end"
 
 
-def events(spark, sf_dir):
+def stream_session(spark, rocksdb=False):
+    """Own session for a stream's settings; the caller's session is left as it is.
+
+    On a local master there is one state partition per core; a cluster keeps its
+    own setting.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    if rocksdb:
+        own.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    sc = spark.sparkContext
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    own.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism) if sc.master.startswith("local") else parts)
+    return own
+
+
+def events(spark, sf_dir, rocksdb=False):
+    spark = stream_session(spark, rocksdb)
     schema = T.StructType(
         [
             T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -61,24 +78,12 @@ def progress_stream(spark, sf_dir):
     return drained(jobs.progress(events(spark, sf_dir), "user_id", "event_type", KINDS), "complete")
 
 
-def with_rocksdb(spark):
-    """Session whose streams keep their state in RocksDB; the caller's session is left as it is."""
-    own = spark.newSession()
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
-    own.conf.set("spark.sql.session.timeZone", "UTC")
-    for name in ("spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
-        value = spark.conf.get(name, None)
-        if value is not None and name != "spark.checkpoint.dir":
-            own.conf.set(name, value)
-    return own
-
-
 @query(
     "t02_stage_change_stream",
     """with l as (select cast(user_id as varchar) as task, event_id, event_type as stage, lag(event_type) over (partition by user_id order by ts, event_id) as previous from events) select * from l where previous is null or previous <> stage""",
 )
 def stage_change_stream(spark, sf_dir):
-    e = events(with_rocksdb(spark), sf_dir).withColumn("task", F.col("user_id")).withColumnRenamed("event_type", "stage")
+    e = events(spark, sf_dir, rocksdb=True).withColumn("task", F.col("user_id")).withColumnRenamed("event_type", "stage")
     return drained(jobs.stage_changes(e), "append").select("task", "event_id", "stage", "previous")
 
 
@@ -116,7 +121,7 @@ def stale_work(spark, sf_dir):
  select item, attempts, case when attempts >= 30 then 'failed' else 'stale' end as status from p where last = 'processing' and epoch_ms((select max(ts) from e)) - epoch_ms(t) > 3600000""",
 )
 def stale_stream(spark, sf_dir):
-    e = events(with_rocksdb(spark), sf_dir).select(F.col("user_id").alias("item"), "event_id", "ts", F.expr(_WORK).alias("stage"))
+    e = events(spark, sf_dir, rocksdb=True).select(F.col("user_id").alias("item"), "event_id", "ts", F.expr(_WORK).alias("stage"))
     return drained(jobs.stale_stream(e, "item", 3_600_000, 30), "append").select("item", "attempts", "status")
 
 

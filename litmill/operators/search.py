@@ -68,17 +68,27 @@ def phrase_match(
     doc_key: str,
     fields: Sequence[str],
     max_words: int | None = None,
+    any_field: bool = False,
 ) -> DataFrame:
     """(doc, field, term columns): which normalised terms occur in which field of which document.
 
+    With ``any_field`` the field is left out and each (doc, term) comes once.
+
     The containment test becomes an equality join: each field gives its distinct
     word runs, only of the lengths that occur among the terms, and these join
     the terms.  ``terms`` needs a ``term`` column in match-text form.
     """
+    # Written once, the terms have a real size: Catalyst broadcasts them if it is small
+    # and then the word runs are not shuffled at all.
+    terms = scale.stage(terms, "terms")
     if max_words is None:
         top = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0]
         max_words = int(top or 1)
     lengths = range(1, max_words + 1)
+    if any_field:
+        both = F.array_distinct(F.concat(*[word_runs(F.col(f), lengths) for f in fields]))
+        runs = docs.select(doc_key, F.explode_outer(both).alias("term")).filter("term is not null")
+        return _meet(runs, terms, doc_key)
     parts = [
         docs.select(
             doc_key,
@@ -91,8 +101,15 @@ def phrase_match(
     runs = parts[0]
     for p in parts[1:]:
         runs = runs.unionByName(p)
-    # A frequent word may be a term: its runs are spread over SALTS tasks, and the
-    # (small) term side is repeated once per salt.
+    return _meet(runs, terms, doc_key)
+
+
+def _meet(runs: DataFrame, terms: DataFrame, doc_key: str) -> DataFrame:
+    """Join word runs with terms.
+
+    A frequent word may be a term: its runs are spread over SALTS tasks, and the
+    (small) term side is repeated once per salt.
+    """
     runs = runs.withColumn("_salt", F.pmod(F.xxhash64(doc_key), F.lit(SALTS)).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     return runs.join(terms.select("*", salts), ["term", "_salt"]).drop("_salt")
@@ -110,15 +127,15 @@ def concept_search(
         raise ValueError("mode is all or representative")
     if mode == "representative":
         plan = plan.groupBy("query_id", "group_id").agg(F.min_by("term", "term_order").alias("term"))
-    terms = plan.select("query_id", "group_id", "term").distinct()
     groups = plan.groupBy("query_id").agg(F.count_distinct("group_id").alias("groups"))
-    hits = phrase_match(docs, terms, doc_key, fields)
-    met = hits.groupBy("query_id", doc_key).agg(F.count_distinct("group_id").alias("met"))
-    return (
-        scale.lookup(met, groups, ["query_id"], "inner")
-        .filter("met = groups")
-        .select("query_id", doc_key)
+    # The number of groups travels with the terms, so the matches need no further join.
+    terms = plan.select("query_id", "group_id", "term").distinct().join(groups, "query_id")
+    hits = phrase_match(docs, terms, doc_key, fields, any_field=True)
+    # A query has a handful of groups, so their set is small.
+    met = hits.groupBy("query_id", doc_key).agg(
+        F.size(F.collect_set("group_id")).alias("met"), F.max("groups").alias("groups")
     )
+    return met.filter("met = groups").select("query_id", doc_key)
 
 
 def design_values(design: Column, types: Column, body: Column) -> Column:
