@@ -23,7 +23,8 @@ def _fill(ends: DataFrame, capacities: list[int], n_shards: int) -> list[list[in
         # Larger capacities never reach less far, so each end falls between two neighbouring reaches.
         reach = [a + c for a, c in zip(at, capacities)]
         near = ends.filter((F.col("end") > min(at)) & (F.col("end") <= reach[-1]))
-        below = F.size(F.filter(F.lit(reach), lambda r: r < F.col("end")))
+        steps = F.expr(f"array({', '.join(f'{r}L' for r in reach)})")
+        below = F.size(F.filter(steps, lambda r: r < F.col("end")))
         found = dict(near.groupBy(below.alias("slot")).agg(F.max("end")).collect())
         best = 0
         for i, a in enumerate(at):
