@@ -121,3 +121,52 @@ def list_array(lengths: Sequence[int] | np.ndarray, values: np.ndarray, kind: pa
 
 
 Batches = Iterator[pa.RecordBatch]
+
+
+class IdPool:
+    """Key to a list of ids, for frequent keys of a worker; a bounded table of its own, emptied when full."""
+
+    LIMIT = 700_000
+
+    def __init__(self, extra: int = 0) -> None:
+        self.extra = extra
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int64)
+        self.more = np.zeros((1 << 14, self.extra), np.int64)
+        self.n_ids = 0
+
+    @staticmethod
+    def _room(a: np.ndarray, need: int) -> np.ndarray:
+        if need <= len(a):
+            return a
+        out = np.zeros((max(need, 2 * len(a)), *a.shape[1:]), a.dtype)
+        out[: len(a)] = a
+        return out
+
+    def add(self, keys: list[str], lists: list[list[int]], more: list[tuple] | None = None) -> None:
+        n, size = len(self.at), np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))
+        self.ids = self._room(self.ids, self.n_ids + len(flat))
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        for name in ("start", "size", "more"):
+            setattr(self, name, self._room(getattr(self, name), n + len(keys)))
+        self.start[n : n + len(keys)] = self.n_ids + np.cumsum(size) - size
+        self.size[n : n + len(keys)] = size
+        if more is not None:
+            self.more[n : n + len(keys)] = more
+        self.n_ids += len(flat)
+        for i, k in enumerate(keys):
+            self.at[k] = n + i
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        """Ids of the rows, one after another."""
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return self.ids[:0]
+        return self.ids[np.repeat(self.start[rows] - (ends - size), size) + np.arange(ends[-1])]
