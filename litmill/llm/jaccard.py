@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.llm.common import Batches, WordHashes, find_words, mixed, stage, table, texts, window_hashes, worker_cache
@@ -60,7 +60,7 @@ def digest(g: np.ndarray) -> str:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, gram: int = GRAM) -> DataFrame:
-    """(doc_id, class_key, bands) of each row; class_key is null for a text without words."""
+    """(doc_id, row_key, class_key, bands) of each row; class_key is null for a text without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Batches) -> Batches:
@@ -71,11 +71,14 @@ def sketches(docs: DataFrame, bands: int, rows: int, gram: int = GRAM) -> DataFr
                 keys.append(digest(g) or None)
                 bands_.append(signature(g, bands, rows).view(np.int64) if len(g) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(bands_, pa.list_(pa.int64()))],
-                names=["doc_id", "class_key", "bands"],
+                [
+                    batch.column("doc_id"), batch.column("row_key"), pa.array(keys, pa.string()),
+                    pa.array(bands_, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "row_key", "class_key", "bands"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, class_key string, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, row_key string, class_key string, bands array<long>")
 
 
 def overlaps(sets: Sequence[np.ndarray]) -> np.ndarray:
@@ -135,11 +138,22 @@ def _links(similarity: float, gram: int):
     return run
 
 
-def near_classes(
+def row_key(doc_id: str, text: str) -> Column:
+    """Names a row by id and text; only repeated rows share it."""
+    parts = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))
+    return F.md5(parts.cast("binary"))
+
+
+def near_classes(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id, n_links, set_id), one row per input row; see ``classify``."""
+    return classify(docs, **how).select("doc_id", "class_id", "n_links", "set_id")
+
+
+def classify(
     docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, gram: int = GRAM,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """(doc_id, class_id, n_links, set_id), one row per input row.
+    """(doc_id, row_key, cluster, class_id, n_links, set_id), one row per input row.
 
     ``set_id`` is the least doc_id with the same n-gram set, ``n_links`` counts
     the other rows at the similarity or above, and ``class_id`` is the least
@@ -154,7 +168,7 @@ def near_classes(
     a task returns a count and one root for each member.
     """
     bands, rows = bands_for(similarity, recall)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("row_key"))
     found = stage(sketches(own, bands, rows, gram), "sketches")
     members = stage(
         found.filter("class_key is not null")
@@ -176,7 +190,7 @@ def near_classes(
         F.col("record_id").alias("class_key"), "cluster", n_blocks.alias("n_blocks"), block.alias("own_block")
     )
     bodies = placed.join(members.select("class_key", "set_id", "class_size"), "class_key").join(
-        own.filter("doc_id is not null").withColumnRenamed("doc_id", "set_id"), "set_id"
+        own.filter("doc_id is not null").select(F.col("doc_id").alias("set_id"), "text"), "set_id"
     )
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     dealt = bodies.select("cluster", "class_key", "class_size", "own_block", "text", other).select(
@@ -202,28 +216,31 @@ def near_classes(
     )
     ids = named.groupBy("cluster").agg(F.min("set_id").alias("class_id"))
     named = named.join(ids, "cluster").select(
-        "class_key", "class_id", "set_id", (F.coalesce("links", F.lit(0)) + F.col("class_size") - 1).alias("n_links")
+        "class_key", "cluster", "class_id", "set_id", (F.coalesce("links", F.lit(0)) + F.col("class_size") - 1).alias("n_links")
     )
     wordless = found.filter("class_key is null").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("set_id")
+        "doc_id", "row_key", F.col("row_key").alias("cluster"), F.col("doc_id").alias("class_id"),
+        F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("set_id"),
     )
     return (
         found.filter("class_key is not null")
         .join(named, "class_key")
-        .select("doc_id", "class_id", "n_links", "set_id")
+        .select("doc_id", "row_key", "cluster", "class_id", "n_links", "set_id")
         .unionByName(wordless)
     )
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class: the rows of ``docs``, all columns, whose doc_id is their class's least.
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of each class, all columns as they were: the one with the least doc_id (null last).
 
-    Of several rows with that doc_id the one with the least text hash stays.
-    Rows without doc_id stay only if no row with one shares their class.
+    Rows that share class and doc_id are told apart by a digest of id and text,
+    the least of which stays; of repeated rows one stays.
     """
-    kept = near_classes(docs, **how).filter("doc_id <=> class_id").select("doc_id").distinct()
-    first = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return first
+    classes = classify(docs, doc_id=doc_id, text=text, **how)
+    first = classes.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("f"))
+    kept = first.select(F.col("f.row_key").alias("_row_key"))
+    keyed = docs.withColumn("_row_key", row_key(doc_id, text))
+    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
 
 
 @query("op6_jaccard_join")

@@ -46,6 +46,8 @@ class Encoder:
     whole, as do all texts of a model of another kind.
     """
 
+    PIECES = 200_000
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -56,7 +58,8 @@ class Encoder:
         kind = self.whole.pre_tokenizer
         self.plain = isinstance(kind, ByteLevel) and not kind.add_prefix_space and self.whole.normalizer is None
         self.names = _byte_names()
-        self.pool, self.pieces = IdPool(), {}
+        self.blank = self.names[32]
+        self.pool, self.pieces = IdPool(extra=1), {}
 
     def _whole(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -64,7 +67,7 @@ class Encoder:
     def _piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) > IdPool.LIMIT:
+            if len(self.pieces) > self.PIECES:
                 self.pieces.clear()
             named = piece.encode().decode("latin-1").translate(self.names)
             ids = self.pieces[piece] = [t.id for t in self.whole.model.tokenize(named)]
@@ -75,27 +78,54 @@ class Encoder:
             return self._whole(chunk)
         return [i for p in _split(chunk) for i in self._piece(p)]
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of letters after a blank."""
+        named = word if word.isascii() else word.encode().decode("latin-1").translate(self.names)
+        return [t.id for t in self.whole.model.tokenize(self.blank + named)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode what follows a blank; text with white space at either end is marked as one that needs its context."""
+        lists, odd = [], np.zeros((len(new), 1), np.int64)
+        for k, c in enumerate(new):
+            if c.isalpha() and max(c) < "ɐ":
+                lists.append(self._word(c))
+            elif c[:-1].isalpha() and c[-1] in ".,!?" and max(c) < "ɐ":
+                lists.append(self._word(c[:-1]) + self._piece(c[-1]))
+            elif not c or c[0].isspace() or c[-1].isspace():
+                lists.append([])
+                odd[k] = 1
+            else:
+                lists.append(self._chunk(" " + c))
+        self.pool.add(new, lists, odd)
+
     def __call__(self, bodies: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and the ids of all texts, one after another."""
-        if len(self.pool.at) > self.pool.LIMIT:
-            self.pool.clear()
-        parts, sizes = [], np.zeros(len(bodies), np.int64)
-        for k, body in enumerate(bodies):
-            head, *rest = body.split(" ")
-            odd = not self.plain or (rest and (not head or head[-1].isspace()))
-            if not odd:
-                new = [c for c in dict.fromkeys(rest) if c not in self.pool.at]
-                odd = any(not c or c[0].isspace() or c[-1].isspace() for c in new)
-            if odd:
-                ids = np.array(self._whole(body), np.int32)
+        pool = self.pool
+        if len(pool.at) > pool.LIMIT:
+            pool.clear()
+        heads, words, count = [], [], []
+        for body in bodies:
+            head, *rest = body.split(" ") if self.plain else (body,)
+            heads.append(head)
+            words += rest
+            count.append(len(rest))
+        found = list(map(pool.at.get, words))
+        new = list({w for w, r in zip(words, found) if r is None})
+        if new:
+            self._learn(new)
+            found = [pool.at[w] if r is None else r for w, r in zip(words, found)]
+        rows = np.array(found, np.int64)
+        ids, ends = pool.take(rows), np.r_[0, np.cumsum(pool.size[rows])]
+        odd = np.r_[0, np.cumsum(pool.more[rows, 0])]
+        parts, sizes, at = [], np.zeros(len(bodies), np.int64), 0
+        for k, (body, head, n) in enumerate(zip(bodies, heads, count)):
+            if not self.plain or odd[at + n] > odd[at] or (n and (not head or head[-1].isspace())):
+                own = [np.array(self._whole(body), np.int32)]
             else:
-                if new:
-                    self.pool.add(new, [self._chunk(" " + c) for c in new])
-                rows = np.fromiter(map(self.pool.at.__getitem__, rest), np.int64, len(rest))
-                first = self._chunk(head) if head else []
-                ids = np.concatenate([np.array(first, np.int32), self.pool.take(rows)])
-            parts.append(ids)
-            sizes[k] = len(ids)
+                own = [np.array(self._chunk(head) if head else [], np.int32), ids[ends[at] : ends[at + n]]]
+            parts += own
+            sizes[k] = sum(map(len, own))
+            at += n
         return sizes, np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
