@@ -126,7 +126,7 @@ Batches = Iterator[pa.RecordBatch]
 class IdPool:
     """Key to a list of ids, for frequent keys of a worker; a bounded table of its own, emptied when full."""
 
-    LIMIT = 700_000
+    LIMIT = 1_100_000
 
     def __init__(self, extra: int = 0) -> None:
         self.extra = extra
