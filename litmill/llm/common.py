@@ -137,7 +137,7 @@ class IdPool:
         self.ids = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
-        self.more = np.zeros((1 << 14, self.extra), np.int64)
+        self.more = np.zeros((1 << 14, self.extra))
         self.n_ids = 0
 
     @staticmethod

@@ -17,7 +17,8 @@ from litmill.llm.registry import query
 MARK = "▁"  # stands for a blank
 UNKNOWN_PENALTY = 10  # below the worst piece, for a character spelt in bytes
 N_BEST = 4
-NO_OTHER = np.iinfo(np.int64).max
+NO_OTHER = float("inf")
+NONE = -1e18  # below any score
 SLICE = 256
 
 # A piece holds marks only, or marks at its head only, so no piece crosses a cut before a run of marks.
@@ -38,7 +39,7 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.bytes: list[bytes] = []
         self.byte_id: dict[int, int] = {}
-        self.pieces: dict[str, tuple[int, int]] = {}
+        self.pieces: dict[str, tuple[int, float]] = {}
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -47,48 +48,62 @@ class Lattice:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.bytes.append(b"")
             else:
-                self.pieces[piece] = (i, round(sp.get_score(i)))
+                self.pieces[piece] = (i, sp.get_score(i))
                 self.bytes.append(piece.replace(MARK, " ").encode())
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
-        # Every prefix of a piece, with the piece's score where it is one.
-        self.walk: dict[str, int | None] = {}
-        for piece, (_, score) in self.pieces.items():
+        # Every end of a piece, with the piece's score where it is one.
+        self.tail: dict[str, float | None] = {p: score for p, (_, score) in self.pieces.items()}
+        for piece in self.pieces:
             for n in range(1, len(piece)):
-                self.walk.setdefault(piece[:n], None)
-            self.walk[piece] = score
-
-    def edges(self, s: str, start: int) -> list[tuple[int, int]]:
-        """(end, score) of the pieces that start here."""
-        out, walk = [], self.walk
-        for end in range(start + 1, len(s) + 1):
-            score = walk.get(s[start:end], "none")
-            if score == "none":
+                self.tail.setdefault(piece[n:], None)
+
+    def edges(self, s: str, end: int) -> list[tuple[int, float]]:
+        """(start, score) of the pieces that end here."""
+        out = []
+        for start in range(end - 1, -1, -1):
+            score = self.tail.get(s[start:end], 1)
+            if score == 1:
                 break
             if score is not None:
-                out.append((end, score))
-        if s[start] not in self.pieces:
-            out.append((start + 1, self.unknown))
+                out.append((start, score))
+        if s[end - 1] not in self.pieces:
+            out.append((end - 1, self.unknown))
         return out
 
-    def forward(self, s: str) -> tuple[list[int], list[int | None], list[int]]:
-        """Viterbi: best score, second best score and start of the last piece, for each prefix."""
-        n = len(s)
-        best: list = [None] * (n + 1)
-        second: list = [None] * (n + 1)
-        back = [0] * (n + 1)
-        best[0] = 0
-        for start in range(n):
-            b, b2 = best[start], second[start]
-            for end, score in self.edges(s, start):
-                v, old = b + score, best[end]
-                if old is None or v > old:
-                    best[end], back[end], v = v, start, old
-                    v2 = None if b2 is None else b2 + score
-                    if v2 is not None and (v is None or v2 > v):
-                        v = v2
-                # v is now the best of what has lost at this end
-                if v is not None and (second[end] is None or v > second[end]):
-                    second[end] = v
+    def _go_on(self, s: str, known: int, best: list[float], second: list[float], back: list[int]) -> None:
+        """Viterbi from the prefix of ``known`` characters on: best score, second best, start of the last piece."""
+        get = self.tail.get
+        del best[known + 1 :], second[known + 1 :], back[known + 1 :]
+        for end in range(known + 1, len(s) + 1):
+            start, top, other, at = end - 1, NONE, NONE, 0
+            score = longer = get(s[start], 1)
+            if score is None or score == 1:
+                # No piece for the character alone: spelt in bytes, beside pieces that end with it.
+                score = self.unknown
+            while True:
+                if score is not None:
+                    if score == 1:
+                        break
+                    v = best[start] + score
+                    if v >= top:
+                        v2 = second[start] + score
+                        lost = top if top > v2 else v2
+                        top, at = v, start
+                    else:
+                        lost = v
+                    if lost > other:
+                        other = lost
+                start -= 1
+                if start < 0 or longer == 1:
+                    break
+                score = get(s[start:end], 1)
+            best.append(top)
+            second.append(other)
+            back.append(at)
+
+    def forward(self, s: str) -> tuple[list[float], list[float], list[int]]:
+        best, second, back = [0.0], [NONE], [0]
+        self._go_on(s, 0, best, second, back)
         return best, second, back
 
     def spell(self, s: str, cuts: list[int]) -> list[int]:
@@ -102,32 +117,38 @@ class Lattice:
                 out.extend(self.byte_id.get(x, 0) for x in s[a:b].encode())
         return out
 
-    def best(self, s: str) -> tuple[list[int], int, int]:
-        """(ids, score, score lost by the second best) of one run of text."""
-        best, second, back = self.forward(s)
-        cuts = [len(s)]
-        while cuts[-1]:
-            cuts.append(back[cuts[-1]])
-        gap = NO_OTHER if second[-1] is None else best[-1] - second[-1]
-        return self.spell(s, cuts[::-1]), best[-1], gap
+    def best(self, runs: list[str]) -> list[tuple[list[int], float, float]]:
+        """(ids, score, score lost by the second best) of each run; neighbours share the work on a common head."""
+        out, before = [], ""
+        best, second, back = [0.0], [NONE], [0]
+        for s in runs:
+            known, most = 0, min(len(s), len(before))
+            while known < most and s[known] == before[known]:
+                known += 1
+            self._go_on(s, known, best, second, back)
+            cuts, before = [len(s)], s
+            while cuts[-1]:
+                cuts.append(back[cuts[-1]])
+            gap = NO_OTHER if second[-1] < NONE / 2 else best[-1] - second[-1]
+            out.append((self.spell(s, cuts[::-1]), best[-1], gap))
+        return out
 
-    def n_best(self, s: str, n: int) -> list[tuple[int, list[int]]]:
+    def n_best(self, s: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids): from the end backwards, cheapest total first.
 
         What a prefix can score at best is known exactly from the forward pass,
         so no path is taken up that is not among the n best, save for ties.
         """
         best, _, _ = self.forward(s)
-        into: list[list[tuple[int, int]]] = [[] for _ in range(len(s) + 1)]
-        for start in range(len(s)):
-            for end, score in self.edges(s, start):
-                into[end].append((start, score))
+        into: dict[int, list[tuple[int, float]]] = {}
         heap, out = [(-best[-1], (), len(s), 0)], []
         while heap and len(out) < n:
             cost, starts, at, done = heapq.heappop(heap)
             if at == 0:
                 out.append((-cost, self.spell(s, [*starts[::-1], len(s)])))
                 continue
+            if at not in into:
+                into[at] = self.edges(s, at)
             for start, score in into[at]:
                 heapq.heappush(heap, (-(best[start] + score + done), (*starts, start), start, done + score))
         return out
@@ -149,16 +170,27 @@ class Coder:
     def __init__(self, model_file: str) -> None:
         self.lattice = Lattice(model_file)
         self.pool = IdPool(extra=2)
+        self.pool.LIMIT = 1_500_000
+
+    def learn(self, bodies: list[str]) -> None:
+        """Search the new runs of several texts at once, in order, so that common heads meet."""
+        new: set[str] = set()
+        for body in bodies:
+            new.update(r for r in _cut(marked(body)) if r not in self.pool.at)
+        if new:
+            runs = sorted(new)
+            best = self.lattice.best(runs)
+            self.pool.add(runs, [b[0] for b in best], [b[1:] for b in best])
 
     def rows(self, text: str) -> tuple[list[str], np.ndarray]:
         runs = _cut(marked(text))
-        new = [r for r in dict.fromkeys(runs) if r not in self.pool.at]
-        if new:
-            found = [self.lattice.best(r) for r in new]
-            self.pool.add(new, [f[0] for f in found], [f[1:] for f in found])
-        return runs, np.fromiter(map(self.pool.at.__getitem__, runs), np.int64, len(runs))
+        found = list(map(self.pool.at.get, runs))
+        if None in found:
+            self.learn([text])
+            found = list(map(self.pool.at.get, runs))
+        return runs, np.array(found, np.int64)
 
-    def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, list[int], list[list[tuple[int, list[int]]]]]:
+    def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, list[float], list[list[tuple[int, list[int]]]]]:
         """Ids of the best segmentation, the n best scores, and for each the runs it spells another way.
 
         Scores of runs add up, so the n best use other spellings only in the
@@ -167,9 +199,9 @@ class Coder:
         """
         runs, rows = self.rows(text)
         if not runs:
-            return np.zeros(0, np.int32), [0], [[]]
+            return np.zeros(0, np.int32), [0.0], [[]]
         ids = self.pool.take(rows)
-        total, gaps = int(self.pool.more[rows, 0].sum()), self.pool.more[rows, 1]
+        total, gaps = float(self.pool.more[rows, 0].sum()), self.pool.more[rows, 1]
         if n == 1:
             return ids, [total], [[]]
         few = min(n - 1, len(runs))
@@ -247,7 +279,9 @@ def encode(
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 coder = _coder(model_file)
-                found = [coder.encode(t, n_best) for t in texts(batch, "_text")]
+                bodies = texts(batch, "_text")
+                coder.learn(bodies)
+                found = [coder.encode(t, n_best) for t in bodies]
                 ids = [f[0] for f in found]
                 edits = [
                     [{"rank": r, "run": p, "ids": i} for r, edit in enumerate(f[2]) for p, i in edit] for f in found
@@ -256,7 +290,7 @@ def encode(
                     [
                         batch.column("_row"),
                         list_array([len(i) for i in ids], np.concatenate(ids), pa.int32()),
-                        pa.array([f[1] for f in found], pa.list_(pa.int64())),
+                        pa.array([f[1] for f in found], pa.list_(pa.float64())),
                         pa.array(edits, pa.list_(EDIT)),
                     ],
                     names=["_row", "ids", "scores", "edits"],
@@ -264,7 +298,7 @@ def encode(
 
     kind = rows.schema["_row"].dataType.simpleString()
     out = rows.mapInArrow(
-        run, f"_row {kind}, ids array<int>, scores array<long>, edits array<struct<rank:int,run:int,ids:array<int>>>"
+        run, f"_row {kind}, ids array<int>, scores array<double>, edits array<struct<rank:int,run:int,ids:array<int>>>"
     )
     return out.select("_row.*", *[F.col(a).alias(b) for a, b in zip(("ids", "scores", "edits"), names)])
 
@@ -293,6 +327,7 @@ def digests(docs: DataFrame, n_best: int = N_BEST, model_file: str | None = None
                 batch = whole.slice(at, SLICE)
                 coder = _coder(model_file)
                 bodies = texts(batch, "text")
+                coder.learn(bodies)
                 found = [coder.encode(t, n_best) for t in bodies]
                 same = [coder.lattice.decode(f[0]) == t.replace(MARK, " ") for f, t in zip(found, bodies)]
                 yield pa.RecordBatch.from_arrays(
@@ -300,7 +335,7 @@ def digests(docs: DataFrame, n_best: int = N_BEST, model_file: str | None = None
                         batch.column("doc_id"),
                         pa.array([len(f[0]) for f in found], pa.int64()),
                         pa.array([zlib.crc32(f[0].astype("<u4")) for f in found], pa.int64()),
-                        pa.array([f[1] for f in found], pa.list_(pa.int64())),
+                        pa.array([f[1] for f in found], pa.list_(pa.float64())),
                         pa.array([len(f[2][1]) if len(f[2]) > 1 else 0 for f in found], pa.int64()),
                         pa.array(same),
                     ],
@@ -308,13 +343,13 @@ def digests(docs: DataFrame, n_best: int = N_BEST, model_file: str | None = None
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_ids long, ids_crc32 long, scores array<long>, n_edits long, round_trip boolean"
+        run, f"doc_id {kind}, n_ids long, ids_crc32 long, scores array<double>, n_edits long, round_trip boolean"
     )
 
 
 @query("op5_piece_segmentation")
 def piece_segmentation(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_ids", "ids_crc32", F.col("scores")[0].alias("best_score"),
-        F.array_join(F.transform("scores", lambda s: s.cast("string")), ",").alias("scores"), "n_edits", "round_trip",
+        "doc_id", "n_ids", "ids_crc32", F.col("scores")[0].cast("long").alias("best_score"),
+        F.array_join(F.transform("scores", lambda s: s.cast("long").cast("string")), ",").alias("scores"), "n_edits", "round_trip",
     )

@@ -85,7 +85,7 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode what follows a blank; text with white space at either end is marked as one that needs its context."""
-        lists, odd = [], np.zeros((len(new), 1), np.int64)
+        lists, odd = [], np.zeros((len(new), 1))
         for k, c in enumerate(new):
             if c.isalpha() and max(c) < "ɐ":
                 lists.append(self._word(c))
