@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 import zlib
@@ -137,20 +138,26 @@ class Lattice:
         """The n best (score, ids): from the end backwards, cheapest total first.
 
         What a prefix can score at best is known exactly from the forward pass,
-        so no path is taken up that is not among the n best, save for ties.
+        so every open path stands for a segmentation of its own, and only the n
+        cheapest need be kept.  A path is a number with a bit for each start of
+        a piece, which sorts as the starts do from the end.
         """
         best, _, _ = self.forward(s)
         into: dict[int, list[tuple[int, float]]] = {}
-        heap, out = [(-best[-1], (), len(s), 0)], []
-        while heap and len(out) < n:
-            cost, starts, at, done = heapq.heappop(heap)
+        paths, out = [(-best[-1], 0, len(s), 0.0)], []
+        while paths and len(out) < n:
+            cost, starts, at, done = paths.pop(0)
             if at == 0:
-                out.append((-cost, self.spell(s, [*starts[::-1], len(s)])))
+                bits = bin(starts)[:1:-1]
+                out.append((-cost, self.spell(s, [*(i for i, b in enumerate(bits) if b == "1"), len(s)])))
                 continue
             if at not in into:
                 into[at] = self.edges(s, at)
             for start, score in into[at]:
-                heapq.heappush(heap, (-(best[start] + score + done), (*starts, start), start, done + score))
+                cost = -(best[start] + score + done)
+                if len(paths) < n - len(out) or cost <= paths[-1][0]:
+                    bisect.insort(paths, (cost, starts | 1 << start, start, done + score))
+                    del paths[n - len(out) :]
         return out
 
     def decode(self, ids) -> str:
