@@ -93,7 +93,10 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             F.sort_array(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     ).drop("_w")
-    return df.withColumn("n_repeat_words", F.coalesce(_repeated(F.col("_p")), F.lit(0).cast("long"))).drop("_p")
+    repeated = F.coalesce(_repeated(F.col("_p")), F.lit(0).cast("long")).alias("n_repeat_words")
+    measures = [c for c in df.columns if c not in ("doc_id", "_p")]
+    # The one-row generator keeps later filters from being pushed down, which would measure each text many times.
+    return df.select("doc_id", F.inline(F.array(F.struct(*measures, repeated))))
 
 
 def failures() -> dict[str, Column]:
