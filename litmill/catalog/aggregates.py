@@ -87,7 +87,7 @@ def group_articles(spark, sf_dir):
     from litmill import scale
 
     d = A.table(spark, sf_dir, "documents").select(F.col("lang").alias("group_id"), F.col("doc_id").alias("article_id"))
-    return scale.running_sum(d, ["group_id"], [F.asc("article_id")], "article_id", name="seq")
+    return scale.running_sum(d, ["group_id"], [F.asc("article_id")], name="seq")
 
 
 _RUNS = "select distinct source as search_run_id, source = 'src3' as failed from documents union all select 'src-none', false union all select 'src-down', true"
@@ -137,7 +137,7 @@ def search_overview(spark, sf_dir):
 
 @query(
     "a23_concept_coverage",
-    """with r as (select item_id as query_id, unnest(string_split(text, ' ')) as concept from benchmark), c as (select doc_id % 40 as query_id, unnest(string_split(text, ' ')[1:3]) as concept from documents),
+    """with r as (select item_id as query_id, unnest(string_split(text, ' ')) as concept from benchmark), c as (select doc_id % 40 as query_id, unnest(string_split(text, ' ')) as concept from documents),
  a as (select query_id, concept, count(*) n from r group by 1, 2), b as (select query_id, concept, count(*) n from c group by 1, 2)
  select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.concept, b.concept) as concept, coalesce(a.n, 0) as required_rows, coalesce(b.n, 0) as covered_rows,
  case when b.n is null then 'not_covered' when a.n is null then 'not_required' when a.n > 1 or b.n > 1 then 'repeated' end as issue from a full join b on a.query_id = b.query_id and a.concept = b.concept""",
@@ -145,7 +145,7 @@ def search_overview(spark, sf_dir):
 def concept_coverage(spark, sf_dir):
     r = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split("text", " ")).alias("concept"))
     c = A.table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") % 40).alias("query_id"), F.explode(F.slice(F.split("text", " "), 1, 3)).alias("concept"))
+        (F.col("doc_id") % 40).alias("query_id"), F.explode(F.split("text", " ")).alias("concept"))
     return search.concept_cover(r, c)
 
 

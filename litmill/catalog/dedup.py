@@ -99,7 +99,8 @@ def merge_cluster(spark, sf_dir):
 @query(
     "d07_cluster_id",
     f"""with recursive {A.DUCK_CLUSTERS}, idents as (
- select c.cluster, string_agg(k.kind || ':' || k.value, '|' order by k.kind || ':' || k.value) as identity
+ select c.cluster, 'keys|' || count(*) || '|' || sum(('0x' || substr(md5(k.kind || ':' || k.value), 1, 15))::bigint)
+ || '|' || sum(('0x' || substr(md5(k.kind || ':' || k.value), 16, 15))::bigint) as identity
  from keys k join clusters c on k.record_id = c.record_id group by 1
  union all select record_id, 'unidentified:' || normalized_title || ':' || cast(record_id as varchar) from rec
   where record_id not in (select record_id from keys))

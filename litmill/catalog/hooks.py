@@ -1,10 +1,12 @@
 """User function hooks and exact text rules."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from litmill.catalog import adapters as A
 from litmill.catalog import query
-from litmill.functions import exact, hooks, text, values
+from litmill.functions import exact, hooks, markup, text, values
 from litmill.operators import quality, spans
 
 
@@ -64,19 +66,25 @@ def summarise(spark, sf_dir):
     return hooks.summarise(d, _summaries).select("article_id", "summary_text", "summary_status")
 
 
-@query("x06_sentence_offsets")
+_ABBREVIATIONS = "|".join(re.escape(a) for a in markup.ABBREVIATIONS)
+
+
+@query(
+    "x06_sentence_offsets",
+    rf"""with marked as (select doc_id, regexp_replace(regexp_replace(text, '([.!?。！？])([\s\x{{a0}}])', '\1' || chr(1) || '\2', 'g'),
+  '(?i)({_ABBREVIATIONS})' || chr(1), '\1', 'g') as m from documents),
+ parts as (select doc_id, unnest(string_split(m, chr(1))) as p, generate_subscripts(string_split(m, chr(1)), 1) as i from marked),
+ placed as (select *, coalesce(sum(length(p)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as off from parts),
+ ends as (select *, off + length(p) - length(ltrim(p, ' ' || chr(10) || chr(9))) as s, off + length(rtrim(p, ' ' || chr(10) || chr(9))) as e from placed)
+select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as integer) as sentence, cast(s as integer) as start_offset,
+ cast(e as integer) as end_offset from ends where e > s""",
+)
 def sentence_offsets(spark, sf_dir):
     """The guarded split: abbreviations do not end a sentence."""
     d = A.table(spark, sf_dir, "documents").select("doc_id", "text")
     return spans.sentences(d, "text", guard_abbreviations=True).select("doc_id", "sentence", "start_offset", "end_offset")
 
 
-@query("x07_html_text")
-def html_text(spark, sf_dir):
-    p = A.table(spark, sf_dir, "pages")
-    return p.select("page_id", exact.html_text(F.col("html")).alias("body"))
-
-
 @query("x08_latest_reducer", "select user_id, arg_max(event_type, event_id) as stage from events group by 1")
 def latest_reducer(spark, sf_dir):
     return A.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("stage"))

@@ -86,7 +86,7 @@ def coarse_filter_middle(spark, sf_dir):
 
 
 DUCK_CAND = f"""{DUCK_KW}, q as (select embedding as e from embeddings where vec_id = 0), sem as (select k.*, round(list_cosine_similarity(cast(v.embedding as double[]), cast(q.e as double[])), 5) as cosine
-  from kw k join embeddings v on k.article_id = v.vec_id, q), cand as (select *, (cosine + 1) / 2 * 100 as semantic_score, round(0.5 * keyword_score + 0.4 * ((cosine + 1) / 2 * 100) + 0.1 * recency_score, 4) as candidate_score from sem)"""
+  from kw k left join embeddings v on k.article_id = v.vec_id, q), cand as (select *, (cosine + 1) / 2 * 100 as semantic_score, round(0.5 * keyword_score + 0.4 * ((cosine + 1) / 2 * 100) + 0.1 * recency_score, 4) as candidate_score from sem)"""
 
 
 def candidates(spark, sf_dir):
@@ -95,7 +95,7 @@ def candidates(spark, sf_dir):
 
     e = A.table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id = 0").select("embedding").first()[0]
-    rows = keyword_rows(spark, sf_dir).join(e.select(F.col("vec_id").alias("article_id"), "embedding"), "article_id")
+    rows = keyword_rows(spark, sf_dir).join(e.select(F.col("vec_id").alias("article_id"), "embedding"), "article_id", "left")
     out = rank.candidate_score(rows, F.round(cosine_to(F.col("embedding"), q), 5)).drop("embedding")
     return scale.stage(out.withColumn("candidate_score", F.round("candidate_score", 4)), "candidates")
 
@@ -115,9 +115,9 @@ def rank_candidates(spark, sf_dir):
 
 
 _DUCK_DECIDE = f"""{DUCK_CAND}, {DUCK_DESIGN}, j as (select c.*, g.study_group from cand c join grouped g on c.article_id = g.article_id),
- adm as (select *, study_group in ({_TYPES}) as supported, sum(case when core_matched and study_group in ({_TYPES}) then 1 else 0 end) over (order by {_Q_RANK} rows unbounded preceding) as taken from j),
- decided as (select article_id, study_group, case when not core_matched then 'core_intervention_not_matched' when not supported then 'unsupported_study_design' when taken > 50 then 'global_candidate_limit_reached' end as exclusion_reason,
-  case when core_matched and supported and taken <= 50 then 'selected' else 'not_selected' end as selection_status from adm)"""
+ adm as (select *, study_group in ({_TYPES}) as supported, sum(case when core_matched and study_group in ({_TYPES}) and candidate_score is not null then 1 else 0 end) over (order by {_Q_RANK} rows unbounded preceding) as taken from j),
+ decided as (select article_id, study_group, case when not core_matched then 'core_intervention_not_matched' when not supported then 'unsupported_study_design' when candidate_score is null then 'no_vector' when taken > 50 then 'global_candidate_limit_reached' end as exclusion_reason,
+  case when candidate_score is null then 'no_vector' when core_matched and supported and taken <= 50 then 'selected' else 'not_selected' end as selection_status from adm)"""
 
 
 def decided(spark, sf_dir):
@@ -167,28 +167,28 @@ _TYPES_OF = "case canonical_id % 5 when 0 then 'Cohort Study' when 1 then 'Rando
  docs as (select canonical_id as doc_id, {A.q_match('title')} as title_n, {A.q_match("coalesce(abstract, '')")} as body_n from art),
  con as (select doc_id, cast({_S[0]} as double) as s0, cast({_S[1]} as double) as s1, cast({_S[2]} as double) as s2, cast({_S[3]} as double) as s3 from docs),
  kw as (select c.doc_id as article_id, 0.9 * ((0.45 * s0 + 0.30 * s1 + 0.25 * s2) / 1.0) + 0.1 * s3 as keyword_score, s0 > 0 as core_matched, y as publication_year, {Q_RECENCY.format(d='d', y='y')} as recency_score, {_TYPES_OF} as tp from con c join art on c.doc_id = art.canonical_id),
- {_coarse('kw', 'cf')}, q as (select embedding as e from embeddings where vec_id = 0),
+ cf as (select * from kw), q as (select embedding as e from embeddings where vec_id = 0),
  cand as (select cf.*, 0.5 * keyword_score + 0.4 * ((list_cosine_similarity(cast(v.embedding as double[]), cast(q.e as double[])) + 1) / 2 * 100) + 0.1 * recency_score as candidate_score
-  from cf join embeddings v on cf.article_id % 500 = v.vec_id, q),
+  from cf left join embeddings v on cf.article_id = v.vec_id, q),
  grp as (select *, case tp when 'Cohort Study' then 'cohort' when 'Randomized Controlled Trial' then 'randomized_controlled_trial' when 'Systematic Review' then 'systematic_review' when 'Case-Control Study' then 'case_control' else 'unknown' end as study_group from cand),
- adm as (select *, sum(case when core_matched and study_group <> 'unknown' then 1 else 0 end) over (order by candidate_score desc, core_matched desc, article_id rows unbounded preceding) as taken from grp)
+ adm as (select *, sum(case when core_matched and study_group <> 'unknown' and candidate_score is not null then 1 else 0 end) over (order by candidate_score desc, core_matched desc, article_id rows unbounded preceding) as taken from grp)
  select article_id, row_number() over (order by candidate_score desc, core_matched desc, article_id) as selection_rank, round(candidate_score, 2) as candidate_score, round(keyword_score, 2) as keyword_score, study_group,
- case when core_matched and study_group <> 'unknown' and taken <= 50 then 'selected' else 'not_selected' end as selection_status,
- case when not core_matched then 'core_intervention_not_matched' when study_group = 'unknown' then 'unsupported_study_design' when taken > 50 then 'global_candidate_limit_reached' end as exclusion_reason from adm""",
+ case when candidate_score is null then 'no_vector' when core_matched and study_group <> 'unknown' and taken <= 50 then 'selected' else 'not_selected' end as selection_status,
+ case when not core_matched then 'core_intervention_not_matched' when study_group = 'unknown' then 'unsupported_study_design' when candidate_score is null then 'no_vector' when taken > 50 then 'global_candidate_limit_reached' end as exclusion_reason from adm""",
 )
 def rank_corpus(spark, sf_dir):
     rec, _, clusters = A.resolved(spark, sf_dir)
     from litmill.operators.resolve import merge_clusters
 
     merged = scale.stage(
-        merge_clusters(rec.drop("publication_types", "keywords"), clusters), "articles")
+        merge_clusters(rec, clusters), "articles")
     arts = merged.select(
         F.col("canonical_id").alias("article_id"), "title", "abstract",
         dates.iso_date(F.col("publication_date")).alias("publication_date"), "publication_year",
         F.array(F.expr(_TYPES_OF)).alias("publication_types"), F.lit(None).cast("string").alias("study_design"))
     e = A.table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id = 0").select("embedding").first()[0]
-    vectors = arts.select("article_id", (F.col("article_id") % 500).alias("vec_id")).join(e, "vec_id")
+    vectors = e.select(F.col("vec_id").alias("article_id"), "embedding")
     out = corpus.rank_corpus(arts, PROFILE, REF, vectors, q)
     return out.select(
         "article_id", "selection_rank", F.round("candidate_score", 2).alias("candidate_score"),

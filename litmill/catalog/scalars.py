@@ -238,12 +238,12 @@ def cosine(spark, sf_dir):
 
 @query(
     "f04_embedding_text",
-    f"""with {A.DUCK_REC}, b as (select *, substr({A.q_strip("coalesce(abstract, '')")}, 1, 500) as body from rec)
+    f"""with {A.DUCK_REC}, b as (select *, {A.q_strip("coalesce(abstract, '')")} as body from rec)
  select record_id, md5('Title: ' || {A.q_strip('title')} || chr(10) || chr(10) || 'Keywords: ' || array_to_string(keywords, ', ')
  || case when body <> '' then chr(10) || chr(10) || 'Abstract: ' || body else '' end) as text_md5 from b""",
 )
 def embedding_text(spark, sf_dir):
-    t = text.embedding_text(F.col("title"), F.col("keywords"), F.col("abstract"), 500)
+    t = text.embedding_text(F.col("title"), F.col("keywords"), F.col("abstract"))
     return A.records(spark, sf_dir).select("record_id", F.md5(t).alias("text_md5"))
 
 

@@ -7,7 +7,7 @@ from litmill import scale
 from litmill.catalog import adapters as A
 from litmill.catalog import query
 from litmill.catalog.joins import DUCK_VOCAB, raw_vocab
-from litmill.functions import exact, text
+from litmill.functions import markup, text
 from litmill.sources import bibliographic as B
 from litmill.sources import vocabulary
 
@@ -269,10 +269,19 @@ def scan_query_set(spark, sf_dir):
     return B.load_questions(spark, path, strict=False, multi_line=False).select("id", F.md5("query").alias("query_md5"), F.array_join("issues", ",").alias("issues"))
 
 
-@query("s13_html_to_text")
+_BLOCKS = "|".join(markup.BLOCK_TAGS)
+
+
+@query(
+    "s13_html_to_text",
+    rf"""with bare as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<[!?][^>]*>', '', 'g'),
+  '(?i)</?(?:{_BLOCKS})(?:[\s/][^>]*)?>', chr(10), 'g'), '</?[A-Za-z][^>]*>', '', 'g') as t from pages),
+ plain as (select page_id, replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as t from bare)
+select page_id, nullif(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: {A.q_single('x')}), lambda x: x <> ''), chr(10)), '') as body from plain""",
+)
 def html_to_text(spark, sf_dir):
     p = A.table(spark, sf_dir, "pages")
-    return p.select("page_id", exact.html_text(F.col("html")).alias("body"))
+    return p.select("page_id", markup.html_text(F.col("html")).alias("body"))
 
 
 _FRAG = "'<h4>Aim</h4><p>' || replace(replace(split_part(text, chr(10), 1), '<', ' '), '&', ' ') || ' &amp; more</p>tail<br>  <b>end</b>  '"
@@ -284,6 +293,6 @@ _FRAG = "'<h4>Aim</h4><p>' || replace(replace(split_part(text, chr(10), 1), '<',
 )
 def html_fragment(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents")
-    return d.select("doc_id", exact.html_text(F.expr(_FRAG)).alias("body"))
+    return d.select("doc_id", markup.html_text(F.expr(_FRAG)).alias("body"))
 
 

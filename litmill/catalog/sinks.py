@@ -142,7 +142,7 @@ def write_summary_doc(spark, sf_dir):
     rows = retained(spark, sf_dir).select("article_id", "composite_score")
     path = scale.new_path(spark, "summaries")
     task = (F.col("article_id") % 7).cast("string")
-    sinks.write_summary(rows.limit(5), path, task, "2025-01-01")
+    sinks.write_summary(rows, path, task, "2025-01-01")
     back = sinks.write_summary(rows, path, task, "2025-01-02")
     doc = F.from_json("document", "article_id long, composite_score double")
     return back.select(doc.alias("d"), F.col("task_id").cast("string").alias("task_id")).select("d.article_id", "task_id", "d.composite_score")

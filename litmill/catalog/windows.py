@@ -25,12 +25,12 @@ def first_per_key(spark, sf_dir):
 
 @query(
     "w03_ordered_distinct",
-    f"""with w as (select doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) as item, generate_subscripts(string_split(split_part(text, chr(10), 1), ' '), 1) - 1 as pos from documents),
+    f"""with w as (select doc_id, unnest(string_split(text, ' ')) as item, generate_subscripts(string_split(text, ' '), 1) - 1 as pos from documents),
  k as (select *, {A.q_fold(A.q_collapse('item'))} as f, row_number() over (partition by doc_id, {A.q_fold(A.q_collapse('item'))} order by pos) as rn from w) select doc_id, item, cast(pos as integer) as pos from k where rn = 1 and f <> ''""",
 )
 def ordered_distinct(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents")
-    w = d.select("doc_id", F.posexplode(F.split(F.expr("split_part(text, chr(10), 1)"), " ")).alias("pos", "item"))
+    w = d.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "item"))
     return O.ordered_distinct(w, ["doc_id"], "item", "pos", text.list_key(F.col("item"))).select("doc_id", "item", "pos")
 
 
@@ -61,7 +61,7 @@ def quota_running_count(spark, sf_dir):
 
     d = A.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return scale.running_sum(
-        d, ["source"], [F.desc("n_chars"), F.asc("doc_id")], "n_chars", name="admitted", descending=True,
+        d, ["source"], [F.desc("n_chars"), F.asc("doc_id")], name="admitted",
         value=F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).drop("n_chars")
 
 
@@ -86,7 +86,7 @@ def latest_version(spark, sf_dir):
 )
 def balanced_batches(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return O.balanced_batches(d, "lang", 7, [F.asc("doc_id")], "doc_id")
+    return O.balanced_batches(d, "lang", 7, [F.asc("doc_id")])
 
 
 @query(
@@ -94,7 +94,7 @@ def balanced_batches(spark, sf_dir):
     """with t as (select doc_id, lang, row_number() over (partition by lang order by doc_id) as turn from documents) select doc_id, lang, turn, row_number() over (order by turn, lang) as dispatch from t""",
 )
 def round_robin(spark, sf_dir):
-    return O.round_robin(A.table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", [F.asc("doc_id")], "doc_id", "lang")
+    return O.round_robin(A.table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", [F.asc("doc_id")], "lang")
 
 
 @query(
@@ -105,7 +105,7 @@ def round_robin(spark, sf_dir):
 def next_sequence(spark, sf_dir):
     c = A.table(spark, sf_dir, "conversations")
     stored = c.filter("turn < 2 and conv_id % 5 <> 0").withColumnRenamed("turn", "sequence_no")
-    return O.next_sequence(stored, c.filter("turn >= 2").select("conv_id", "turn"), "conv_id", [F.asc("turn")], "turn")
+    return O.next_sequence(stored, c.filter("turn >= 2").select("conv_id", "turn"), "conv_id", [F.asc("turn")])
 
 
 @query(

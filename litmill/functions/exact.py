@@ -4,19 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tags that break lines, and where a sentence ends.
-BLOCK_TAGS = frozenset({"br", "p", "div", "h1", "h2", "h3", "h4", "li"})
-SENTENCE_END = r"(?<=[.!?。！？])(?:[\s ]+|(?=[一-鿿]))"
-# Abbreviations meant not to end a sentence.
-ABBREVIATIONS = ("et al.", "e.g.", "i.e.", "vs.", "dr.", "fig.", "no.", "inc.", "approx.")
-
-
 def fold_words(value: str) -> str:
     """Compatibility form, case folded, words parted by single blanks."""
     folded = unicodedata.normalize("NFKC", value).casefold()
@@ -47,65 +39,3 @@ def title_text(c: Column) -> Column:
 
 def term_text(c: Column) -> Column:
     return F.pandas_udf(_mapped(fold_term), "string")(c)
-
-
-def _sentence_bounds(value: str, guard: bool) -> list[int]:
-    """Start and end of each sentence without surrounding blanks, as one flat list."""
-    bounds: list[int] = []
-
-    def close(start: int, end: int) -> None:
-        body = value[start:end]
-        if body.strip():
-            left = start + len(body) - len(body.lstrip())
-            bounds.extend((left, start + len(body.rstrip())))
-
-    start = 0
-    for end in re.finditer(SENTENCE_END, value):
-        if guard and value[max(start, end.start() - 12) : end.start()].casefold().endswith(ABBREVIATIONS):
-            continue
-        if value[start : end.start()].strip():
-            close(start, end.start())
-        start = end.end()
-    close(start, len(value))
-    return bounds
-
-
-def sentence_bounds(c: Column, guard_abbreviations: bool = False) -> Column:
-    """Flat array of sentence starts and ends (offsets into the text, ends exclusive).
-
-    The default splits after every terminator, abbreviations included, as the
-    offsets of stored spans expect; ``guard_abbreviations`` keeps them together.
-    """
-
-    def series(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: _sentence_bounds(v, guard_abbreviations), na_action="ignore")
-
-    return F.pandas_udf(series, "array<int>")(c)
-
-
-class _Plain(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-
-    def handle_data(self, data: str) -> None:
-        self.out.append(data)
-
-    def handle_starttag(self, tag, attrs) -> None:
-        if tag in BLOCK_TAGS:
-            self.out.append("\n")
-
-    handle_endtag = lambda self, tag: self.handle_starttag(tag, ())
-
-
-def plain_text(value: str) -> str | None:
-    page = _Plain()
-    page.feed(value)
-    page.close()
-    lines = (" ".join(x.split()) for x in "".join(page.out).splitlines())
-    return "\n".join(x for x in lines if x) or None
-
-
-def html_text(c: Column) -> Column:
-    """HTML fragment to text: block tags break lines, entities decoded, blank lines dropped."""
-    return F.pandas_udf(_mapped(plain_text), "string")(c)

@@ -142,11 +142,15 @@ def person_name(collective: Column, given: Column, family: Column, initials: Col
     return F.coalesce(single_line(collective), null_if_empty(full), single_line(initials))
 
 
-def embedding_text(title: Column, keywords: Column, abstract: Column, limit: int = 12_000) -> Column:
-    """The text that is embedded: title, keywords and abstract blocks, absent blocks left out."""
-    if limit < 1:
+def embedding_text(title: Column, keywords: Column, abstract: Column, limit: int | None = None) -> Column:
+    """The text that is embedded: title, keywords and abstract blocks, absent blocks left out.
+
+    The abstract is whole unless the model at hand sets a ``limit`` of characters.
+    """
+    if limit is not None and limit < 1:
         raise ValueError("limit must be positive")
-    body = F.substring(strip(F.coalesce(abstract, F.lit(""))), 1, limit)
+    body = strip(F.coalesce(abstract, F.lit("")))
+    body = body if limit is None else F.substring(body, 1, limit)
     return F.concat_ws(
         "\n\n",
         F.concat(F.lit("Title: "), strip(title)),

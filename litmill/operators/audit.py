@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill import scale
+from litmill.operators import quality
 from litmill.operators.quality import codes
 from litmill.operators.rubrics import STUDY_TYPES
 
@@ -73,7 +74,9 @@ def check_batches(
     batches: batch_id, task_id, group_id, study_type, status, has_assessment, has_scores,
     assessment_task_id, assessment_group_id, assessment_study_type.
     batch_articles, assessed: batch_id, article_id.  scores: batch_id, article_id,
-    quality_score.  criteria: batch_id, article_id, criterion score.
+    quality_score.  criteria: batch_id, article_id, criterion score.  span_issues: batch_id, and
+    optionally ``issue``; an article cited without spans of its own in the batch is a
+    missing_frozen_spans, any other bad reference an invalid_evidence_span.
     """
     known = articles.select("article_id").distinct().withColumn("_known", F.lit(True))
     listed = batch_articles.groupBy("batch_id", "article_id").agg(F.count("*").alias("_times"))
@@ -89,13 +92,13 @@ def check_batches(
     )
     keys = ["batch_id", "article_id"]
     rows = (
-        scale.lookup(listed, known, ["article_id"], "left")
+        listed.join(known, ["article_id"], "left")
         .join(given, keys, "full_outer")
         .join(stored, keys, "full_outer")
         .join(fresh, keys, "left")
     )
     calc = F.lit(5.0) + F.lit(5.0) * F.col("_mean")
-    off = (F.abs(F.col("_low") - calc) > tolerance) | (F.abs(F.col("_high") - calc) > tolerance)
+    off = quality.apart(F.col("_low"), calc, tolerance) | quality.apart(F.col("_high"), calc, tolerance)
     per = rows.groupBy("batch_id").agg(
         F.sum(F.coalesce("_times", F.lit(0))).alias("article_count"),
         F.count_if(F.col("_times") > 1).alias("_rep"),
@@ -113,16 +116,20 @@ def check_batches(
     )
     per = batches.join(per, "batch_id", "left")
     if span_issues is not None:
-        found = span_issues.groupBy("batch_id").agg(F.count("*").alias("_spans"))
+        issue = F.col("issue") if "issue" in span_issues.columns else F.lit("invalid_evidence_span")
+        unfrozen = issue.eqNullSafe("missing_frozen_spans")
+        found = span_issues.groupBy("batch_id").agg(
+            F.count_if(unfrozen).alias("_unfrozen"), F.count_if(~unfrozen).alias("_spans")
+        )
         per = per.join(found, "batch_id", "left")
     else:
-        per = per.withColumn("_spans", F.lit(0))
+        per = per.withColumns({"_unfrozen": F.lit(0), "_spans": F.lit(0)})
     some = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
     has_a, has_s = F.col("has_assessment"), F.col("has_scores")
     known_type = F.coalesce(F.col("study_type").isin(*STUDY_TYPES), F.lit(False))
     compared = has_a & known_type
     found = codes(
-        (F.col("status") != "completed", "unsupported_status"),
+        (~F.col("status").eqNullSafe("completed"), "unsupported_status"),
         (~some("article_count"), "empty_article_ids"),
         (some("_rep"), "duplicate_article_ids"),
         (some("_lost"), "missing_articles"),
@@ -136,6 +143,7 @@ def check_batches(
             "study_type_mismatch",
         ),
         (compared & (some("_a1") | some("_a2")), "assessment_articles_mismatch"),
+        (some("_unfrozen"), "missing_frozen_spans"),
         (some("_spans"), "invalid_evidence_span"),
         (compared & some("_bad"), "invalid_score_payload"),
         (compared & some("_off"), "quality_score_mismatch"),
@@ -160,13 +168,21 @@ def check_batches(
 
 
 def checks_summary(checked: DataFrame, max_calls: int | None = None) -> DataFrame:
-    """Per task: batches per class, eligible articles, planned judge calls, budget flag."""
+    """Per task: batches per class, eligible articles and batches by study type, planned judge calls, budget flag."""
     counts = [F.count_if(F.col("class") == c).alias(c) for c in ELIGIBILITY]
     out = checked.groupBy("task_id").agg(
         *counts,
         F.coalesce(
             F.sum(F.when(F.col("class") == "eligible", F.col("article_count"))), F.lit(0)
         ).alias("eligible_articles"),
+        F.concat_ws(
+            ",",
+            *[
+                F.when(n > 0, F.concat(F.lit(f"{t}:"), n.cast("string")))
+                for t in sorted(STUDY_TYPES)
+                for n in [F.count_if((F.col("class") == "eligible") & (F.col("study_type") == t))]
+            ],
+        ).alias("eligible_by_type"),
     )
     calls = F.col("eligible") * F.lit(len(JUDGES))
     within = F.lit(True) if max_calls is None else calls <= max_calls
@@ -239,10 +255,7 @@ def peak_in_flight(spans: DataFrame, start: str, end: str, **kw) -> DataFrame:
     opened = spans.select(F.col(start).alias("at"), F.lit(1).alias("step"))
     closed = spans.select(F.col(end).alias("at"), F.lit(-1).alias("step"))
     steps = opened.unionByName(closed).groupBy("at", "step").agg(F.sum("step").alias("delta"))
-    rows = scale.running_sum(
-        steps, [], [F.asc("at"), F.asc("step")], F.col("at").cast("double"),
-        value=F.col("delta"), name="open", **kw
-    )
+    rows = scale.running_sum(steps, [], [F.asc("at"), F.asc("step")], value=F.col("delta"), name="open")
     return rows.agg(F.max("open").alias("peak"))
 
 
@@ -266,7 +279,7 @@ def apply_patches(
     return rows.withColumn(error, F.when(~cleared, F.col(error))).drop("_run", "_err")
 
 
-def inversions(rows: DataFrame, by: str = "batch_id", **kw) -> DataFrame:
+def inversions(rows: DataFrame, by: str = "batch_id") -> DataFrame:
     """Per batch: is the judge's order consistent with the scores, and how many pairs flip.
 
     A pair flips when one article has the better (greater) score and the worse
@@ -294,8 +307,8 @@ def inversions(rows: DataFrame, by: str = "batch_id", **kw) -> DataFrame:
     both = give.unionByName(ask)
     # Questions come before answers of the same score, so only greater scores count.
     seen = scale.running_sum(
-        both, [by, "level", "node"], [F.desc("score"), F.desc(F.col("asked") > 0)], "score",
-        value=F.col("given"), name="above", descending=True, **kw
+        both, [by, "level", "node"], [F.desc("score"), F.desc(F.col("asked") > 0)],
+        value=F.col("given"), name="above",
     )
     flips = seen.groupBy(by).agg(F.sum(F.col("asked") * F.col("above")).alias("conflicts"))
     batches = rows.select(by).distinct()

@@ -12,9 +12,9 @@ from litmill import scale
 from litmill.functions import text
 
 
-def source_rank(df: DataFrame, run: str, pos: str, **kw) -> DataFrame:
-    """Provider order within each run, from 1."""
-    return scale.running_sum(df, [run], [F.asc(pos)], pos, name="source_rank", **kw)
+def source_rank(df: DataFrame, run: str, pos: str) -> DataFrame:
+    """Provider order within each run, from 1; null positions come first."""
+    return scale.running_sum(df, [run], [F.asc_nulls_first(pos)], name="source_rank")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], pos: str) -> tuple[DataFrame, DataFrame]:
@@ -53,9 +53,7 @@ def union_latest(keys: Sequence[str], seq: Sequence[str], *parts: DataFrame) ->
     return latest_by_key(rows, keys, [*seq, "_part"]).drop("_part")
 
 
-def balanced_batches(
-    df: DataFrame, by: str, size: int, order: Sequence[Column], split_on: str, **kw
-) -> DataFrame:
+def balanced_batches(df: DataFrame, by: str, size: int, order: Sequence[Column]) -> DataFrame:
     """Contiguous batches per group whose sizes differ by at most one, larger ones first.
 
     n rows make k = ceil(n/size) batches; with b = n div k and r = n mod k the
@@ -64,9 +62,9 @@ def balanced_batches(
     """
     if size < 1:
         raise ValueError("size must be positive")
-    numbered = scale.running_sum(df, [by], order, split_on, name="_p", **kw)
+    numbered = scale.running_sum(df, [by], order, name="_p")
     counts = df.groupBy(by).agg(F.count("*").alias("_n"))
-    rows = scale.lookup(numbered, counts, [by], "inner")
+    rows = scale.join_all(numbered, counts, [by], "inner")
     n, p = F.col("_n"), F.col("_p") - 1
     rows = rows.withColumn("_k", F.ceil(n / size)).withColumn("_b", F.floor(n / F.col("_k")))
     rows = rows.withColumn("_r", n % F.col("_k"))
@@ -79,56 +77,29 @@ def balanced_batches(
     ).drop("_p", "_n", "_k", "_b", "_r")
 
 
-def round_robin(
-    df: DataFrame, by: str, order: Sequence[Column], split_on: str, group_order: str, **kw
-) -> DataFrame:
+def round_robin(df: DataFrame, by: str, order: Sequence[Column], group_order: str) -> DataFrame:
     """Interleave groups one row at a time; ``dispatch`` is the place in the joint queue."""
-    turns = scale.running_sum(df, [by], order, split_on, name="turn", **kw)
-    return scale.running_sum(
-        turns, [], [F.asc("turn"), F.asc(group_order)], "turn", name="dispatch", **kw
-    )
+    turns = scale.running_sum(df, [by], order, name="turn")
+    return scale.running_sum(turns, [], [F.asc("turn"), F.asc(group_order)], name="dispatch")
 
 
-def next_sequence(store: DataFrame, new: DataFrame, key: str, order: Sequence[Column], split_on: str) -> DataFrame:
+def next_sequence(store: DataFrame, new: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """Sequence numbers for new rows: after the greatest stored one, from 0 in an empty group."""
     last = store.groupBy(key).agg(F.max("sequence_no").alias("_last"))
-    rows = scale.running_sum(new, [key], order, split_on, name="_rn")
-    rows = scale.lookup(rows, last, [key], "left")
+    rows = scale.running_sum(new, [key], order, name="_rn")
+    rows = scale.join_all(rows, last, [key])
     return rows.withColumn(
         "sequence_no", F.coalesce("_last", F.lit(-1)) + F.col("_rn")
     ).drop("_last", "_rn")
 
 
-def stage_changes(
-    df: DataFrame, key: str, ts: str, tie: str, stage: str, hot_rows: int = scale.HOT_ROWS
-) -> DataFrame:
+def stage_changes(df: DataFrame, key: str, ts: str, tie: str, stage: str) -> DataFrame:
     """Rows whose stage differs from the previous row of their key (order: ts, then tie).
 
-    Keys with too many rows for one task are cut into slices of time.  Inside a
-    slice the previous row is a lag; the first row of a slice takes the last
-    stage of the slices before it, of which there are SLICES per hot key.
+    Keys are cut into ranges of time; the first row of a range takes the last
+    stage of the range before it.
     """
-    hot = scale.hot_groups(df, [key], hot_rows)
-    order = [F.asc(ts), F.asc(tie)]
-    if hot is None:
-        rows = df.withColumn("previous", F.lag(stage).over(W.partitionBy(key).orderBy(*order)))
-        return rows.filter(F.col("previous").isNull() | (F.col("previous") != F.col(stage)))
-    sliced, _ = scale.sliced(df, [key], F.unix_micros(F.col(ts).cast("timestamp")), hot)
-    own = W.partitionBy(key, "_slice").orderBy(*order)
-    lasts = sliced.groupBy(key, "_slice").agg(
-        F.max_by(stage, F.struct(ts, tie)).alias("_last")
-    )
-    before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = scale.stage(
-        lasts.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last"),
-        "carried",
-    )
-    rows = sliced.withColumn("_lag", F.lag(stage).over(own)).withColumn(
-        "_first", F.row_number().over(own) == 1
-    )
-    rows = rows.join(carried, [key, "_slice"])
-    rows = rows.withColumn("previous", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
-    rows = rows.drop("_slice", "_carry", "_lag", "_first")
+    rows = scale.previous(df, key, [ts, tie], stage, "previous")
     return rows.filter(F.col("previous").isNull() | (F.col("previous") != F.col(stage)))
 
 
@@ -138,16 +109,14 @@ def tiers(df: DataFrame, by: str, score: str) -> DataFrame:
     Numbers the distinct scores of a group, not its rows, and looks them up.
     """
     levels = df.select(by, score).distinct()
-    numbered = scale.running_sum(
-        levels, [by], [F.desc(score)], score, name="tier", descending=True
-    )
-    # (group, score) is the key: a hot pair is handled by the lookup.
-    return scale.lookup(df, numbered, [by, score], "inner")
+    numbered = scale.running_sum(levels, [by], [F.desc_nulls_last(score)], name="tier")
+    return scale.join_all(df, numbered, [by, score], "inner")
 
 
-def cap_per_source(df: DataFrame, run: str, pos: str, n: int = 100, **kw) -> DataFrame:
-    """At most ``n`` rows per run, in provider order."""
-    return source_rank(df, run, pos, **kw).filter(F.col("source_rank") <= n)
+def cap_per_source(df: DataFrame, run: str, pos: str, n: int | None = None) -> DataFrame:
+    """At most ``n`` rows per run, in provider order; all of them unless a cut is asked for."""
+    ranked = source_rank(df, run, pos)
+    return ranked if n is None else ranked.filter(F.col("source_rank") <= n)
 
 
 def latest(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:

@@ -61,19 +61,14 @@ def fallback_order() -> list[Column]:
     return [F.desc("composite_score"), F.asc("article_id")]
 
 
-def rank_retained(df: DataFrame, **kw) -> DataFrame:
+def rank_retained(df: DataFrame) -> DataFrame:
     """Contribution, composite, newest date (unknown last), id."""
-    split = F.col("contribution_score") * F.lit(100.0) + F.col("composite_score")
-    return scale.running_sum(
-        df, [], retained_order(), split, name="position", descending=True, **kw
-    )
+    return scale.running_sum(df, [], retained_order(), name="position")
 
 
-def rank_fallback(df: DataFrame, **kw) -> DataFrame:
+def rank_fallback(df: DataFrame) -> DataFrame:
     """Composite score, id: used when no contributions are at hand."""
-    return scale.running_sum(
-        df, [], fallback_order(), "composite_score", name="position", descending=True, **kw
-    )
+    return scale.running_sum(df, [], fallback_order(), name="position")
 
 
 def truncate(
@@ -144,7 +139,7 @@ def one_preferred(resources: DataFrame, by: str = "article_id") -> DataFrame:
         .groupBy(by)
         .agg(F.min_by("url", order).alias("_url"))
     )
-    rows = scale.lookup(resources.drop("is_preferred"), best, [by], "left")
+    rows = resources.drop("is_preferred").join(best, [by], "left")
     return rows.withColumn(
         "is_preferred", F.col("is_downloadable") & F.col("url").eqNullSafe(F.col("_url"))
     ).drop("_url")
@@ -161,7 +156,7 @@ def attach_best_resource(articles: DataFrame, resources: DataFrame, **kw) -> Dat
 def candidate_issues(df: DataFrame) -> DataFrame:
     """Recommendation input: unique ids, finite scores, the summary belongs to its candidate."""
     counts = df.groupBy("article_id").agg(F.count("*").alias("_n"))
-    rows = scale.lookup(df, counts, ["article_id"], "left")
+    rows = df.join(counts, ["article_id"], "left")
     score = F.col("composite_score")
     infinite = F.isnan(score) | (F.abs(score) == float("inf"))
     return rows.withColumn(

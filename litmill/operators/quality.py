@@ -275,12 +275,17 @@ def rescore(verdicts: DataFrame, criteria: DataFrame) -> DataFrame:
     )
 
 
+def apart(a: Column, b: Column, tolerance: float = SCORE_TOLERANCE, relative: float = 1e-9) -> Column:
+    """True if two scores differ by more than the tolerance and by more than the relative one."""
+    return F.abs(a - b) > F.greatest(F.lit(tolerance), F.lit(relative) * F.greatest(F.abs(a), F.abs(b)))
+
+
 def drift(stored: DataFrame, fresh: DataFrame, tolerance: float = SCORE_TOLERANCE) -> DataFrame:
     """Articles whose stored quality score differs from the recomputed one."""
     both = stored.select("article_id", F.col("quality_score").alias("stored_score")).join(
         fresh.select("article_id", F.col("quality_score").alias("fresh_score")), "article_id"
     )
-    return both.filter(F.abs(F.col("stored_score") - F.col("fresh_score")) > tolerance)
+    return both.filter(apart(F.col("stored_score"), F.col("fresh_score"), tolerance))
 
 
 def flatten_assessments(packed: DataFrame, col: str = "payload") -> DataFrame:

@@ -163,11 +163,9 @@ def rank_order(key: str = "article_id") -> list[Column]:
     return [F.desc("candidate_score"), F.desc("core_matched"), F.asc(key)]
 
 
-def rank(df: DataFrame, key: str = "article_id", **kw) -> DataFrame:
+def rank(df: DataFrame, key: str = "article_id") -> DataFrame:
     """Number all rows: score descending, core matches first, id ascending."""
-    return scale.running_sum(
-        df, [], rank_order(key), "candidate_score", name="selection_rank", descending=True, **kw
-    )
+    return scale.running_sum(df, [], rank_order(key), name="selection_rank")
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], k: int, key: str, vec: str) -> DataFrame:
@@ -192,16 +190,20 @@ def mark_first(
 
 
 def decide(df: DataFrame, limit: int = 50, key: str = "article_id") -> DataFrame:
-    """Selection status of every scored row, with the reason of each exclusion."""
+    """Selection status of every row, with the reason of each exclusion; a row without a vector is never selected."""
     supported = F.coalesce(F.col("study_group").isin(*STUDY_TYPES), F.lit(False))
-    ok = F.col("core_matched") & supported
+    scored = F.col("candidate_score").isNotNull()
+    ok = F.col("core_matched") & supported & scored
     out = mark_first(df, ok, rank_order(key), limit, key, "_in")
     reason = (
         F.when(~F.col("core_matched"), F.lit("core_intervention_not_matched"))
         .when(~supported, F.lit("unsupported_study_design"))
+        .when(~scored, F.lit("no_vector"))
         .when(~F.col("_in"), F.lit("global_candidate_limit_reached"))
     )
-    status = F.when(F.col("_in"), F.lit("selected")).otherwise(F.lit("not_selected"))
+    status = (
+        F.when(~scored, F.lit("no_vector")).when(F.col("_in"), F.lit("selected")).otherwise(F.lit("not_selected"))
+    )
     return out.withColumn("selection_status", status).withColumn(
         "exclusion_reason", reason
     ).drop("_in")

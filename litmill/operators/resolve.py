@@ -18,10 +18,6 @@ SOURCE_PRIORITY = {
 }
 REVIEW_PRIORITY = {"peer_reviewed": 2, "unknown": 1, "preprint": 0}
 STRONG_IDS = ("doi", "pmid", "pmcid")
-# Up to this many keys a cluster's id is the hash of its full sorted key list.
-FULL_ID_KEYS = 10_000
-# Up to this many distinct items a cluster's lists are also given as arrays.
-PACK_ITEMS = 10_000
 
 
 def _map(values: dict) -> Column:
@@ -77,17 +73,17 @@ def _best(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.min("dst").alias("best"))
 
 
-def _jump(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _jump(edges: DataFrame) -> DataFrame:
     """Point every node at the least out-neighbour of what it points at (large star)."""
     best = _best(edges).withColumnRenamed("src", "dst")
-    moved = scale.lookup(edges, best, ["dst"], "left", hot_rows)
+    moved = edges.join(best, ["dst"], "left")
     return moved.select("src", F.coalesce("best", "dst").alias("dst")).distinct()
 
 
-def _gather(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _gather(edges: DataFrame) -> DataFrame:
     """Point every node and all its out-neighbours at the least of them (small star)."""
     best = _best(edges)
-    met = scale.lookup(edges, best, ["src"], "inner", hot_rows)
+    met = edges.join(best, ["src"], "inner")
     pairs = met.select(F.col("dst").alias("src"), F.col("best").alias("dst"))
     own = best.withColumnRenamed("best", "dst")
     return pairs.filter("src <> dst").unionByName(own).distinct()
@@ -102,11 +98,7 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
     return not targets.join(edges.select("src"), "src", "left_semi").limit(1).count()
 
 
-def components(
-    keys: DataFrame,
-    max_rounds: int = 60,
-    hot_rows: int = scale.HOT_ROWS,
-) -> DataFrame:
+def components(keys: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(record_id, cluster): records that share a key, directly or through others.
 
     ``cluster`` is the least record id of the component.  A key's holders are
@@ -123,7 +115,7 @@ def components(
         .drop("_last")
     )
     edges = (
-        scale.lookup(keys, hubs, ["kind", "value"], "inner", hot_rows)
+        keys.join(hubs, ["kind", "value"], "inner")
         .filter("record_id <> hub")
         .select(F.col("record_id").alias("src"), F.col("hub").alias("dst"))
         .distinct()
@@ -132,10 +124,7 @@ def components(
     for _ in range(max_rounds):
         if _is_forest_of_stars(edges):
             break
-        jumped = _jump(edges, hot_rows)
-        if hot_rows < scale.HOT_ROWS or scale.estimated_bytes(edges) > scale.SMALL_BYTES:
-            jumped = scale.stage(jumped, "edges")
-        edges = scale.stage(_gather(jumped, hot_rows), "edges")
+        edges = scale.stage(_gather(scale.stage(_jump(edges), "edges")), "edges")
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     stars = edges.select(F.col("src").alias("record_id"), F.col("dst").alias("cluster"))
@@ -274,15 +263,9 @@ def union_resources(members: DataFrame, by: str, order: Column) -> DataFrame:
     )
 
 
-def _packable(items: DataFrame, by: str, limit: int) -> DataFrame:
-    """Items of the groups that are small enough to be gathered into an array."""
-    small = items.groupBy(by).agg(F.count("*").alias("_n")).filter(F.col("_n") <= limit).select(by)
-    return scale.lookup(items, small, [by], "left_semi")
-
-
-def _pack(items: DataFrame, by: str, value: str, name: str, limit: int) -> DataFrame:
+def _pack(items: DataFrame, by: str, value: str, name: str) -> DataFrame:
     """Lists again, for the record contract: one array per group of distinct items."""
-    return _packable(items, by, limit).groupBy(by).agg(
+    return items.groupBy(by).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("item_order", F.col(value).alias("v")))),
             lambda x: x["v"],
@@ -290,9 +273,7 @@ def _pack(items: DataFrame, by: str, value: str, name: str, limit: int) -> DataF
     )
 
 
-def _pack_texts(
-    members: DataFrame, by: str, order: Column, names: list[str], limit: int
-) -> DataFrame:
+def _pack_texts(members: DataFrame, by: str, order: Column, names: list[str]) -> DataFrame:
     """Several text lists united in one pass; one array column per list."""
 
     def tagged(name: str) -> Column:
@@ -315,7 +296,7 @@ def _pack_texts(
         ).alias(n)
         for n in names
     ]
-    return _packable(firsts, by, limit).groupBy(by).agg(*packed)
+    return firsts.groupBy(by).agg(*packed)
 
 
 _FIRST_FILLED = (
@@ -325,14 +306,12 @@ _FIRST_FILLED = (
 )
 
 
-def merge_clusters(
-    records: DataFrame, clusters: DataFrame, pack_lists: bool = True, pack_items: int = PACK_ITEMS
-) -> DataFrame:
+def merge_clusters(records: DataFrame, clusters: DataFrame, pack_lists: bool = True) -> DataFrame:
     """One merged row per cluster.
 
-    Lists are united into arrays.  A cluster of more than ``pack_items`` distinct
-    list items has null arrays, as no task may gather them; ``union_texts`` and
-    ``union_resources`` give the whole lists of every cluster in long form.
+    Lists are united into arrays of distinct items, whole at every size; where an
+    article may list more than a row should hold, turn ``pack_lists`` off and take
+    the long forms that ``union_texts`` and ``union_resources`` give.
 
     Thin fields are merged with map-side-combined aggregates.  Titles and
     abstracts stay out of that shuffle: only the winning record ids travel, and
@@ -392,65 +371,30 @@ def merge_clusters(
     if pack_lists:
         names = [n for n in ("publication_types", "keywords") if n in have]
         if names:
-            counted = F.sum(sum((F.size(F.coalesce(n, F.array().cast("array<string>"))) for n in names), F.lit(0)))
-            given = members.groupBy("cluster").agg(counted.alias("_given"))
-            out = out.join(_pack_texts(members, "cluster", order, names, pack_items), "cluster", "left")
-            out = out.join(given, "cluster")
-            for name in names:
-                # Nothing to list is an empty array; too much to gather stays null.
-                empty = F.when(F.col("_given") <= pack_items, F.array().cast("array<string>"))
-                out = out.withColumn(name, F.coalesce(F.col(name), empty))
-            out = out.drop("_given")
+            out = out.join(_pack_texts(members, "cluster", order, names), "cluster", "left")
+            out = out.withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in names})
         if "full_text_resources" in have:
             res = _pack(
                 union_resources(members, "cluster", order), "cluster", "resource",
-                "full_text_resources", pack_items,
+                "full_text_resources",
             )
             out = out.join(res, "cluster", "left")
     return out
 
 
-def cluster_ids(
-    keys: DataFrame,
-    clusters: DataFrame,
-    records: DataFrame,
-    full_id_keys: int = FULL_ID_KEYS,
-) -> DataFrame:
-    """(cluster, cluster_id): hash of the sorted list of all members' keys, repeats kept.
+def cluster_ids(keys: DataFrame, clusters: DataFrame, records: DataFrame) -> DataFrame:
+    """(cluster, cluster_id): hash of a digest of all members' keys, repeats counted, in no order.
 
-    A cluster without keys hashes its title and input position.  A cluster of
-    more than ``full_id_keys`` keys, whose list must not be gathered in one
-    task, hashes an order-free digest of the same keys instead.
+    The digest is the number of keys and two sums of 60 bits each of their MD5
+    values, so a cluster of any size is summed where its rows lie.  A cluster
+    without keys hashes its title and input position.
     """
-    counted = scale.stage(_keys_in_clusters(keys, clusters), "cluster-keys")
-    counted = counted.withColumn("k", F.concat_ws(":", "kind", "value"))
-    sizes = counted.groupBy("cluster").agg(
-        F.sum("n").alias("size"),
-        F.sum(F.xxhash64("k", "n").cast("decimal(38,0)")).alias("_sum"),
-        F.bit_xor(F.xxhash64("n", "k")).alias("_xor"),
-        F.min("k").alias("_low"),
-        F.max("k").alias("_high"),
-    )
-    sizes = scale.stage(sizes, "cluster-sizes")
-    small = sizes.filter(F.col("size") <= full_id_keys).select("cluster")
-    exact = (
-        scale.lookup(counted, small, ["cluster"], "left_semi")
+    bits = F.md5(F.concat_ws(":", "kind", "value"))
+    part = lambda at: F.sum(F.conv(F.substring(bits, at, 15), 16, 10).cast("decimal(38,0)"))
+    digests = (
+        keys.join(clusters, "record_id")
         .groupBy("cluster")
-        .agg(
-            F.array_join(
-                F.flatten(
-                    F.transform(
-                        F.array_sort(F.collect_list(F.struct("k", "n"))),
-                        lambda x: F.array_repeat(x["k"], x["n"].cast("int")),
-                    )
-                ),
-                "|",
-            ).alias("identity")
-        )
-    )
-    large = sizes.filter(F.col("size") > full_id_keys).select(
-        "cluster",
-        F.concat_ws("|", F.lit("digest"), "size", "_sum", "_xor", "_low", "_high").alias("identity"),
+        .agg(F.concat_ws("|", F.lit("keys"), F.count("*"), part(1), part(16)).alias("identity"))
     )
     bare = records.join(keys.select("record_id").distinct(), "record_id", "left_anti").select(
         F.col("record_id").alias("cluster"),
@@ -458,8 +402,7 @@ def cluster_ids(
             ":", F.lit("unidentified"), "normalized_title", F.col("record_id").cast("string")
         ).alias("identity"),
     )
-    every = exact.unionByName(large).unionByName(bare)
-    return every.select(
+    return digests.unionByName(bare).select(
         "cluster", F.substring(F.sha2(F.col("identity"), 256), 1, 24).alias("cluster_id")
     )
 
@@ -486,13 +429,13 @@ def link_pairs(records: DataFrame, keys: DataFrame, clusters: DataFrame) -> Data
     """(member, canonical, kinds): each duplicate, what it was merged into, and by which kinds."""
     shared = keys.groupBy("kind", "value").count().filter("count > 1").select("kind", "value")
     kinds = (
-        scale.lookup(keys, shared, ["kind", "value"], "left_semi")
+        keys.join(shared, ["kind", "value"], "left_semi")
         .groupBy("record_id")
         .agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     )
     members = clusters.withColumnRenamed("record_id", "member_id")
     best = canonical(records, clusters)
-    pairs = scale.lookup(members, best, ["cluster"], "inner")
+    pairs = members.join(best, ["cluster"], "inner")
     return (
         pairs.filter("member_id <> canonical_id")
         .join(kinds.withColumnRenamed("record_id", "member_id"), "member_id", "left")

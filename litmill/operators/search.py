@@ -20,8 +20,6 @@ SOURCE_REASONS = {
     "pmc": "用户明确需要开放全文或全文解析",
     "semantic_scholar": "研究方向较宽或跨学科，增加语义检索补充召回",
 }
-# A profile beyond this many terms is matched by joining word runs, not by inline tests.
-INLINE_TERMS = 500
 SALTS = 16
 
 
@@ -198,8 +196,8 @@ def apply_constraints(
             F.when(F.col("_unknown"), F.raise_error(F.lit("unknown study design constraint")))
             .otherwise(F.lit(False)),
         )
-    pairs = scale.lookup(found, per_query, ["query_id"], "left")
-    pairs = scale.lookup(pairs, docs.select(doc_key, "design_values"), [doc_key], "inner")
+    pairs = found.join(per_query, ["query_id"], "left")
+    pairs = pairs.join(docs.select(doc_key, "design_values"), [doc_key], "inner")
     none = F.array().cast("array<string>")
     must, never, like = (F.coalesce(c, none) for c in ("_must", "_not", "_like"))
     keep = (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill import scale
-from litmill.functions import exact
+from litmill.functions import markup
 
 # Fixed value: version stamp of the splitting rule.
 SEGMENTER_VERSION = "sentence-window-v1"
@@ -18,7 +18,7 @@ SPAN_TYPE = (
 
 def sentences(df: DataFrame, col: str, guard_abbreviations: bool = False) -> DataFrame:
     """One row per sentence with its place and trimmed offsets."""
-    bounds = exact.sentence_bounds(F.col(col), guard_abbreviations)
+    bounds = markup.sentence_bounds(F.col(col), guard_abbreviations)
     cut = df.withColumn("_b", bounds)
     at = F.posexplode(F.sequence(F.lit(0), (F.size("_b") / 2).cast("int") - 1))
     rows = cut.filter(F.size("_b") > 0).select(*df.columns, "_b", at.alias("sentence", "_i"))
@@ -56,8 +56,8 @@ def with_spans(
 ) -> DataFrame:
     """Add ``spans``: windows of at most ``window`` sentences of title and abstract."""
     key = F.col(article).cast("string")
-    cut = df.withColumn("_t", exact.sentence_bounds(F.coalesce(title, F.lit("")))).withColumn(
-        "_a", exact.sentence_bounds(F.coalesce(abstract, F.lit("")))
+    cut = df.withColumn("_t", markup.sentence_bounds(F.coalesce(title, F.lit("")))).withColumn(
+        "_a", markup.sentence_bounds(F.coalesce(abstract, F.lit("")))
     )
     spans = F.concat(
         _windows(key, "title", F.col(title), F.col("_t"), window),
@@ -89,7 +89,7 @@ def resolve_spans(cites: DataFrame, spans: DataFrame, keys: list[str], article:
     """
     cited = cites.select(*keys, F.col(article).alias("_by"), F.explode("span_ids").alias("span_id"))
     known = spans.select("span_id", F.col(article).alias("_owner"), "source", "sequence", "text")
-    met = scale.lookup(cited, known, ["span_id"], "left")
+    met = cited.join(known, ["span_id"], "left")
     order = F.struct(
         F.when(F.col("source") == "title", 0).otherwise(1).alias("o"), "sequence", "text"
     )

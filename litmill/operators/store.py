@@ -56,7 +56,7 @@ def task_articles(
         .select("task_id", "article_id")
         .distinct()
     )
-    return scale.lookup(pairs, articles, ["article_id"], "inner")
+    return pairs.join(articles, ["article_id"], "inner")
 
 
 def _keys(df: DataFrame, key: str) -> list[tuple[int, str, DataFrame]]:
@@ -95,7 +95,7 @@ def match_existing(incoming: DataFrame, store: DataFrame) -> DataFrame:
     found = None
     for (n, way, left), (_, _, right) in zip(_keys(incoming, "record_id"), _keys(store, "article_id")):
         one = right.groupBy("value").agg(F.min("article_id").alias("article_id"))
-        hits = scale.lookup(left, one, ["value"], "inner").select(
+        hits = left.join(one, ["value"], "inner").select(
             "record_id", "article_id", F.lit(n).alias("_n"), F.lit(way).alias("matched_by")
         )
         found = hits if found is None else found.unionByName(hits)
@@ -172,7 +172,7 @@ def upsert_resources(store: DataFrame, incoming: DataFrame) -> DataFrame:
         .groupBy("article_id")
         .agg(F.min_by("url", offer).alias("_choice"))
     )
-    out = scale.lookup(merged, chosen, ["article_id"], "left")
+    out = merged.join(chosen, ["article_id"], "left")
     preferred = F.when(F.col("_choice").isNull(), F.col("_was")).otherwise(
         F.col("url") == F.col("_choice")
     )
@@ -206,7 +206,7 @@ def hydrate(ids: DataFrame, articles: DataFrame, key: str = "article_id") -> Dat
     counts = ids.groupBy("list_id", key).agg(F.count("*").alias("_n"))
     rows = ids.join(counts, ["list_id", key])
     found = articles.withColumn("_found", F.lit(True))
-    out = scale.lookup(rows, found, [key], "left")
+    out = rows.join(found, [key], "left")
     return out.withColumn("missing", F.col("_found").isNull()).withColumn(
         "repeated", F.col("_n") > 1
     ).drop("_found", "_n")
@@ -225,7 +225,7 @@ def convert_ids(df: DataFrame, crosswalk: DataFrame, kind: str) -> DataFrame:
     rows = df.drop("pmcid").withColumn("_id", clean(F.col(kind)))
     known = rows.filter("_id is not null")
     rest = rows.filter("_id is null").withColumn("pmcid", F.lit(None).cast("string"))
-    return scale.lookup(known, table, ["_id"], "left").unionByName(rest).drop("_id")
+    return known.join(table, ["_id"], "left").unionByName(rest).drop("_id")
 
 
 def run_ledger(requested: DataFrame, results: DataFrame) -> DataFrame:

@@ -27,14 +27,14 @@ class Resolved:
     runs: DataFrame
 
 
-def resolve_corpus(rec: DataFrame, hot_rows: int = scale.HOT_ROWS, pack_lists: bool = True) -> Resolved:
+def resolve_corpus(rec: DataFrame, pack_lists: bool = True) -> Resolved:
     """Records to canonical articles: contract rules, identity keys, components, merge.
 
     ``rec`` must be cheap to read again (a table, not a long lineage).
     """
     good, bad, runs = records.split_quarantine(rec)
     keys = resolve.identity_keys(good)
-    clusters = scale.stage(resolve.components(keys, hot_rows=hot_rows), "clusters")
+    clusters = scale.stage(resolve.components(keys), "clusters")
     merged = resolve.merge_clusters(good, clusters, pack_lists)
     return Resolved(merged, clusters, keys, bad, runs)
 
@@ -46,12 +46,14 @@ def rank_corpus(
     vectors: DataFrame,
     query_vector: Sequence[float],
     limit: int = 50,
-    coarse: bool = True,
+    coarse: bool = False,
 ) -> DataFrame:
-    """Every scored article with its rank, parts of the score, status and reason.
+    """Every article with its rank, parts of the score, status and reason.
 
     articles: article_id, title, abstract, publication_date, publication_year,
-    publication_types, study_design.  vectors: article_id, embedding.  The texts
+    publication_types, study_design.  vectors: article_id, embedding; an article
+    without one ranks last with status no_vector.  ``coarse`` cuts before the vectors
+    are read, for interactive use; by default nothing is cut.  The texts
     are mapped once; only thin score rows are written and ranked.
     """
     from litmill.functions.values import cosine_to

@@ -1,8 +1,8 @@
 """Helpers that keep the operators safe on very large and very skewed tables.
 
-Nothing here caps, samples or drops rows.  Each helper looks at the key
-distribution with one map-side-combined count and, only if some key is hot,
-takes that key's rows through a path whose work is spread over many tasks.
+Nothing here caps, samples or drops rows, and nothing depends on the size of
+the input: joins are left to Catalyst and its adaptive skew handling, numbering
+goes by range.
 """
 
 from __future__ import annotations
@@ -15,18 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# A single key may hold this many rows in one task before its rows are split.
-HOT_ROWS = 2_000_000
-# No more than this many keys can be hot, whatever the table size: the row
-# threshold grows with the table, so the hot-key side stays small enough to broadcast.
-MAX_HOT_KEYS = 1_000
-# Below this estimated input size no key can be hot, so the count is not run.
-SMALL_BYTES = 64 * 1024 * 1024
-# Slices per hot group when a running value is computed.
-SLICES = 64
-# Accuracy of the quantile sketch that picks the slice borders.
-BORDER_ACCURACY = 10_000
-
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables: the one the cluster names in spark.checkpoint.dir."""
@@ -62,141 +50,67 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame (an upper bound unless statistics say better)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def hot_floor(total: int, hot_rows: int) -> int:
-    return max(hot_rows, total // MAX_HOT_KEYS)
+def join_all(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys where null equals null; the keys come from the left."""
+    other = right.withColumnsRenamed({k: f"_{k}_right" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_{k}_right"))
+    return left.join(other, met, how).drop(*(f"_{k}_right" for k in keys))
 
 
-def hot_groups(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
-) -> DataFrame | None:
-    """Keys holding more than the hot threshold, or None if there is none.
+def ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str) -> DataFrame:
+    """The rows dealt by range of keys and order, with the number of their range in ``_part``; written out.
 
-    The result has at most MAX_HOT_KEYS rows, so it may be broadcast.
+    A key with many rows spans several ranges, so no task holds more than one;
+    only rows that tie in every column stay together.
     """
-    if hot_rows >= HOT_ROWS and estimated_bytes(df) <= SMALL_BYTES:
-        return None
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    row = sizes.agg(F.sum("_n").alias("total"), F.max("_n").alias("top")).first()
-    if row["top"] is None or row["top"] <= hot_rows:
-        return None
-    floor = hot_floor(row["total"], hot_rows)
-    if row["top"] <= floor:
-        return None
-    return sizes.filter(F.col("_n") > floor).drop("_n")
-
-
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Many-to-one join (right holds one row per key) that survives hot keys on the left.
-
-    Rows of hot keys meet a broadcast of the matching right rows (at most
-    MAX_HOT_KEYS of them); all other rows take the ordinary shuffle join.
-    """
-    on = list(on)
-    hot = hot_groups(left, on, hot_rows)
-    if hot is None:
-        return left.join(right, on, how)
-    hot = stage(hot, "hot-keys")
-    hot_right = stage(right.join(F.broadcast(hot), on, "left_semi"), "hot-right")
-    whole = left.dropna(subset=on)
-    cold = whole.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
-    warm = whole.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_right), on, how)
-    out = cold.unionByName(warm)
-    if how == "left":
-        # Rows with a null key match nothing; they skip the shuffle, where all would meet in one task.
-        null_key = F.lit(False)
-        for c in on:
-            null_key = null_key | F.col(c).isNull()
-        out = out.unionByName(left.filter(null_key), allowMissingColumns=True)
-    return out
-
-
-def sliced(
-    df: DataFrame, keys: Sequence[str], split: Column, hot: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """All rows with a ``_slice``: 0 for ordinary keys, 0..SLICES-1 by ``split`` for hot keys.
-
-    Null split values go to the last slice, so they must sort last.
-    """
-    keys = list(keys)
-    hot = stage(hot, "hot-keys")
-    frame = df.withColumn("_x", split.cast("double"))
-    warm = frame.join(F.broadcast(hot), keys, "left_semi")
-    cuts = [i / SLICES for i in range(1, SLICES)]
-    borders = stage(
-        warm.groupBy(*keys).agg(F.percentile_approx("_x", cuts, BORDER_ACCURACY).alias("_cuts")),
-        "slice-borders",
-    )
-    place = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
-    # At most MAX_HOT_KEYS border lists, so the side is bounded.
-    out = frame.join(F.broadcast(borders), keys, "left").withColumn(
-        "_slice",
-        F.when(F.col("_cuts").isNull(), 0).when(F.col("_x").isNull(), SLICES).otherwise(place),
-    )
-    return out.drop("_cuts", "_x"), borders
+    lead = [F.col(k).asc_nulls_first() for k in keys]
+    return stage(df.repartitionByRange(*lead, *order).withColumn("_part", F.spark_partition_id()), label)
 
 
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    split_on: str | Column,
     value: Column | None = None,
     name: str = "seq",
-    hot_rows: int = HOT_ROWS,
-    descending: bool = False,
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` per key in the given total order.
+    """Inclusive running sum of ``value`` per key in the given total order; rows with a null key form a group.
 
-    With ``value`` omitted this numbers the rows 1..n.  ``split_on`` is the
-    numeric, date or timestamp column that leads ``order`` (``descending`` says
-    which way); the rows of a hot group are cut into slices on it, each slice
-    is summed in its own task, and the slice totals (SLICES per hot group) are
-    carried forward.  Ties share a slice, so the result is exact.
+    With ``value`` omitted this numbers the rows 1..n.  Rows are summed within
+    their range, and what the key's earlier ranges hold is carried forward: one
+    total for each key and range, few of which are not a key's first.
     """
     keys = list(keys)
     value = F.lit(1) if value is None else value
-    frame = df.withColumn("_v", value.cast("long"))
-    group_keys = keys or ["_all"]
-    if not keys:
-        frame = frame.withColumn("_all", F.lit(0))
-    hot = hot_groups(frame, group_keys, hot_rows)
-
-    def window(parts):
-        return W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-
-    if hot is None:
-        out = frame.withColumn(name, F.sum("_v").over(window(group_keys)))
-        return out.drop("_v", "_all")
-
-    split = F.col(split_on) if isinstance(split_on, str) else split_on
-    warm, _ = sliced(frame, group_keys, split, hot)
-    if descending:
-        # Null split values keep the last slice in both directions.
-        back = F.when(F.col("_slice") < SLICES, F.lit(SLICES - 1) - F.col("_slice"))
-        warm = warm.withColumn("_slice", F.coalesce(back, F.lit(SLICES)))
-    before = W.partitionBy(*group_keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = stage(
-        warm.groupBy(*group_keys, "_slice")
-        .agg(F.sum("_v").alias("_t"))
-        .withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-        .drop("_t"),
-        "slice-offsets",
-    )
-    warm = (
-        warm.withColumn(name, F.sum("_v").over(window([*group_keys, "_slice"])))
-        .join(offsets, [*group_keys, "_slice"])
-        .withColumn(name, F.col(name) + F.col("_before"))
-        .drop("_v", "_all", "_slice", "_before")
+    rows = ranges(df.withColumn("_v", value.cast("long")), keys, order, "ranges")
+    parts = ["_part", *keys]
+    totals = rows.groupBy(*parts).agg(F.sum("_v").alias("_t"))
+    if keys:
+        before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        bases = totals.withColumn("_base", F.sum("_t").over(before)).filter("_base is not null").drop("_t")
+    else:
+        # As many rows as ranges.
+        at, listed = 0, []
+        for part, total in sorted(totals.collect()):
+            listed.append((part, at))
+            at += total or 0
+        bases = df.sparkSession.createDataFrame(listed, "_part int, _base long")
+    within = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = join_all(rows.withColumn(name, F.sum("_v").over(within)), bases, parts)
+    return out.withColumn(name, F.col(name) + F.coalesce("_base", F.lit(0))).drop("_v", "_part", "_base")
+
+
+def previous(df: DataFrame, key: str, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``value`` of the row before, per key in the order of the given columns (nulls first); null keys form a group."""
+    sort = [F.col(c).asc_nulls_first() for c in order]
+    rows = ranges(df, [key], sort, "ranges")
+    lasts = rows.groupBy("_part", key).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    bases = lasts.withColumn("_carry", F.lag("_last").over(W.partitionBy(key).orderBy("_part"))).filter("_carry is not null")
+    own = W.partitionBy("_part", key).orderBy(*sort)
+    rows = rows.withColumn("_lag", F.lag(value).over(own)).withColumn("_first", F.row_number().over(own) == 1)
+    out = join_all(rows, bases.drop("_last"), ["_part", key])
+    return out.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop(
+        "_part", "_lag", "_first", "_carry"
     )
-    return warm

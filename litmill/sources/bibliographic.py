@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.functions import dates, exact, text, values
+from litmill.functions import dates, markup, text, values
 from litmill.operators import records
 
 _TAG = r"</?[A-Za-z][\w:.-]*(?:\s[^<>]*)?/?>"
@@ -391,7 +391,7 @@ def scan_epmc_json(
         article.alias("source_article_id"),
         pmid.alias("pmid"), pmcid.alias("pmcid"), doi.alias("doi"),
         one(F.col("r.title")).alias("title"),
-        exact.html_text(one(F.col("r.abstractText"))).alias("abstract"),
+        markup.html_text(one(F.col("r.abstractText"))).alias("abstract"),
         authors.alias("authors"),
         F.coalesce(
             F.get(authors, F.lit(0))["full_name"], text.first_author(one(F.col("r.authorString")))

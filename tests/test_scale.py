@@ -1,4 +1,4 @@
-"""The paths for hot keys give the same results as the plain ones."""
+"""Numbering by range, components and changes against brute force: nulls, ties, one hot key."""
 
 import random
 from collections import Counter, defaultdict
@@ -7,57 +7,66 @@ import pytest
 from pyspark.sql import functions as F
 
 from litmill import scale
-from litmill.operators import audit, ordering, resolve
+from litmill.operators import audit, ordering, portfolio, rank, resolve
 
 
 @pytest.fixture()
 def skewed(spark):
     rnd = random.Random(1)
-    rows = [(i, "hot" if i % 3 else f"k{i % 50}", rnd.randrange(40), rnd.random() < 0.5) for i in range(900)]
-    return rows, spark.createDataFrame(rows, "id long, key string, x int, flag boolean")
+    rows = [
+        (i, None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 50}", None if i % 13 == 0 else rnd.randrange(40), rnd.random() < 0.5)
+        for i in range(900)
+    ]
+    return rows, spark.createDataFrame(rows, "id long, key string, x int, flag boolean").repartition(7)
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_sum_of_hot_group(skewed, descending):
+def test_running_sum_keeps_null_keys_and_null_orders(skewed, descending):
     rows, df = skewed
-    order = [F.desc("x") if descending else F.asc("x"), F.asc("id")]
-    got = scale.running_sum(
-        df, ["key"], order, "x", value=F.col("flag").cast("int"), hot_rows=50, descending=descending
-    )
+    order = [F.desc_nulls_last("x") if descending else F.asc_nulls_first("x"), F.asc("id")]
+    got = scale.running_sum(df, ["key"], order, value=F.col("flag").cast("int"))
     want, groups = {}, defaultdict(list)
     for r in rows:
         groups[r[1]].append(r)
     for g in groups.values():
         total = 0
-        for r in sorted(g, key=lambda r: (-r[2] if descending else r[2], r[0])):
+        for r in sorted(g, key=lambda r: ((r[2] is None) == descending, (r[2] or 0) * (-1 if descending else 1), r[0])):
             total += r[3]
             want[r[0]] = total
     assert {r["id"]: r["seq"] for r in got.collect()} == want
 
 
-def test_global_numbering_without_one_task(skewed):
-    rows, df = skewed
-    got = scale.running_sum(df, [], [F.asc("x"), F.asc("id")], "x", hot_rows=50)
-    want = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])), 1)}
-    assert {r["id"]: r["seq"] for r in got.collect()} == want
+def test_numbering_of_all_rows_uses_many_ranges(spark):
+    df = spark.range(500).select(F.col("id").alias("article_id"), F.lit(1.0).alias("candidate_score"), F.lit(True).alias("core_matched"))
+    ranged = scale.ranges(df, [], rank.rank_order(), "test")
+    assert ranged.select("_part").distinct().count() > 2
+    got = rank.rank(df)
+    assert {r["article_id"]: r["selection_rank"] for r in got.collect()} == {i: i + 1 for i in range(500)}
+    assert rank.rank(df.limit(0)).count() == 0
 
 
-def test_null_split_values_sort_last(spark):
-    rows = [(i, None if i % 4 == 0 else i) for i in range(200)]
-    df = spark.createDataFrame(rows, "id long, x long")
-    got = scale.running_sum(df, [], [F.desc_nulls_last("x"), F.asc("id")], "x", hot_rows=20, descending=True)
-    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
-    assert [r["id"] for r in sorted(got.collect(), key=lambda r: r["seq"])] == [r[0] for r in want]
+def test_retained_order_with_missing_scores(spark):
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([None, 1.0, 2.0]), rnd.choice([None, 5.0, 7.5]), None) for i in range(80)]
+    df = spark.createDataFrame(rows, "article_id long, contribution_score double, composite_score double, publication_date date")
+    got = [r["article_id"] for r in sorted(portfolio.rank_retained(df).collect(), key=lambda r: r["position"])]
+    last = lambda v: (v is None, -(v or 0))
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (last(r[1]), last(r[2]), r[0]))]
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_lookup_of_hot_keys(spark, skewed, how):
-    _, df = skewed
-    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "key string, v int")
-    df = df.withColumn("key", F.when(F.col("id") % 5 != 0, F.col("key")))
-    a = scale.lookup(df, right, ["key"], how, hot_rows=50)
-    b = df.join(right, ["key"], how)
-    assert Counter(map(tuple, a.select(*b.columns).collect())) == Counter(map(tuple, b.collect()))
+def test_groups_without_a_key_stay(spark):
+    rows = [(i, None if i % 3 == 0 else "a", None if i % 5 == 0 else i % 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, by string, score int")
+    assert ordering.source_rank(df, "by", "score").count() == 60
+    batches = ordering.balanced_batches(df, "by", 7, [F.asc("id")]).collect()
+    assert len(batches) == 60
+    sizes = Counter((r["by"], r["batch_index"]) for r in batches)
+    for by in (None, "a"):
+        own = [n for (b, _), n in sizes.items() if b == by]
+        assert max(own) - min(own) <= 1
+    tiers = ordering.tiers(df, "by", "score").collect()
+    assert len(tiers) == 60 and {r["tier"] for r in tiers if r["score"] is None} == {5}
+    assert ordering.cap_per_source(df, "by", "id").count() == 60
 
 
 def brute_components(pairs):
@@ -79,22 +88,20 @@ def brute_components(pairs):
     return {r: find(r) for r in list(parent)}
 
 
-@pytest.mark.parametrize("hot_rows", [10, scale.HOT_ROWS])
-def test_components_match_union_find(spark, hot_rows):
+def test_components_match_union_find(spark):
     rnd = random.Random(7)
     pairs = [(i, f"a{rnd.randrange(160)}") for i in range(200)] + [(i, f"b{i // 2}") for i in range(200, 260)]
     pairs += [(i, f"c{(i + 1) // 2}") for i in range(200, 260)]  # one long chain
     pairs += [(i, "popular") for i in range(300, 400)]  # one key with a third of the records
     rnd.shuffle(pairs)
     keys = spark.createDataFrame(pairs, "record_id long, value string").withColumn("kind", F.lit("doi"))
-    got = resolve.components(keys, hot_rows=hot_rows)
+    got = resolve.components(keys)
     rows = got.collect()
     assert len(rows) == len({r["record_id"] for r in rows})
     assert {r["record_id"]: r["cluster"] for r in rows} == brute_components(pairs)
 
 
-@pytest.mark.parametrize("hot_rows", [20, scale.HOT_ROWS])
-def test_inversions_match_brute_force(spark, hot_rows):
+def test_inversions_match_brute_force(spark):
     rnd = random.Random(3)
     rows = [(f"b{i % 3 % 2}", rnd.randrange(1, 12), rnd.randrange(30) / 2) for i in range(150)]
     rows += [("b0", None, 1.0), ("b1", 2, None), ("calm", 1, 9.0), ("calm", 2, 3.0), ("calm", 2, 3.0)]
@@ -104,26 +111,37 @@ def test_inversions_match_brute_force(spark, hot_rows):
             if b == b2 and None not in (t, s, t2, s2) and s > s2 and t > t2:
                 want[b] += 1
     df = spark.createDataFrame(rows, "batch_id string, tier int, score double")
-    got = {r["batch_id"]: (r["conflicts"], r["is_consistent"]) for r in audit.inversions(df, hot_rows=hot_rows).collect()}
+    got = {r["batch_id"]: (r["conflicts"], r["is_consistent"]) for r in audit.inversions(df).collect()}
     assert got == {b: (want[b], want[b] == 0) for b in ("b0", "b1", "calm")}
 
 
-def test_stage_changes_of_hot_key(spark):
+def test_stage_changes_match_brute_force(spark):
     rnd = random.Random(5)
-    rows = [(i, 1 if i % 3 else i, i * 10, rnd.choice("abc")) for i in range(300)]
-    df = spark.createDataFrame(rows, "event_id long, task long, t long, stage string").withColumn(
-        "ts", F.timestamp_seconds("t"))
-    a = ordering.stage_changes(df, "task", "ts", "event_id", "stage", hot_rows=20)
-    b = ordering.stage_changes(df, "task", "ts", "event_id", "stage")
-    cols = ["task", "event_id", "stage", "previous"]
-    assert set(map(tuple, a.select(cols).collect())) == set(map(tuple, b.select(cols).collect()))
-
-
-def test_large_cluster_ids_do_not_gather_keys(spark):
+    rows = [(i, None if i % 7 == 0 else 1 if i % 3 else i, None if i % 17 == 0 else i // 4 * 10, rnd.choice("abc")) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, task long, t long, stage string").withColumn("ts", F.timestamp_seconds("t"))
+    groups, want = defaultdict(list), set()
+    for i, task, t, stage in rows:
+        groups[task].append((t is not None, t or 0, i, stage))
+    for task, g in groups.items():
+        before = None
+        for _, _, i, stage in sorted(g):
+            if stage != before:
+                want.add((task, i, stage, before))
+            before = stage
+    got = ordering.stage_changes(df, "task", "ts", "event_id", "stage")
+    assert set(map(tuple, got.select("task", "event_id", "stage", "previous").collect())) == want
+
+
+def test_cluster_ids_do_not_depend_on_order(spark):
     rec = spark.createDataFrame([(i, "t") for i in range(40)], "record_id long, normalized_title string")
     keys = rec.select("record_id", F.lit("doi").alias("kind"), F.lit("10.1/x").alias("value"))
     clusters = rec.select("record_id", F.lit(0).cast("long").alias("cluster"))
-    full = resolve.cluster_ids(keys, clusters, rec).collect()
-    digest = resolve.cluster_ids(keys, clusters, rec, full_id_keys=10).collect()
-    again = resolve.cluster_ids(keys.repartition(3), clusters, rec, full_id_keys=10).collect()
-    assert len(full) == len(digest) == 1 and full != digest and digest == again
+    whole = resolve.cluster_ids(keys, clusters, rec).collect()
+    assert len(whole) == 1 and whole == resolve.cluster_ids(keys.repartition(3), clusters, rec).collect()
+    assert whole != resolve.cluster_ids(keys.limit(39), clusters.limit(39), rec.limit(39)).collect()
+
+
+def test_rows_without_vector_are_never_selected(spark):
+    df = spark.createDataFrame([(1, None, True, "cohort"), (2, 9.0, True, "cohort")], "article_id long, candidate_score double, core_matched boolean, study_group string")
+    out = {r["article_id"]: r["selection_status"] for r in rank.decide(df).collect()}
+    assert out == {1: "no_vector", 2: "selected"}
