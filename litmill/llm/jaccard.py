@@ -43,9 +43,14 @@ def grams(text: str, n: int = GRAM) -> np.ndarray:
 
 
 def signature(g: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One hash a band: least values of ``rows`` mixed orders of the grams."""
+    """One hash a band: least values of ``rows`` orders of the grams, each a salted multiplication."""
     salt = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    least = np.array([mixed(g ^ s).min() for s in salt], np.uint64).reshape(bands, rows)
+    factor = mixed(salt) | np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(g), 512):
+        orders = (g[at : at + 512] ^ salt[:, None]) * factor[:, None]
+        np.minimum(least, orders.min(1), out=least)
+    least = least.reshape(bands, rows)
     out = np.arange(bands, dtype=np.uint64)
     for k in range(rows):
         out = mixed(out * np.uint64(3) + least[:, k])
