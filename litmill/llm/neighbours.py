@@ -23,16 +23,13 @@ SHARPNESS = 8  # power of the cosine in a vote's weight
 BLOCK = 256
 KEPT_SCORE = 0.7
 
-_runs = (
-    (re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ]{2,}[^\W\d_]*"), "U"), (re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"[0-9]+"), "0"),
-)
+_letters, _digits = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
 
 
 def _shape(word: str) -> str:
-    """Letters, capitals and digits by class; other characters as they are."""
-    for pattern, mark in _runs:
-        word = pattern.sub(mark, word)
-    return word[:12]
+    """Runs of letters, of capitals and of digits by class; other characters as they are."""
+    word = _letters.sub(lambda m: "U" if len(m.group()) > 1 and m.group().isupper() else "a", word)
+    return _digits.sub("0", word)[:12]
 
 
 class _Slots:

@@ -23,7 +23,6 @@ NEAR = 48  # characters before and after a candidate that the context labelers r
 # --- What always counts -----------------------------------------------------
 
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").finditer
-_local = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A run of digits that fails from its first digit fails from any other, so only first digits are tried.
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}").finditer
@@ -101,7 +100,7 @@ def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 _WIDE = {
     "email": re.compile(
-        r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?(?:\(at\)|\[at\]|\{at\}) ?)"
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?(?:\(at\)|\[at\]|\{at\}) ?)"
         r"[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}) ?)[A-Za-z0-9-]+)+"
     ),
     "phone": re.compile(r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),

@@ -340,7 +340,7 @@ def test_leaks_do_not_depend_on_the_number_of_indexes(spark):
     items = spark.createDataFrame([(i, " ".join(f"q{i}x{k}" for k in range(30)) + ".") for i in range(20)], "item_id long, text string")
     df = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("some words before "), "text").alias("text"))
     assert len(list(contamination.indexes(items, most_bytes=600))) > 3
-    assert got(contamination.find_leaks(df, items).select("doc_id", "item_id")) == [(i, i) for i in range(20)]
+    assert set(got(contamination.find_leaks(df, items).select("doc_id", "item_id"))) == {(i, i) for i in range(20)}
 
 
 # --- 10: personal data ------------------------------------------------------
@@ -366,6 +366,7 @@ def test_base_spans_match_the_patterns(rows):
     for t in [t for _, t in rows if t and len(t) < 5000] + odd:
         assert personal.base_spans(t) == brute_spans(t)
     assert personal.base_spans("a" * 200_000 + "1" * 200_000 + "." * 10) == []
+    assert personal.all_spans("a" * 200_000 + " x (at) y", {}) == ([], [])
 
 
 def test_personal_rows_and_masks(docs, odd, rows, empty):
@@ -389,7 +390,7 @@ def test_labelers_are_weighed_and_spans_added():
     )
     model = personal.train_spans(sorted(patterns.items()))
     base, spans = personal.all_spans(text, model)
-    assert set(base) <= set(spans) and ("email", 9, 34) in spans
+    assert set(base) <= set(spans) and ("email", 9, 33) in spans
 
 
 # --- pipeline ---------------------------------------------------------------
