@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -150,7 +151,7 @@ class IdPool:
 
     def add(self, keys: list[str], lists: list[list[int]], more: list[tuple] | None = None) -> None:
         n, size = len(self.at), np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
         self.ids = self._room(self.ids, self.n_ids + len(flat))
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
         for name in ("start", "size", "more"):
@@ -160,8 +161,7 @@ class IdPool:
         if more is not None:
             self.more[n : n + len(keys)] = more
         self.n_ids += len(flat)
-        for i, k in enumerate(keys):
-            self.at[k] = n + i
+        self.at.update(zip(keys, range(n, n + len(keys))))
 
     def take(self, rows: np.ndarray) -> np.ndarray:
         """Ids of the rows, one after another."""

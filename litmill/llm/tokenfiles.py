@@ -85,9 +85,11 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode what follows a blank; text with white space at either end is marked as one that needs its context."""
-        lists, odd = [], np.zeros((len(new), 1))
+        lists, odd, tokenize, blank = [], np.zeros((len(new), 1)), self.whole.model.tokenize, self.blank
         for k, c in enumerate(new):
-            if c.isalpha() and max(c) < "ɐ":
+            if c.isascii() and c.isalpha():
+                lists.append([t.id for t in tokenize(blank + c)])
+            elif c.isalpha() and max(c) < "ɐ":
                 lists.append(self._word(c))
             elif c[:-1].isalpha() and c[-1] in ".,!?" and max(c) < "ɐ":
                 lists.append(self._word(c[:-1]) + self._piece(c[-1]))
