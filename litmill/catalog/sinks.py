@@ -91,9 +91,10 @@ def put_embeddings_if_absent(spark, sf_dir):
     e = A.table(spark, sf_dir, "embeddings")
     path = scale.new_path(spark, "vectors")
     old = store.checked_vectors(e.filter("vec_id % 3 = 0")).withColumn("stored_before", F.lit(True))
-    old.write.parquet(path)
+    old.write.parquet(f"{path}/batch=first")
     new = e.withColumn("stored_before", F.lit(False))
-    return sinks.put_embeddings(path, new, ["vec_id"]).select("vec_id", "label", "dimension", "normalized", "stored_before")
+    sinks.put_embeddings(path, new.filter("vec_id % 3 = 1"), ["vec_id"], "second")
+    return sinks.put_embeddings(path, new, ["vec_id"], "second").select("vec_id", "label", "dimension", "normalized", "stored_before")
 
 
 @query(

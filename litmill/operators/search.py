@@ -20,7 +20,6 @@ SOURCE_REASONS = {
     "pmc": "用户明确需要开放全文或全文解析",
     "semantic_scholar": "研究方向较宽或跨学科，增加语义检索补充召回",
 }
-SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -79,14 +78,13 @@ def phrase_match(
     # Written once, the terms have a real size: Catalyst broadcasts them if it is small
     # and then the word runs are not shuffled at all.
     terms = scale.stage(terms, "terms")
-    if max_words is None:
-        top = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0]
-        max_words = int(top or 1)
-    lengths = range(1, max_words + 1)
+    # One number for each length that occurs.
+    found = terms.select(F.size(F.split("term", " ")).alias("n")).distinct().collect()
+    lengths = sorted(r["n"] for r in found if r["n"] and (max_words is None or r["n"] <= max_words)) or [1]
     if any_field:
         both = F.array_distinct(F.concat(*[word_runs(F.col(f), lengths) for f in fields]))
         runs = docs.select(doc_key, F.explode_outer(both).alias("term")).filter("term is not null")
-        return _meet(runs, terms, doc_key)
+        return _meet(runs, terms)
     parts = [
         docs.select(
             doc_key,
@@ -99,18 +97,12 @@ def phrase_match(
     runs = parts[0]
     for p in parts[1:]:
         runs = runs.unionByName(p)
-    return _meet(runs, terms, doc_key)
+    return _meet(runs, terms)
 
 
-def _meet(runs: DataFrame, terms: DataFrame, doc_key: str) -> DataFrame:
-    """Join word runs with terms.
-
-    A frequent word may be a term: its runs are spread over SALTS tasks, and the
-    (small) term side is repeated once per salt.
-    """
-    runs = runs.withColumn("_salt", F.pmod(F.xxhash64(doc_key), F.lit(SALTS)).cast("int"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    return runs.join(terms.select("*", salts), ["term", "_salt"]).drop("_salt")
+def _meet(runs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Join word runs with terms; skew of frequent terms is left to adaptive execution."""
+    return runs.join(terms, "term")
 
 
 def concept_search(

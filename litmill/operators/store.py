@@ -180,9 +180,13 @@ def upsert_resources(store: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def put_if_absent(store: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New rows whose key is not stored yet, one per key; stored rows are never changed."""
+    """New rows whose key is not stored yet, one per key (that of least hash); stored rows are never changed."""
     fresh = new.join(store.select(*keys).distinct(), list(keys), "left_anti")
-    return fresh.dropDuplicates(list(keys))
+    rest = [c for c in new.columns if c not in keys]
+    if not rest:
+        return fresh.distinct()
+    one = F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row")
+    return fresh.groupBy(*keys).agg(one).select(*keys, "_row.*").select(*new.columns)
 
 
 def checked_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:

@@ -119,7 +119,7 @@ def screen_quality(
     supported, unsupported = routing.split_supported(articles)
     batches = balanced_batches(
         supported.select("article_id", "study_group"), "study_group", batch_size,
-        [F.asc("article_id")], "article_id",
+        [F.asc("article_id")],
     )
     cover = quality.rubric_cover(criteria, rubric).select("article_id", F.col("issues").alias("a"))
     paired = quality.pair_assessments(

@@ -43,13 +43,18 @@ def write_snapshot(df: DataFrame, path: str) -> DataFrame:
     return _written(df, path, mode="error")
 
 
-def put_embeddings(store_path: str, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Append vectors of unseen keys; stored ones are left alone."""
+def put_embeddings(store_path: str, new: DataFrame, keys: list[str], batch: str) -> DataFrame:
+    """Add vectors of unseen keys as the batch folder of the given name; stored ones are left alone.
+
+    The store is a folder of ``batch=`` folders.  A retry of a batch compares
+    with the other batches only and replaces its own folder, so a half-written
+    one does no harm.
+    """
     spark = new.sparkSession
-    stored = spark.read.parquet(store_path)
-    fresh = store_ops.put_if_absent(stored, store_ops.checked_vectors(new), keys)
-    fresh = scale.stage(fresh.select(*stored.columns), "new-vectors")
-    fresh.write.mode("append").parquet(store_path)
+    others = spark.read.parquet(store_path).filter(F.col("batch").cast("string") != batch)
+    fresh = store_ops.put_if_absent(others, store_ops.checked_vectors(new), keys)
+    fresh = scale.stage(fresh.select(*[c for c in others.columns if c != "batch"]), "new-vectors")
+    fresh.write.mode("overwrite").parquet(f"{store_path}/batch={batch}")
     return spark.read.parquet(store_path)
 
 
@@ -87,7 +92,7 @@ def append_messages(store: DataFrame, conversations: DataFrame, new: DataFrame)
     The preview is the first 160 characters.
     """
     known = new.join(conversations.select("conv_id").distinct(), "conv_id", "left_semi")
-    rows = next_sequence(store, known, "conv_id", [F.asc("turn")], "turn")
+    rows = next_sequence(store, known, "conv_id", [F.asc("turn")])
     return rows.withColumn("preview", F.substring("text", 1, 160))
 
 
