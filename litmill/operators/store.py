@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from litmill import scale
 from litmill.functions import dates, text
+from litmill.operators import resolve
 from litmill.operators import spans as span_ops
 from litmill.operators.portfolio import format_rank
 
@@ -22,6 +23,7 @@ FILL_FIELDS = (
     "issn", "electronic_issn", "publication_date", "publication_year", "study_design",
     "publication_status", "language",
 )
+FILL_LISTS = ("authors", "publication_types")
 
 
 def provenance_outcome(raw: DataFrame, records: DataFrame) -> DataFrame:
@@ -104,39 +106,63 @@ def match_existing(incoming: DataFrame, store: DataFrame) -> DataFrame:
     ).select("record_id", "m.article_id", "m.matched_by")
 
 
+def _first_filled(name: str, list_field: bool) -> Column:
+    """First non-empty value in record order."""
+    c = F.col(name)
+    filled = (F.size(c) > 0) if list_field else c.isNotNull() & (c.cast("string") != "")
+    return F.min_by(c, F.when(filled, F.col("record_id"))).alias(f"_n_{name}")
+
+
+def new_articles(fresh: DataFrame) -> DataFrame:
+    """(record_id, first_id): unmatched records that share an identifier, or title, year and author, become one article."""
+    keys = None
+    for _, way, values in _keys(fresh, "record_id"):
+        part = values.withColumn("kind", F.lit(way))
+        keys = part if keys is None else keys.unionByName(part)
+    groups = resolve.components(keys).withColumnRenamed("cluster", "first_id")
+    return fresh.select("record_id").join(groups, "record_id", "left").select(
+        "record_id", F.coalesce("first_id", "record_id").alias("first_id")
+    )
+
+
 def upsert_articles(
     store: DataFrame, incoming: DataFrame, matches: DataFrame, build_spans: bool = False
 ) -> DataFrame:
     """Next snapshot of the articles.
 
-    Matched records fill only empty fields, in record order, and raise the
-    retraction flag; titles stay.  Unmatched records become new articles that
-    take their record id as a text id ("r" + id).  Running it twice changes
-    nothing.  Spans are rebuilt from the final texts if asked for.
+    Matched records fill only empty fields, lists of authors and publication
+    types among them, in record order, and raise the retraction flag; titles
+    stay.  Unmatched records that match each other make one article, which the
+    first of them founds and the others fill; it takes the first record id as a
+    text id ("r" + id).  Running it twice changes nothing.  Spans are rebuilt
+    from the final texts if asked for.
     """
-    fields = [f for f in FILL_FIELDS if f in incoming.columns and f in store.columns]
-    met = incoming.join(matches.select("record_id", "article_id"), "record_id")
+    both = [c for c in incoming.columns if c in store.columns]
+    fields = [f for f in FILL_FIELDS if f in both]
+    lists = [f for f in FILL_LISTS if f in both]
     fresh = incoming.join(matches.select("record_id"), "record_id", "left_anti")
-
-    def first(name: str) -> Column:
-        c = F.col(name)
-        filled = c.isNotNull() & (c.cast("string") != "")
-        return F.min_by(c, F.when(filled, F.col("record_id"))).alias(f"_n_{name}")
-
-    offers = met.groupBy("article_id").agg(
-        *[first(f) for f in fields],
+    firsts = scale.stage(new_articles(fresh), "new-articles")
+    founders = fresh.join(firsts.filter("record_id = first_id").select("record_id"), "record_id", "left_semi")
+    new_id = F.concat(F.lit("r"), F.col("first_id").cast("string"))
+    known = store.withColumn("article_id", F.col("article_id").cast("string"))
+    made = founders.withColumn("article_id", F.concat(F.lit("r"), F.col("record_id").cast("string")))
+    base = known.unionByName(made.select(*[c for c in store.columns if c in made.columns]), allowMissingColumns=True)
+    joined = matches.select("record_id", F.col("article_id").cast("string").alias("article_id")).unionByName(
+        firsts.filter("record_id <> first_id").select("record_id", new_id.alias("article_id"))
+    )
+    offers = incoming.join(joined, "record_id").groupBy("article_id").agg(
+        *[_first_filled(f, False) for f in fields],
+        *[_first_filled(f, True) for f in lists],
         F.bool_or("is_retracted").alias("_retracted"),
     )
-    rows = store.join(offers, "article_id", "left")
-    for f in fields:
-        empty = F.col(f).isNull() | (F.col(f).cast("string") == "")
-        rows = rows.withColumn(f, F.coalesce(F.when(empty, F.col(f"_n_{f}")), F.col(f)))
-    rows = rows.withColumn(
+    rows = base.join(offers, "article_id", "left")
+    for f in fields + lists:
+        c = F.col(f)
+        empty = c.isNull() | ((F.size(c) == 0) if f in lists else (c.cast("string") == ""))
+        rows = rows.withColumn(f, F.coalesce(F.when(empty, F.col(f"_n_{f}")), c))
+    out = rows.withColumn(
         "is_retracted", F.col("is_retracted") | F.coalesce("_retracted", F.lit(False))
     ).select(*store.columns)
-    new = fresh.withColumn("article_id", F.concat(F.lit("r"), F.col("record_id").cast("string")))
-    new = new.select(*[c for c in store.columns if c in new.columns])
-    out = rows.unionByName(new, allowMissingColumns=True)
     if build_spans:
         out = span_ops.with_spans(out.drop("spans"), "article_id").withColumn(
             "span_version", F.lit(span_ops.SEGMENTER_VERSION)

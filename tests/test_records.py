@@ -187,3 +187,27 @@ def test_rubric_tables_are_complete():
     known = {q for q, _ in question_rows()}
     assert len(known) == 65 and len(STUDY_TYPES) == 10
     assert {q for _, q in mapping_rows()} <= known and sum(map(len, RUBRICS.values())) == 55
+
+
+def test_new_records_that_match_each_other_make_one_article(spark):
+    from litmill.operators import store as S
+
+    schema = (
+        "doi string, pmid string, pmcid string, first_author string, normalized_title string, publication_year int, "
+        "title string, is_retracted boolean, authors array<string>, publication_types array<string>"
+    )
+    old = spark.createDataFrame([("a1", "10.1/s", None, None, None, "t", 2000, "T", False, [], ["Letter"])], "article_id string, " + schema)
+    new = spark.createDataFrame(
+        [
+            (1, "10.1/x", None, None, "A", "one", 2001, "One", False, [], []),
+            (2, "10.1/X ", "7", None, None, "two", None, "Two", True, ["A B"], ["Review"]),
+            (3, None, None, None, "a", "one", 2001, "One", False, ["C D"], []),
+            (4, "10.1/s", None, None, None, "t", None, "Other", False, ["E F"], ["Trial"]),
+        ],
+        "record_id long, " + schema,
+    )
+    out = {r["article_id"]: r for r in S.upsert_articles(old, new, S.match_existing(new, old)).collect()}
+    assert set(out) == {"a1", "r1"}
+    assert out["r1"]["pmid"] == "7" and out["r1"]["is_retracted"] and out["r1"]["title"] == "One"
+    assert out["r1"]["authors"] == ["A B"] and out["r1"]["publication_types"] == ["Review"]
+    assert out["a1"]["authors"] == ["E F"] and out["a1"]["publication_types"] == ["Letter"]
