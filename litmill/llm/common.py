@@ -58,11 +58,16 @@ def running_total(
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
-    """An object kept for the life of a Python worker, over the tasks it runs."""
-    key = f"_litmill_{name}"
-    if not hasattr(sys, key):
-        setattr(sys, key, make())
-    return getattr(sys, key)
+    """An object kept for the life of a Python worker, over the tasks it runs; the last one asked for only.
+
+    A job that runs several operators so holds the memory of one at a time.
+    """
+    kept = getattr(sys, "_litmill_cache", None)
+    if kept is None or kept[0] != name:
+        sys._litmill_cache = None
+        kept = (name, make())
+        sys._litmill_cache = kept
+    return kept[1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -177,7 +177,7 @@ class Coder:
     def __init__(self, model_file: str) -> None:
         self.lattice = Lattice(model_file)
         self.pool = IdPool(extra=2)
-        self.pool.LIMIT = 1_500_000
+        self.pool.LIMIT = 900_000
 
     def learn(self, bodies: list[str]) -> None:
         """Search the new runs of several texts at once, in order, so that common heads meet."""
