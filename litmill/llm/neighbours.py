@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import Batches, find_words, table, texts, worker_cache
+from litmill.llm.common import Batches, find_words, table, texts, window_hashes, worker_cache
 from litmill.llm.registry import query
 
 WORDS, SHAPES = 3072, 1008  # hashed features; the rest are counts in steps
@@ -38,7 +38,7 @@ class _Slots:
     LIMIT = 400_000
 
     def __init__(self) -> None:
-        self.seen: dict[str, tuple[int, int]] = {}
+        self.seen: dict[str, int] = {}
 
     def __call__(self, words: list[str]) -> np.ndarray:
         import xxhash
@@ -46,26 +46,29 @@ class _Slots:
         seen = self.seen
         if len(seen) > self.LIMIT:
             seen.clear()
-        for w in words:
-            if w not in seen:
+        found = list(map(seen.get, words))
+        if None in found:
+            for w in {w for w, f in zip(words, found) if f is None}:
                 lower = w.lower().encode("utf-8", "surrogatepass")
                 shape = _shape(w).encode("utf-8", "surrogatepass")
                 seen[w] = xxhash.xxh3_64_intdigest(lower) % WORDS * 65536 + WORDS + xxhash.xxh3_64_intdigest(shape) % SHAPES
-        both = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-        return np.concatenate([both >> 16, both & 65535])
+            found = [seen[w] if f is None else f for w, f in zip(words, found)]
+        return np.array(found, np.int64)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(feature, damped count): words, word shapes, and steps of length and of repetition."""
     words = find_words(text)
-    slots = worker_cache("slots", _Slots)(words)
-    place, count = np.unique(slots, return_counts=True)
+    both = worker_cache("slots", _Slots)(words)
+    counts = np.bincount(both >> 16, minlength=WORDS + SHAPES) + np.bincount(both & 65535, minlength=WORDS + SHAPES)
+    place = np.flatnonzero(counts)
+    count = counts[place]
     weight = np.where(place < WORDS, 1.0, 2.0) * np.log1p(count)
     n = len(words)
     # Four steps of length, six of words seen again five words on, six of words that differ.
-    fives = set(zip(words, words[1:], words[2:], words[3:], words[4:]))
-    again = 1 - len(fives) / max(1, n - 4) if n > 4 else 0.0
-    twice = sum(a == b for a, b in zip(words, words[1:])) / max(1, n - 1)
+    fives = np.sort(window_hashes(both.astype(np.uint64), 5))
+    again = float((fives[1:] == fives[:-1]).sum()) / (n - 4) if n > 4 else 0.0
+    twice = float((both[1:] == both[:-1]).sum()) / max(1, n - 1)
     length = min(3, int(np.log10(n + 1)))
     steps = [length, 4 + min(5, int(again * 12)), 10 + min(5, int(twice * 12))]
     strong = np.array([0.5, 1.0, 1.0]) * max(1.0, np.linalg.norm(weight) / 4)
