@@ -342,6 +342,30 @@ def test_leaks_do_not_depend_on_the_number_of_indexes(spark):
     assert set(got(contamination.find_leaks(df, items).select("doc_id", "item_id"))) == {(i, i) for i in range(20)}
 
 
+def test_leaks_of_repeated_and_missing_ids(spark):
+    bodies = [" ".join(f"{name}{k}" for k in range(40)) + "." for name in ("a", "b", "c", "d")]
+    items = spark.createDataFrame([(1, bodies[0]), (1, bodies[1]), (None, bodies[2]), (None, bodies[3])], "item_id long, text string")
+    held = [(0, bodies[0]), (1, bodies[1]), (2, bodies[2]), (3, " ".join(bodies)), (3, " ".join(bodies)), (4, "none of them")]
+    df = spark.createDataFrame(held, "doc_id long, text string")
+    want = sorted([(0, 1), (1, 1), (2, None), *[(3, 1), (3, None), (3, None)] * 2], key=repr)
+    for most_bytes in (contamination.INDEX_BYTES, 200):
+        assert got(contamination.find_leaks(df, items, most_bytes=most_bytes).select("doc_id", "item_id")) == want
+    assert got(contamination.drop_leaks(df, items).select("doc_id")) == [(4,)]
+
+
+def test_leak_scores_do_not_depend_on_the_number_of_indexes(spark):
+    rows = [(i, " ".join(f"q{(i * k) % 40}x{k % 7}" for k in range(30 + i)) + ".") for i in range(1, 20)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    whole = contamination.Index.build(rows)
+    cut = list(contamination.indexes(items, most_bytes=900))
+    assert len(cut) > 2
+    for index in cut:
+        for term in index.units:
+            at = dict(zip(((whole.ids[whole.items[u]]) for u in whole.units[term]), whole.impacts[term]))
+            for u, impact in zip(index.units[term], index.impacts[term]):
+                assert impact == pytest.approx(at[index.ids[index.items[u]]])
+
+
 # --- 10: personal data ------------------------------------------------------
 
 
