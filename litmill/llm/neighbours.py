@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
@@ -138,7 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, rank: int
     """Latent-semantic vectors of at most ``rows`` labelled documents, weighed by counts over all documents.
 
     The labelled rows are those of least hash, so the choice does not depend on
-    the order of the table; rows without label or document are passed over.
+    the order of the table; rows without label or document are passed over.  A
+    repeated (doc_id, label) is one row; of several texts of a doc_id the one of
+    least digest stands for it.
     ``labels`` must hold only rows that may be learned from.
     """
     counts, n = document_counts(docs)
@@ -146,6 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, rank: int
     idf[WORDS + SHAPES :] = 1.0
     few = (
         labels.filter("label is not null and doc_id is not null")
+        .select("doc_id", "label")
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(rows)
     )
@@ -153,19 +158,35 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, rank: int
     known = docs.join(F.broadcast(few), "doc_id").select("doc_id", "label", "text")
 
     def run(batches: Batches) -> Batches:
+        # A task returns a row only if its digest is below all that it returned for the same doc_id and label.
+        least: dict[tuple, str] = {}
         for batch in batches:
-            found = [features(b) for b in texts(batch, "text")]
+            at, found = [], []
+            keys = zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist())
+            for k, (key, body) in enumerate(zip(keys, texts(batch, "text"))):
+                digest = hashlib.md5(body.encode("utf-8", "surrogatepass")).hexdigest()
+                if digest < least.get(key, "g"):
+                    least[key] = digest
+                    at.append(k)
+                    found.append((digest, *features(body)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("label"),
-                    pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())),
-                    pa.array([w.astype(np.float32) for _, w in found], pa.list_(pa.float32())),
+                    *(batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "label")),
+                    pa.array([d for d, _, _ in found], pa.string()),
+                    pa.array([p.astype(np.int32) for _, p, _ in found], pa.list_(pa.int32())),
+                    pa.array([w.astype(np.float32) for _, _, w in found], pa.list_(pa.float32())),
                 ],
-                names=["label", "place", "weight"],
+                names=["doc_id", "label", "digest", "place", "weight"],
             )
 
-    # ``rows`` vectors, more only if a labelled doc_id is repeated.
-    got = known.mapInArrow(run, "label int, place array<int>, weight array<float>").orderBy("label", "place").limit(rows)
+    kind = known.schema["doc_id"].dataType.simpleString()
+    got = (
+        known.mapInArrow(run, f"doc_id {kind}, label int, digest string, place array<int>, weight array<float>")
+        .groupBy("doc_id", "label")
+        .agg(F.min(F.struct("digest", "place", "weight")).alias("own"))
+        .select("label", "own.place", "own.weight")
+        .orderBy("label", "place")
+    )
     sparse = got.collect()
     x = np.zeros((len(sparse), FEATURES), np.float32)
     for k, r in enumerate(sparse):

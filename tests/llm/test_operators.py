@@ -145,6 +145,23 @@ def test_neighbour_votes(spark, docs, empty):
     assert {r["score"] for r in neighbours.score(docs, blank).collect()} == {0.5}
 
 
+def test_repeated_documents_do_not_crowd_out_labels(spark):
+    good = [(i, f"the quick brown fox number{i} jumps over lazy dogs and runs home") for i in range(20)]
+    junk = [(100 + i, "BUY!! NOW!! ### " * 12 + str(i)) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] * 3 + [(i, 0) for i, _ in junk], "doc_id long, label int")
+    once = neighbours.fit(spark.createDataFrame(good + junk, "doc_id long, text string"), labels, rows=40)
+    repeated = spark.createDataFrame(good + junk + [junk[0]] * 60, "doc_id long, text string").repartition(5)
+    model = neighbours.fit(repeated, labels, rows=40)
+    assert sorted(model.labels) == sorted(once.labels) == [0.0] * 20 + [1.0] * 20
+    out = {r["doc_id"]: r["score"] for r in neighbours.score(repeated, model).collect()}
+    assert min(out[i] for i, _ in good) > 0.9 and max(out[i] for i, _ in junk) < 0.1
+    # Other texts under one doc_id: one vector, the same in any order of the table.
+    several = [(5, f"text {k} of five") for k in range(30)]
+    label = spark.createDataFrame([(5, 1)], "doc_id long, label int")
+    fits = [neighbours.fit(spark.createDataFrame(x, "doc_id long, text string"), label) for x in (several, several[::-1])]
+    assert [len(m.labels) for m in fits] == [1, 1] and np.allclose(fits[0].basis, fits[1].basis)
+
+
 # --- 3: token files ---------------------------------------------------------
 
 
