@@ -43,7 +43,8 @@ class Encoder:
     Cutting before a blank that stands between two other characters cuts where
     the splitter of a byte-level model cuts anyway.  Texts with other white
     space next to a blank, and pieces with rarer letters, go to the library
-    whole, as do all texts of a model of another kind.
+    whole, as do texts that hold an added token of the model (each is one id
+    there) and all texts of a model of another kind.
     """
 
     PIECES = 200_000
@@ -54,7 +55,7 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         kind = self.whole.pre_tokenizer
         self.plain = isinstance(kind, ByteLevel) and not kind.add_prefix_space and self.whole.normalizer is None
         self.names = _byte_names()
@@ -105,9 +106,10 @@ class Encoder:
         pool = self.pool
         if len(pool.at) > pool.LIMIT:
             pool.clear()
-        heads, words, count = [], [], []
+        heads, words, count, apart = [], [], [], []
         for body in bodies:
-            head, *rest = body.split(" ") if self.plain else (body,)
+            apart.append(not self.plain or any(a in body for a in self.added))
+            head, *rest = (body,) if apart[-1] else body.split(" ")
             heads.append(head)
             words += rest
             count.append(len(rest))
@@ -121,7 +123,7 @@ class Encoder:
         odd = np.r_[0, np.cumsum(pool.more[rows, 0])]
         parts, sizes, at = [], np.zeros(len(bodies), np.int64), 0
         for k, (body, head, n) in enumerate(zip(bodies, heads, count)):
-            if not self.plain or odd[at + n] > odd[at] or (n and (not head or head[-1].isspace())):
+            if apart[k] or odd[at + n] > odd[at] or (n and (not head or head[-1].isspace())):
                 own = [np.array(self._whole(body), np.int32)]
             else:
                 own = [np.array(self._chunk(head) if head else [], np.int32), ids[ends[at] : ends[at + n]]]

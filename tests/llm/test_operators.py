@@ -188,6 +188,21 @@ def test_token_files_round_trip(spark, docs, rows, odd, empty):
     assert tokenfiles.read_digests(spark, none).count() == 0
 
 
+def test_token_files_keep_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenfiles.default_vocabulary())
+    bodies = [
+        "a<|endoftext|>b", "<|endoftext|>", "one two <|endoftext|> three", "x <|endoftext|>", "<|endoftext|><|endoftext|> y\n",
+        "<|endof text|> no token", "plain words", "  <|endoftext|>  日本", "<|endoftext|", None,
+    ]
+    assert whole.encode(bodies[0], add_special_tokens=False).ids == [64, 50256, 65]
+    path = new_path(spark, "test-tokens")
+    tokenfiles.write_tokens(spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string"), path)
+    out = sorted(tokenfiles.read_digests(spark, path).collect())
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in out] == [summary(whole, t) for t in bodies]
+
+
 def summary(whole, t):
     ids = [*whole.encode(t or "", add_special_tokens=False).ids, tokenfiles.END_ID]
     return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
