@@ -1,4 +1,12 @@
-"""Piece segmentation: forward Viterbi scores guide a backward A* search for the best segmentations."""
+"""Piece segmentation: forward Viterbi scores guide a backward A* search for the best segmentations.
+
+The ids are not those of SentencePiece's own encoding.  The model is a BPE
+model, whose scores are ranks of merges; the library applies the merges in
+order, while the lattice maximises the sum of the scores ('the' becomes ▁t he
+instead of ▁the).  Over the words of the documents of sf0.01, 47 % of word
+occurrences are spelt differently, in 14 % more ids.  Decoding gives the text
+back all the same; a network trained on the library's ids needs those.
+"""
 
 from __future__ import annotations
 

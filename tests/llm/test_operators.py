@@ -270,6 +270,26 @@ def test_pieces_n_best_is_exact(rows):
         assert coder.lattice.decode(coder.encode(t or "", 3)[0]) == (t or "").replace(pieces.MARK, " ")
 
 
+def test_pieces_beside_the_library(spark, sf):
+    """The lattice's ids differ from the library's BPE ids, as stated, and never score less."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    lattice = pieces.Lattice(pieces.default_model())
+    bodies = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    count = Counter(w for t in bodies for w in t.split())
+    words = sorted(count)
+    differ = 0
+    for word, (ids, score, _) in zip(words, lattice.best([pieces.marked(w) for w in words])):
+        own = sp.encode(word)
+        if not any(sp.is_byte(i) for i in (*own, *ids)):
+            assert lattice.decode(own) == lattice.decode(ids) == word
+            assert score >= sum(sp.get_score(i) for i in own)
+            differ += count[word] * (ids != own)
+    assert 0.3 < differ / sum(count.values()) < 0.6
+    assert "SentencePiece" in pieces.__doc__
+
+
 def test_pieces_in_frames(docs, odd, empty):
     out = pieces.encode(odd, n_best=2)
     assert set(odd.columns) | {"edits"} == set(out.columns) and out.count() == docs.count()
