@@ -9,7 +9,7 @@ from litmill.llm.registry import ORACLES, QUERIES
 _MODULES = (
     "preference", "neighbours", "tokenfiles", "substrings", "pieces",
     "jaccard", "rules", "sharding", "contamination", "personal",
-    "divergence",
+    "divergence", "ranked", "extraction",
 )
 
 

@@ -28,7 +28,7 @@ _LETTERS = byte_classes(digits=False)
 _GROUP, _TERM, _COUNT, _LANG = 0, 1, 2, 3  # kinds of rows that a comparison task gets
 
 
-def count_terms(docs: DataFrame) -> DataFrame:
+def count_terms(docs: DataFrame, most_held: int = HELD) -> DataFrame:
     """(lang, source, term, count, docs), summed within tasks only; the term '' marks that the group occurs."""
 
     def run(batches: Batches) -> Batches:
@@ -60,7 +60,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
                 total.update(words)
                 holders[key].update(set(words))
                 held += len(total) - before
-                if held > HELD:
+                if held > most_held:
                     yield from passed_on()
                     totals, holders, held = {}, {}, 0
         yield from passed_on()
@@ -119,7 +119,7 @@ class CountTrees:
         return at, a, b
 
 
-def compare(rows: pa.Table) -> dict[str, list]:
+def compare(rows: pa.Table, leaves: int = LEAVES, side: int = SIDE) -> dict[str, list]:
     """Sums over a block of terms for pairs of groups, and the block's first terms of each group."""
     kind, g, at, n = (rows.column(c).to_numpy() for c in ("kind", "g", "at", "n"))
     v = int(rows.column("v")[0].as_py())
@@ -129,7 +129,7 @@ def compare(rows: pa.Table) -> dict[str, list]:
     order = np.argsort(groups)
     groups, sizes = groups[order], [sizes[k] for k in order]
     lang = len(groups)
-    counts = np.full((lang + 1, LEAVES), -1, np.int64)
+    counts = np.full((lang + 1, leaves), -1, np.int64)
     terms = kind == _TERM
     counts[:, at[terms].astype(np.int64)] = 0
     counts[lang, at[terms].astype(np.int64)] = n[terms]
@@ -138,15 +138,15 @@ def compare(rows: pa.Table) -> dict[str, list]:
     sizes.append(int(n[kind == _LANG][0]))
     trees = CountTrees(counts)
     shares = [share(trees.values, size, v) for size in sizes]
-    side = groups // SIDE
+    of_side = groups // side
     out: dict[str, list] = {"g": [], "h": [], "id": [], "value": []}
 
     def put(*row) -> None:
         for column, value in zip(out.values(), row):
             column.append(value)
 
-    for x in np.flatnonzero(side == i):
-        for y in np.flatnonzero(side == j):
+    for x in np.flatnonzero(of_side == i):
+        for y in np.flatnonzero(of_side == j):
             if i < j or x < y:
                 a, b, places = trees.leaf_pairs(x, y)
                 put(int(groups[x]), int(groups[y]), None, int((np.abs(shares[x][a] - shares[y][b]) * places).sum()))
@@ -159,7 +159,10 @@ def compare(rows: pa.Table) -> dict[str, list]:
     return out
 
 
-def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+def divergence(
+    docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text",
+    leaves: int = LEAVES, side: int = SIDE, most_held: int = HELD,
+) -> DataFrame:
     """(lang, source, part, item, value, rank): how far the sources of a language differ, and by which words.
 
     Part ``pair``: the distance to each other source of the language, summed
@@ -170,13 +173,14 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     rank by item.  A language without kept terms has pairs of value 0 and no
     terms.  Other columns are not read; an empty table gives an empty result.
 
-    Terms are numbered in order, cut into blocks of 4096 ids, and each block's
-    groups compared in sides of 64: a task holds two sides of one block.
+    Terms are numbered in order, cut into blocks of ``leaves`` ids (a power of
+    2), and each block's groups compared in sides of ``side``: a task holds two
+    sides of one block.  A counting task holds about ``most_held`` entries.
     """
     rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
     by_term = W.partitionBy("lang", "term")
     kept = stage(
-        count_terms(rows).repartition("lang", "term").groupBy("lang", "term", "source")
+        count_terms(rows, most_held).repartition("lang", "term").groupBy("lang", "term", "source")
         .agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
         .withColumn("df", F.sum("docs").over(by_term)).filter((F.col("term") == "") | (F.col("df") >= LEAST_DOCS))
         .select("lang", "source", "term", "count"),
@@ -185,7 +189,7 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     counts = kept.filter("term <> ''")
     terms = stage(
         running_total(counts.groupBy("lang", "term").agg(F.sum("count").alias("n")), ["lang", "term"], F.lit(1), "id", "term-ids")
-        .withColumns({"block": F.expr(f"id div {LEAVES}"), "at": F.pmod("id", F.lit(LEAVES)).cast("int")}),
+        .withColumns({"block": F.expr(f"id div {leaves}"), "at": F.pmod("id", F.lit(leaves)).cast("int")}),
         "terms",
     )
     langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("n"))
@@ -193,7 +197,7 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     groups = stage(
         running_total(kept.filter("term = ''").select("lang", "source"), ["lang", "source"], F.lit(1), "g", "group-ids")
         .join(sizes, ["lang", "source"], "left")
-        .select("lang", "source", "g", F.coalesce("n", F.lit(0)).alias("n"), F.expr(f"g div {SIDE}").alias("side")),
+        .select("lang", "source", "g", F.coalesce("n", F.lit(0)).alias("n"), F.expr(f"g div {side}").alias("side")),
         "groups",
     )
     sides = groups.select("lang", "side").distinct()
@@ -220,7 +224,7 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     )
 
     def priced(key: tuple, found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = compare(pa.Table.from_batches(found))
+        out = compare(pa.Table.from_batches(found), leaves, side)
         n = len(out["g"])
         yield pa.RecordBatch.from_arrays(
             [
@@ -246,7 +250,7 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     )
     first = W.partitionBy("g").orderBy(F.desc("value"), "id")
     most = (
-        found.filter("h is null").select("g", (F.col("block") * LEAVES + F.col("at")).alias("id"), "value")
+        found.filter("h is null").select("g", (F.col("block") * leaves + F.col("at")).alias("id"), "value")
         .withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= TOP)
         .join(terms.select("id", F.col("term").alias("item")), "id").join(groups.select("lang", "source", "g"), "g")
     )
