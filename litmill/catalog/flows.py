@@ -7,7 +7,7 @@ from litmill.catalog import adapters as A
 from litmill.catalog import query
 from litmill.catalog.joins import RES, resources
 from litmill.catalog.quality import (
-    CONTRIB, DUCK_NAMED, DUCK_RETAINED, _DUCK_CHECK, _Q_ORDER, checked_batches, named, retained,
+    CONTRIB, DUCK_NAMED, DUCK_RETAINED, Q_BY_TYPE, _DUCK_CHECK, _Q_ORDER, checked_batches, named, retained,
 )
 from litmill.catalog.rules import rel
 from litmill.operators import portfolio, rubrics
@@ -80,7 +80,7 @@ def recommend(spark, sf_dir):
 @query(
     "audit_batches",
     f"""with {_DUCK_CHECK} select task_id, count(*) filter (where class = 'eligible') as eligible, count(*) filter (where class = 'failed') as failed, count(*) filter (where class = 'pending') as pending,
- count(*) filter (where class = 'invalid') as invalid, cast(coalesce(sum(article_count) filter (where class = 'eligible'), 0) as bigint) as eligible_articles, 3 * count(*) filter (where class = 'eligible') as planned_calls, true as within_budget from classed group by 1""",
+ count(*) filter (where class = 'invalid') as invalid, cast(coalesce(sum(article_count) filter (where class = 'eligible'), 0) as bigint) as eligible_articles, 3 * count(*) filter (where class = 'eligible') as planned_calls, true as within_budget, concat_ws(',', {Q_BY_TYPE}) as eligible_by_type from classed group by 1""",
 )
 def audit_batches(spark, sf_dir):
     return corpus.audit_batches(checked_batches(spark, sf_dir))

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from litmill import scale
 from litmill.catalog import adapters as A
 from litmill.catalog import query
 from litmill.functions import values
-from litmill.operators import audit, portfolio, spans, store, vocab
+from litmill.operators import audit, logstore, portfolio, spans, store, vocab
 from litmill.sources import vocabulary
 
 _RAW_VOCAB = """select 'http://vocab.example/C/' || cast(p_partkey as string) as class_id, case when p_partkey % 31 = 0 then ' ' else p_name || ' ' || cast(p_partkey DIV 3 as string) end as label,
@@ -134,12 +135,43 @@ def halves(spark, sf_dir):
     return stored.drop("record_id"), rec.filter("record_id % 2 = 1")
 
 
-DUCK_HALVES = f"""{A.DUCK_REC}, stored as (select 'a' || cast(record_id as varchar) as article_id, * exclude (record_id) from rec where record_id % 2 = 0), inc as (select * from rec where record_id % 2 = 1),
- hits as (select i.record_id, s.article_id, 1 as n from inc i join stored s on {A.q_fold(A.q_strip('i.doi'))} = {A.q_fold(A.q_strip('s.doi'))} where i.doi <> ''
-  union all select i.record_id, s.article_id, 2 from inc i join stored s on i.pmid = s.pmid where i.pmid <> '' union all select i.record_id, s.article_id, 3 from inc i join stored s on upper(i.pmcid) = upper(s.pmcid) where i.pmcid <> ''
-  union all select i.record_id, s.article_id, 4 from inc i join stored s on i.normalized_title = s.normalized_title and i.publication_year = s.publication_year
+# Text fields that an upsert fills, and those that only a founder gives.
+UP = ("doi", "pmid", "pmcid", "first_author", "journal_title", "issn", "publication_date", "language", "abstract")
+_HELD = "title, normalized_title, " + ", ".join(UP) + ", publication_year, publication_types, is_retracted"
+
+
+def duck_matches(stored: str, inc: str, tag: str = "") -> str:
+    """CTE matches<tag>: the stored article of each record of inc."""
+    same = lambda c: f"i.{c} = s.{c}"
+    return f"""hits{tag} as (select i.record_id, s.article_id, 1 as n from {inc} i join {stored} s on {A.q_fold(A.q_strip('i.doi'))} = {A.q_fold(A.q_strip('s.doi'))} where i.doi <> ''
+  union all select i.record_id, s.article_id, 2 from {inc} i join {stored} s on {same("pmid")} where i.pmid <> '' union all select i.record_id, s.article_id, 3 from {inc} i join {stored} s on upper(i.pmcid) = upper(s.pmcid) where i.pmcid <> ''
+  union all select i.record_id, s.article_id, 4 from {inc} i join {stored} s on {same("normalized_title")} and {same("publication_year")}
    and lower({A.q_strip('i.first_author')}) = lower({A.q_strip('s.first_author')}) where {A.q_strip('i.first_author')} <> ''),
- matches as (select record_id, article_id, n from (select *, row_number() over (partition by record_id order by n, article_id) as rn from hits) where rn = 1)"""
+ matches{tag} as (select record_id, article_id, n from (select *, row_number() over (partition by record_id order by n, article_id) as rn from hits{tag}) where rn = 1)"""
+
+
+def duck_upsert(stored: str, inc: str, tag: str = "") -> str:
+    """CTE after<tag>: the articles once inc is merged into stored (needs ``with recursive``)."""
+    first = lambda c, cond: f"list(i.{c} order by i.record_id) filter (where {cond})[1] as {c}"
+    return f"""{duck_matches(stored, inc, tag)}, fresh{tag} as (select * from {inc} where record_id not in (select record_id from matches{tag})),
+ fk{tag} as (select record_id, 'd' || {A.q_fold(A.q_strip('doi'))} as k from fresh{tag} where doi <> '' union all select record_id, 'p' || pmid from fresh{tag} where pmid <> ''
+  union all select record_id, 'c' || upper(pmcid) from fresh{tag} where pmcid <> ''
+  union all select record_id, 't' || normalized_title || '|' || publication_year || '|' || lower({A.q_strip('first_author')}) from fresh{tag} where {A.q_strip('first_author')} <> ''),
+ near{tag} as (select distinct x.record_id as a, y.record_id as b from fk{tag} x join fk{tag} y on x.k = y.k),
+ reach{tag} as (select record_id as a, record_id as b from fresh{tag} union select r.a, n.b from reach{tag} r join near{tag} n on r.b = n.a),
+ firsts{tag} as (select a as record_id, min(b) as first_id from reach{tag} group by 1),
+ joined{tag} as (select record_id, article_id from matches{tag} union all select record_id, 'r' || cast(first_id as varchar) from firsts{tag} where record_id <> first_id),
+ base{tag} as (select article_id, {_HELD} from {stored}
+  union all select 'r' || cast(record_id as varchar), {_HELD} from fresh{tag} where record_id in (select record_id from firsts{tag} where record_id = first_id)),
+ off{tag} as (select m.article_id, {", ".join(first(c, f"i.{c} <> ''") for c in UP)}, {first("publication_year", "i.publication_year is not null")},
+  {first("publication_types", "len(i.publication_types) > 0")}, bool_or(i.is_retracted) as is_retracted from joined{tag} m join {inc} i on m.record_id = i.record_id group by 1),
+ after{tag} as (select s.article_id, s.title, s.normalized_title, {", ".join(f"coalesce(nullif(s.{c}, ''), o.{c}, s.{c}) as {c}" for c in UP)}, coalesce(s.publication_year, o.publication_year) as publication_year,
+  case when len(s.publication_types) > 0 then s.publication_types else coalesce(o.publication_types, s.publication_types) end as publication_types,
+  s.is_retracted or coalesce(o.is_retracted, false) as is_retracted from base{tag} s left join off{tag} o on s.article_id = o.article_id)"""
+
+
+DUCK_STORED = f"""{A.DUCK_REC}, stored as (select 'a' || cast(record_id as varchar) as article_id, * exclude (record_id) from rec where record_id % 2 = 0), inc as (select * from rec where record_id % 2 = 1)"""
+DUCK_HALVES = f"{DUCK_STORED}, {duck_matches('stored', 'inc')}"
 
 
 @query(
@@ -151,6 +183,19 @@ def match_existing_article(spark, sf_dir):
     return store.match_existing(inc, stored)
 
 
+@query(
+    "j06_match_by_index",
+    f"with {DUCK_HALVES} select record_id, article_id, case n when 1 then 'doi' when 2 then 'pmid' when 3 then 'pmcid' else 'title_year_author' end as matched_by from matches",
+)
+def match_by_index(spark, sf_dir):
+    """The same by a stored index, whose side is not shuffled."""
+    stored, inc = halves(spark, sf_dir)
+    index = logstore.KeyIndex(scale.new_path(spark, "key-index"), stored.schema["article_id"].dataType)
+    index.write(store.long_keys(stored, "article_id").withColumnRenamed("article_id", "owner"), 0)
+    hits = index.owners(store.long_keys(inc, "record_id"), spark, [0])
+    return store.best_match(hits.withColumnRenamed("owner", "article_id"))
+
+
 @query(
     "j07_hydrate",
     """with ids as (select l_orderkey as list_id, l_linenumber as pos, l_partkey as article_id from lineitem), a as (select p_partkey as article_id, p_name as title from part where p_partkey % 13 <> 0)

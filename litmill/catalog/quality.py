@@ -225,7 +225,7 @@ def batch_eligibility(spark, sf_dir):
     return checked_batches(spark, sf_dir).withColumn("issues", F.array_join("issues", ","))
 
 
-_Q_BY_TYPE = ", ".join(
+Q_BY_TYPE = ", ".join(
     f"case when count(*) filter (where class = 'eligible' and study_type = '{t}') > 0 then '{t}:' || count(*) filter (where class = 'eligible' and study_type = '{t}') end"
     for t in sorted(rubrics.STUDY_TYPES)
 )
@@ -235,7 +235,7 @@ _Q_BY_TYPE = ", ".join(
     "a15_quality_checks_summary",
     f"""with {_DUCK_CHECK} select task_id, count(*) filter (where class = 'eligible') as eligible, count(*) filter (where class = 'failed') as failed, count(*) filter (where class = 'pending') as pending,
  count(*) filter (where class = 'invalid') as invalid, cast(coalesce(sum(article_count) filter (where class = 'eligible'), 0) as bigint) as eligible_articles, 3 * count(*) filter (where class = 'eligible') as planned_calls,
- 3 * count(*) filter (where class = 'eligible') <= 6 as within_budget, concat_ws(',', {_Q_BY_TYPE}) as eligible_by_type from classed group by 1""",
+ 3 * count(*) filter (where class = 'eligible') <= 6 as within_budget, concat_ws(',', {Q_BY_TYPE}) as eligible_by_type from classed group by 1""",
 )
 def quality_checks_summary(spark, sf_dir):
     return audit.checks_summary(checked_batches(spark, sf_dir), 6)

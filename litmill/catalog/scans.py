@@ -272,11 +272,20 @@ def scan_query_set(spark, sf_dir):
 _BLOCKS = "|".join(markup.BLOCK_TAGS)
 
 
+# Pages have one script each, whose content is text; it is cut out, cleaned apart and put back.
+_REFERENCES = "replace(" * 6 + "{t}" + "".join(
+    f", '{name}', '{char}')" for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp", "&")))
+
+
+def _plain(x):
+    tags = rf"regexp_replace(regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->|<[!?][^>]*>', '', 'g'), '(?i)</?(?:{_BLOCKS})(?:[\s/][^>]*)?>', chr(10), 'g'), '</?[A-Za-z][^>]*>', '', 'g')"
+    return _REFERENCES.format(t=f"replace({tags}, '&amp;', '&amp')")
+
+
 @query(
     "s13_html_to_text",
-    rf"""with bare as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<[!?][^>]*>', '', 'g'),
-  '(?i)</?(?:{_BLOCKS})(?:[\s/][^>]*)?>', chr(10), 'g'), '</?[A-Za-z][^>]*>', '', 'g') as t from pages),
- plain as (select page_id, replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as t from bare)
+    rf"""with cut as (select page_id, regexp_extract(html, '(?s)^(.*)<script>(.*)</script>(.*)$', ['head', 'script', 'rest']) as x from pages),
+ plain as (select page_id, {_plain("x.head")} || x.script || {_plain("x.rest")} as t from cut)
 select page_id, nullif(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: {A.q_single('x')}), lambda x: x <> ''), chr(10)), '') as body from plain""",
 )
 def html_to_text(spark, sf_dir):
@@ -284,15 +293,17 @@ def html_to_text(spark, sf_dir):
     return p.select("page_id", markup.html_text(F.col("html")).alias("body"))
 
 
-_FRAG = "'<h4>Aim</h4><p>' || replace(replace(split_part(text, chr(10), 1), '<', ' '), '&', ' ') || ' &amp; more</p>tail<br>  <b>end</b>  '"
+_CLEAN = "replace(replace(text, '<', ' '), '&', ' ')"
+_FRAG = f"""'<h4 title="a>b">Aim</h4><p class=''x > y'' id = "1">' || {_CLEAN} || ' &amp; more &apos;x&apos; &hellip;&notin; &copy 5 &notit &#x41;&#066;&#128; &nope; &</p>tail<br data-x="</p>">  <b>end</b>  '"""
+_TAIL = "' & more ''x'' …∉ © 5 ¬it AB€ &nope; &'"
 
 
 @query(
     "s13_html_fragment",
-    f"""select doc_id, concat_ws(chr(10), 'Aim', {A.q_single("replace(replace(" + _T + ", '<', ' '), '&', ' ') || ' & more'")}, 'tail', 'end') as body from documents""",
+    f"""select doc_id, array_to_string(list_filter(list_transform(string_split_regex('Aim' || chr(10) || {_CLEAN} || {_TAIL} || chr(10) || 'tail' || chr(10) || 'end',
+  '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {A.q_single('x')}), lambda x: x <> ''), chr(10)) as body from documents""",
 )
 def html_fragment(spark, sf_dir):
+    """Quoted signs and references of every kind around each whole text."""
     d = A.table(spark, sf_dir, "documents")
     return d.select("doc_id", markup.html_text(F.expr(_FRAG)).alias("body"))
-
-

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from litmill import scale
 from litmill.catalog import adapters as A
 from litmill.catalog import query
-from litmill.catalog.joins import DUCK_HALVES, DUCK_SPANS, RES, halves, resources
+from litmill.catalog.joins import DUCK_SPANS, DUCK_STORED, RES, UP, duck_upsert, halves, resources
 from litmill.catalog.quality import DUCK_RETAINED, retained
 from litmill.operators import portfolio, spans, store
 from litmill.sources import sinks
@@ -42,31 +42,19 @@ def write_run_ledger(spark, sf_dir):
     return out.select("search_run_id", "query_hash", "retrieved_count", "status")
 
 
-_UP = ("doi", "pmid", "pmcid", "first_author", "journal_title", "issn", "publication_date", "language")
+_COLS = ("article_id", "title", *UP, "publication_year", "is_retracted")
 
 
 @query(
     "k03_upsert_articles",
-    f"""with recursive {DUCK_HALVES}, fresh as (select * from inc where record_id not in (select record_id from matches)),
- fk as (select record_id, 'd' || {A.q_fold(A.q_strip('doi'))} as k from fresh where doi <> '' union all select record_id, 'p' || pmid from fresh where pmid <> ''
-  union all select record_id, 'c' || upper(pmcid) from fresh where pmcid <> ''
-  union all select record_id, 't' || normalized_title || '|' || publication_year || '|' || lower({A.q_strip('first_author')}) from fresh where {A.q_strip('first_author')} <> ''),
- near as (select distinct x.record_id as a, y.record_id as b from fk x join fk y on x.k = y.k),
- reach as (select record_id as a, record_id as b from fresh union select r.a, n.b from reach r join near n on r.b = n.a),
- firsts as (select a as record_id, min(b) as first_id from reach group by 1),
- joined as (select record_id, article_id from matches union all select record_id, 'r' || cast(first_id as varchar) from firsts where record_id <> first_id),
- base as (select article_id, title, {", ".join(_UP)}, publication_year, is_retracted from stored
-  union all select 'r' || cast(record_id as varchar), title, {", ".join(_UP)}, publication_year, is_retracted from fresh where record_id in (select record_id from firsts where record_id = first_id)),
- off as (select m.article_id, {", ".join(f"list(i.{c} order by i.record_id) filter (where i.{c} <> '')[1] as {c}" for c in _UP)},
-  list(i.publication_year order by i.record_id) filter (where i.publication_year is not null)[1] as publication_year, bool_or(i.is_retracted) as is_retracted from joined m join inc i on m.record_id = i.record_id group by 1)
- select s.article_id, s.title, {", ".join(f"coalesce(nullif(s.{c}, ''), o.{c}, s.{c}) as {c}" for c in _UP)}, coalesce(s.publication_year, o.publication_year) as publication_year, s.is_retracted or coalesce(o.is_retracted, false) as is_retracted
- from base s left join off o on s.article_id = o.article_id""",
+    f"""with recursive {DUCK_STORED}, {duck_upsert('stored', 'inc')}
+ select {", ".join(_COLS)}, array_to_string(publication_types, '|') as publication_types from after""",
 )
 def upsert_articles(spark, sf_dir):
     stored, inc = halves(spark, sf_dir)
     after = store.upsert_articles(stored, inc, store.match_existing(inc, stored))
-    cols = ["article_id", "title", *_UP, "publication_year", "is_retracted"]
-    return sinks.write_snapshot(after.select(*cols), scale.new_path(spark, "articles"))
+    out = sinks.write_snapshot(after.select(*_COLS, "publication_types"), scale.new_path(spark, "articles"))
+    return out.withColumn("publication_types", F.array_join("publication_types", "|"))
 
 
 @query(

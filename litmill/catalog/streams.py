@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 from litmill import scale
 from litmill.catalog import adapters as A
 from litmill.catalog import query
+from litmill.catalog.joins import UP, duck_upsert
+from litmill.operators import logstore, resolve
 from litmill.streaming import jobs
 
 KINDS = ("view", "click", "signup", "purchase", "error")
@@ -78,13 +80,42 @@ def progress_stream(spark, sf_dir):
     return drained(jobs.progress(events(spark, sf_dir), "user_id", "event_type", KINDS), "complete")
 
 
+def shuffled_arrival(spark, sf_dir):
+    """A folder that event files reach out of order: two lots by day, every third event two days late.
+
+    A last row far in the future, of no user, closes all time slices.
+    """
+    e = batch_events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type")
+    first = e.agg(F.min("ts")).scalar()
+    day = F.datediff("ts", first) + F.when(F.col("event_id") % 3 == 0, 2).otherwise(0)
+    end = e.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("interval 90 days")).alias("ts")).select(
+        "event_id", "ts", F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"))
+    lots = [e.filter(F.floor(day / 16) == k) for k in range(2)] + [end]
+    return e.schema, lots
+
+
+def replayed(spark, sf_dir, job):
+    """Rows that a stream in append mode puts out over the lots of :func:`shuffled_arrival`, one run a lot."""
+    spark = stream_session(spark, rocksdb=True)
+    schema, lots = shuffled_arrival(spark, sf_dir)
+    root = scale.new_path(spark, "stream")
+    for lot in lots:
+        lot.write.mode("append").parquet(f"{root}/in")
+        out = job(spark.readStream.schema(schema).parquet(f"{root}/in"))
+        out.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option(
+            "checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
 @query(
     "t02_stage_change_stream",
     """with l as (select cast(user_id as varchar) as task, event_id, event_type as stage, lag(event_type) over (partition by user_id order by ts, event_id) as previous from events) select * from l where previous is null or previous <> stage""",
 )
 def stage_change_stream(spark, sf_dir):
-    e = events(spark, sf_dir, rocksdb=True).withColumn("task", F.col("user_id")).withColumnRenamed("event_type", "stage")
-    return drained(jobs.stage_changes(e), "append").select("task", "event_id", "stage", "previous")
+    """Events arrive out of order over several runs; the changes are those of event order."""
+    out = replayed(spark, sf_dir, lambda e: jobs.stage_changes(
+        e.withColumnRenamed("user_id", "task").withColumnRenamed("event_type", "stage"), late="4 days"))
+    return out.filter("task <> '-1'").select("task", "event_id", "stage", "previous")
 
 
 @query(
@@ -97,12 +128,18 @@ def terminal_replay(spark, sf_dir):
     return drained(jobs.terminal(e), "complete")
 
 
-@query("t04_ttl_state", "select user_id, event_type, count(*) > 0 as seen from events group by 1, 2")
+@query(
+    "t04_ttl_state",
+    """with recursive e as (select user_id || '-' || event_type as key, event_id, ts from events),
+ r as (select key, min(ts) as ts from e group by 1 union all
+  select r.key, min(e.ts) over (partition by r.key) from r join e on e.key = r.key and e.ts >= r.ts + interval 36 hour qualify row_number() over (partition by r.key) = 1)
+ select e.key, min(e.event_id) as event_id from r join e on r.key = e.key and r.ts = e.ts group by e.key, e.ts""",
+)
 def ttl_state(spark, sf_dir):
-    e = events(spark, sf_dir).select("user_id", "event_type", "ts")
-    out = drained(jobs.ttl_ids(e, ["user_id", "event_type"], "40 days"), "append")
-    # Within a lifetime longer than the data each pair is let through once.
-    return out.groupBy("user_id", "event_type").agg((F.count("*") == 1).alias("seen"))
+    """Keys live 36 hours of 30 days, so most are let in many times."""
+    out = replayed(spark, sf_dir, lambda e: jobs.ttl_ids(
+        e.withColumn("key", F.concat_ws("-", "user_id", "event_type")), "key", 36 * 3_600_000, late="4 days"))
+    return out.filter("event_id >= 0").select("key", "event_id")
 
 
 @query(
@@ -125,19 +162,45 @@ def stale_stream(spark, sf_dir):
     return drained(jobs.stale_stream(e, "item", 3_600_000, 30), "append").select("item", "attempts", "status")
 
 
-@query("t06_incremental_ingest")
+def _arrivals(parts=3):
+    """Records of one arrival after another: those of equal remainder come together."""
+    return [f"record_id % {parts} = {k}" for k in range(parts)]
+
+
+def _arrived(k):
+    return f"in{k} as (select * from rec where {_arrivals()[k]})"
+
+
+@query(
+    "t06_incremental_ingest",
+    f"""with recursive {A.DUCK_REC}, none as (select '' as article_id, * exclude (record_id) from rec where false), {_arrived(0)}, {_arrived(1)}, {_arrived(2)},
+ {duck_upsert("none", "in0", "0")}, {duck_upsert("after0", "in1", "1")}, {duck_upsert("after1", "in2", "2")}
+ select article_id, title, {", ".join(UP)}, publication_year, is_retracted, array_to_string(publication_types, '|') as publication_types from after2""",
+)
 def incremental_ingest(spark, sf_dir):
-    """Records arrive in files; the corpus snapshot grows batch by batch."""
-    rec = A.records(spark, sf_dir).drop("publication_types", "keywords")
+    """Records arrive in three lots; each run of the stream merges one into the store."""
+    rec = A.records(spark, sf_dir)
     root = scale.new_path(spark, "ingest")
-    rec.repartitionByRange(3, "record_id").write.parquet(f"{root}/arriving")
-    store = rec.withColumn("article_id", F.concat(F.lit("r"), F.col("record_id").cast("string"))).drop("record_id").limit(0)
-    arriving = spark.readStream.schema(rec.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arriving")
-    q = jobs.ingest(arriving, f"{root}/store", store)
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    out = spark.read.schema(store.schema).parquet(f"{root}/store/v{last}")
-    return out.select("article_id", "doi", "pmid", "pmcid", "publication_year", "is_retracted")
+    schema = rec.withColumn("article_id", F.lit("")).drop("record_id").schema
+    for lot in _arrivals():
+        rec.filter(lot).write.mode("append").parquet(f"{root}/arriving")
+        arriving = spark.readStream.schema(rec.schema).parquet(f"{root}/arriving")
+        jobs.ingest(arriving, f"{root}/store", schema).awaitTermination()
+    out = logstore.ArticleStore(f"{root}/store", schema).articles(spark)
+    return out.select(
+        "article_id", "title", *UP, "publication_year", "is_retracted", F.array_join("publication_types", "|").alias("publication_types"))
+
+
+@query("t06_incremental_clusters", f"with recursive {A.DUCK_CLUSTERS} select record_id, cluster from clusters")
+def incremental_clusters(spark, sf_dir):
+    """Clusters kept up over three lots of records equal those of one batch."""
+    keys = resolve.identity_keys(A.records(spark, sf_dir))
+    root = scale.new_path(spark, "clusters")
+    for lot in _arrivals():
+        keys.filter(lot).write.mode("append").parquet(f"{root}/arriving")
+        arriving = spark.readStream.schema(keys.schema).parquet(f"{root}/arriving")
+        jobs.ingest_clusters(arriving, f"{root}/forest", keys.schema["record_id"].dataType).awaitTermination()
+    return logstore.ClusterForest(f"{root}/forest", keys.schema["record_id"].dataType).clusters(spark)
 
 
 @query(

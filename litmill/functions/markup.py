@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,32 +28,70 @@ def _character(code: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
+# Names that are read without a semicolon too: the table lists them both ways.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+# What numbers stand for that name no character of their own (Windows letters of old pages).
+_OLD = {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)}
+
+
 def decode_entities(c: Column) -> Column:
-    """Named and numbered character references become characters; unknown ones stay."""
-    names = F.from_json(F.lit(json.dumps({n: chr(k) for n, k in name2codepoint.items()})), "map<string,string>")
+    """Character references become characters, as HTML reads them.
+
+    Every name of the HTML table is known; the older ones are read without a
+    semicolon too, the longest that fits.  A number without a character becomes
+    U+FFFD; what is no reference stays.
+    """
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    old = F.create_map(*[F.lit(x) for kv in _OLD.items() for x in kv])
 
     def one(part: Column) -> Column:
-        found = lambda pattern: F.nullif(F.regexp_extract(part, pattern, 1), F.lit(""))
-        decimal = found(r"^&#([0-9]{1,7});").cast("int")
-        sixteen = F.conv(found(r"^&#[xX]([0-9A-Fa-f]{1,6});"), 16, 10).cast("int")
-        named = F.try_element_at(names, found(r"^&([A-Za-z][A-Za-z0-9]*);"))
-        char = F.coalesce(named, _character(F.coalesce(decimal, sixteen)))
-        return F.when(char.isNull(), part).otherwise(
-            F.concat(char, F.regexp_replace(part, r"^&#?[0-9A-Za-z]+;", ""))
+        number = F.nullif(F.regexp_extract(part, r"^&#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", 0), F.lit(""))
+        digits = F.regexp_replace(number, r"^&#[xX]?0*|;$", "")
+        sixteen = number.rlike("^&#[xX]")
+        code = F.when(F.length(digits) > 7, 0x110000).otherwise(
+            F.when(sixteen, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        )
+        code = F.coalesce(code, F.lit(0))
+        char = F.coalesce(F.try_element_at(old, code), _character(code), F.lit("\ufffd"))
+        name = F.nullif(F.regexp_extract(part, r"^&([A-Za-z][A-Za-z0-9]*;)", 1), F.lit(""))
+        bare = F.nullif(F.regexp_extract(part, f"^&({'|'.join(_BARE)})", 1), F.lit(""))
+        whole = F.try_element_at(names, name)
+        used = F.when(number.isNotNull(), F.length(number)).otherwise(
+            F.length(F.when(whole.isNotNull(), name).otherwise(bare)) + 1
         )
+        text_of = F.when(number.isNotNull(), char).otherwise(F.coalesce(whole, F.try_element_at(names, bare)))
+        return F.when(text_of.isNull(), part).otherwise(F.concat(text_of, F.substring(part, used + 1, F.length(part))))
 
-    return F.array_join(F.transform(F.split(c, r"(?=&#?[0-9A-Za-z]+;)"), one), "")
+    return F.array_join(F.transform(F.split(c, r"(?=&#?[0-9A-Za-z])"), one), "")
+
+
+# The rest of a tag: a quoted value may hold any sign.  Java recurses for each round of the group, hence its bound;
+# a tag with more values ends at its first closing sign.
+_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+){0,300}+>"""
+_RAW = "script|style"
 
 
 def html_text(c: Column) -> Column:
-    """HTML fragment to text: block tags break lines, entities decoded, white space collapsed, blank lines dropped.
+    """HTML fragment to text: block tags break lines, references decoded, white space collapsed, blank lines dropped.
 
-    Comments and declarations go with the tags.  Null for a fragment without text.
+    Comments and declarations go with the tags; the content of scripts and
+    style sheets is plain text, signs and references in it included.  Null for
+    a fragment without text.
     """
-    bare = F.regexp_replace(c, r"(?s)<!--.*?(?:-->|\z)|<[!?][^>]*>", "")
-    bare = F.regexp_replace(bare, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^>]*)?>", "\n")
-    bare = F.regexp_replace(bare, r"</?[A-Za-z][^>]*>", "")
-    lines = F.transform(F.split(decode_entities(bare), _LINE_ENDS), text.collapse)
+    bare = F.regexp_replace(c, r"(?s)<!--.*?(?:-->|\z)", "")
+    pieces = F.split(bare, rf"(?i)(?=<(?:{_RAW})[\s/>])|(?<=</script>)|(?<=</style>)")
+
+    def plain(x: Column) -> Column:
+        x = F.regexp_replace(x, "<[!?][^>]*>", "")
+        x = F.regexp_replace(x, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?=[\s/>]){_REST}", "\n")
+        x = F.regexp_replace(x, f"</?[A-Za-z]{_REST}|</?[A-Za-z][^>]*>", "")
+        return decode_entities(x)
+
+    def raw(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(x, f"^<[A-Za-z]{_REST}", ""), rf"(?i)</(?:{_RAW})>$", "")
+
+    whole = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"^(?i)<(?:{_RAW})[\s/>]"), raw(x)).otherwise(plain(x))), "")
+    lines = F.transform(F.split(whole, _LINE_ENDS), text.collapse)
     return text.null_if_empty(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 

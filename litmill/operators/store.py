@@ -7,6 +7,7 @@ the stored one and the incoming rows; the caller writes it to a new path.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ FILL_FIELDS = (
     "publication_status", "language",
 )
 FILL_LISTS = ("authors", "publication_types")
+# Ways to recognise an article, best first.
+WAYS = ("doi", "pmid", "pmcid", "title_year_author")
 
 
 def provenance_outcome(raw: DataFrame, records: DataFrame) -> DataFrame:
@@ -87,6 +90,19 @@ def _keys(df: DataFrame, key: str) -> list[tuple[int, str, DataFrame]]:
     ]
 
 
+def long_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, kind, value) of every way to recognise an article."""
+    parts = [values.withColumn("kind", F.lit(way)) for _, way, values in _keys(df, key)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def best_match(hits: DataFrame) -> DataFrame:
+    """(record_id, article_id, matched_by) of (record_id, kind, article_id): the best kind, then the least article id."""
+    rank = sum((F.when(F.col("kind") == way, n).otherwise(0) for n, way in enumerate(WAYS, 1)), F.lit(0))
+    best = F.min(F.struct(rank.alias("n"), "article_id", F.col("kind").alias("matched_by"))).alias("m")
+    return hits.groupBy("record_id").agg(best).select("record_id", "m.article_id", "m.matched_by")
+
+
 def match_existing(incoming: DataFrame, store: DataFrame) -> DataFrame:
     """(record_id, article_id, matched_by): the stored article each record belongs to.
 
@@ -95,15 +111,11 @@ def match_existing(incoming: DataFrame, store: DataFrame) -> DataFrame:
     author; among several the earlier kind and the least article id win.
     """
     found = None
-    for (n, way, left), (_, _, right) in zip(_keys(incoming, "record_id"), _keys(store, "article_id")):
+    for (_, way, left), (_, _, right) in zip(_keys(incoming, "record_id"), _keys(store, "article_id")):
         one = right.groupBy("value").agg(F.min("article_id").alias("article_id"))
-        hits = left.join(one, ["value"], "inner").select(
-            "record_id", "article_id", F.lit(n).alias("_n"), F.lit(way).alias("matched_by")
-        )
+        hits = left.join(one, ["value"], "inner").select("record_id", "article_id", F.lit(way).alias("kind"))
         found = hits if found is None else found.unionByName(hits)
-    return found.groupBy("record_id").agg(
-        F.min_by(F.struct("article_id", "matched_by"), "_n").alias("m")
-    ).select("record_id", "m.article_id", "m.matched_by")
+    return best_match(found)
 
 
 def _first_filled(name: str, list_field: bool) -> Column:
@@ -115,10 +127,7 @@ def _first_filled(name: str, list_field: bool) -> Column:
 
 def new_articles(fresh: DataFrame) -> DataFrame:
     """(record_id, first_id): unmatched records that share an identifier, or title, year and author, become one article."""
-    keys = None
-    for _, way, values in _keys(fresh, "record_id"):
-        part = values.withColumn("kind", F.lit(way))
-        keys = part if keys is None else keys.unionByName(part)
+    keys = long_keys(fresh, "record_id")
     groups = resolve.components(keys).withColumnRenamed("cluster", "first_id")
     return fresh.select("record_id").join(groups, "record_id", "left").select(
         "record_id", F.coalesce("first_id", "record_id").alias("first_id")

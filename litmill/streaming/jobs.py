@@ -6,15 +6,16 @@ DataFrame semantics allow) and returns one; the caller starts the query.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from litmill import scale
-from litmill.operators import resolve, store
+from litmill.operators import logstore
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "task string, event_id long, ts timestamp, stage string, previous string"
@@ -35,38 +36,85 @@ def progress(events: DataFrame, by: str, kind: str, kinds: tuple[str, ...]) -> D
     )
 
 
-class _Changes(StatefulProcessor):
-    """Remembers the last stage of a task and emits only changes."""
+class InOrder(StatefulProcessor):
+    """Hands a key's rows on in event order, however they arrive within the watermark.
+
+    Rows wait in state by slices of event time and are handed on, a slice at a
+    time, when the watermark has passed the slice's end.  Nothing holds more of
+    a key than one slice or one arriving frame.
+    """
+
+    def __init__(self, width_ms: int) -> None:
+        self.width = width_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "stage string")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slice long, part int", "rows string")
+        self.parts = handle.getMapState("parts", "slice long", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = self.last.get()[0] if self.last.exists() else None
-        batches = list(rows)
-        part = pd.concat(batches).sort_values(["ts", "event_id"]) if batches else pd.DataFrame()
-        if not part.empty:
-            before = part["stage"].shift(1)
-            before.iloc[0] = seen
-            out = part[part["stage"] != before].assign(previous=before)
-            self.last.update((part["stage"].iloc[-1],))
-            out["task"] = str(key[0])
-            yield out[["task", "event_id", "ts", "stage", "previous"]]
+        for frame in rows:
+            at = frame["ts"].astype("datetime64[us]").astype("int64")
+            for number, part in frame.assign(ts=at).groupby(at // (1000 * self.width)):
+                at_slice = (int(number),)
+                n = self.parts.getValue(at_slice)[0] if self.parts.containsKey(at_slice) else 0
+                held = part[["ts", "event_id", "value"]].to_json(orient="values")
+                self.waiting.updateValue((int(number), n), (held,))
+                self.parts.updateValue(at_slice, (n + 1,))
+                if not n:
+                    self.handle.registerTimer((int(number) + 1) * self.width)
+        return
+        yield  # a generator without rows
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        number = expiredTimerInfo.getExpiryTimeInMs() // self.width - 1
+        held = []
+        for n in range(self.parts.getValue((number,))[0]):
+            held += json.loads(self.waiting.getValue((number, n))[0])
+            self.waiting.removeKey((number, n))
+        self.parts.removeKey((number,))
+        out = self.ordered(key, sorted(held, key=lambda r: (r[0], r[1])))
+        if out:
+            yield self.frame(key, out)
 
     def close(self) -> None:
         pass
 
 
-def stage_changes(events: DataFrame, task: str = "task") -> DataFrame:
-    """Rows whose stage differs from the task's previous one, across micro-batches.
+class _Changes(InOrder):
+    """Remembers the last stage of a task and emits only changes."""
 
-    State is one value per task; a micro-batch's rows of one task are put in
-    event order before they are compared.  Needs the RocksDB state store.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "stage string")
+
+    def ordered(self, key, rows: list) -> list:
+        seen = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for at, event_id, stage in rows:
+            if stage != seen or not (out or self.last.exists()):
+                out.append((at, event_id, stage, seen))
+            seen = stage
+        self.last.update((seen,))
+        return out
+
+    def frame(self, key, out: list) -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=["ts", "event_id", "stage", "previous"])
+        made["ts"] = pd.to_datetime(made["ts"], unit="us")
+        return made.assign(task=str(key[0]))[["task", "event_id", "ts", "stage", "previous"]]
+
+
+def stage_changes(events: DataFrame, task: str = "task", late: str = "1 day", slice_ms: int = 3_600_000) -> DataFrame:
+    """Rows whose stage differs from the task's previous one in event order, whatever order they arrive in.
+
+    Rows may be late by ``late``; a row comes out once the watermark has passed
+    its slice of event time.  State holds what waits and one value per task.
+    Needs the RocksDB state store.
     """
-    rows = events.select(F.col(task).cast("string").alias("task"), "event_id", "ts", "stage")
-    return rows.groupBy("task").transformWithStateInPandas(
-        statefulProcessor=_Changes(), outputStructType=CHANGES, outputMode="Append",
-        timeMode="None",
+    rows = events.select(F.col(task).cast("string").alias("task"), "event_id", "ts", F.col("stage").alias("value"))
+    return rows.withWatermark("ts", late).groupBy("task").transformWithStateInPandas(
+        statefulProcessor=_Changes(slice_ms), outputStructType=CHANGES, outputMode="Append",
+        timeMode="EventTime",
     )
 
 
@@ -83,42 +131,92 @@ def terminal(events: DataFrame, task: str = "task") -> DataFrame:
     return rows.filter(keep).select(task, "terminal", F.col("_done.event_id").alias("event_id"))
 
 
-def ttl_ids(events: DataFrame, keys: list[str], ttl: str = "24 hours") -> DataFrame:
-    """First sight of each key, remembered for the given time."""
-    return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+class _Lives(InOrder):
+    """Lets a key in, then no more until its lifetime is over."""
+
+    def __init__(self, width_ms: int, life_ms: int) -> None:
+        super().__init__(width_ms)
+        self.life = 1000 * life_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.until = handle.getValueState("until", "at long")
+
+    def ordered(self, key, rows: list) -> list:
+        until = self.until.get()[0] if self.until.exists() else None
+        out = []
+        for at, event_id, _ in rows:
+            if until is None or at >= until:
+                out.append((at, event_id))
+                until = at + self.life
+        self.until.update((until,))
+        self.handle.registerTimer(self._end(until))  # then the key is forgotten
+        return out
+
+    def _end(self, until: int) -> int:
+        """A timer just after the slice in which the lifetime ends, whose rows still need it."""
+        return (until // (1000 * self.width) + 1) * self.width + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if at % self.width == 0:
+            yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        elif self.until.exists() and self._end(self.until.get()[0]) == at:
+            self.until.clear()
+
+    def frame(self, key, out: list) -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=["ts", "event_id"])
+        made["ts"] = pd.to_datetime(made["ts"], unit="us")
+        return made.assign(key=str(key[0]))[["key", "event_id", "ts"]]
+
+
+def ttl_ids(events: DataFrame, key: str, ttl_ms: int, late: str = "1 day", slice_ms: int = 3_600_000) -> DataFrame:
+    """(key, event_id, ts) of the events that let their key in: the first one, and the first after each lifetime.
+
+    Lifetimes are in event time, so a replay gives the same answer; a key is
+    dropped from state when its lifetime is over.  Needs the RocksDB state store.
+    """
+    rows = events.select(F.col(key).cast("string").alias("key"), "event_id", "ts", F.lit("").alias("value"))
+    return rows.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Lives(slice_ms, ttl_ms), outputStructType="key string, event_id long, ts timestamp",
+        outputMode="Append", timeMode="EventTime",
+    )
 
 
 class _Stale(StatefulProcessor):
-    """Lease end and attempts per work item; a timer reports leases that ran out."""
+    """Last event, attempts and lease end per work item; a timer reports leases that ran out.
+
+    The last event is the greatest of (time, id), so rows may come in any order and frame by frame.
+    """
 
     def __init__(self, lease_ms: int, max_attempts: int) -> None:
         self.lease_ms, self.max_attempts = lease_ms, max_attempts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "open boolean, attempts int, until long")
+        self.state = handle.getValueState("state", "ts long, event_id long, open boolean, attempts int, until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        opened, attempts, until = self.state.get() if self.state.exists() else (False, 0, 0)
-        batches = list(rows)
-        if not batches:
-            return
-        part = pd.concat(batches).sort_values(["ts", "event_id"])
-        starts = part["stage"] == "processing"
-        attempts += int(starts.sum())
-        last = part.iloc[-1]
-        opened = bool(last["stage"] == "processing")
-        if until:
-            self.handle.deleteTimer(until)
-        until = int(last["ts"].timestamp() * 1000) + self.lease_ms if opened else 0
-        if until:
-            self.handle.registerTimer(until)
-        self.state.update((opened, attempts, until))
+        ts, event_id, opened, attempts, before = self.state.get() if self.state.exists() else (None, 0, False, 0, 0)
+        for frame in rows:
+            attempts += int((frame["stage"] == "processing").sum())
+            at = frame["ts"].astype("datetime64[us]").astype("int64")
+            last = frame.assign(at=at).sort_values(["at", "event_id"]).iloc[-1]
+            if ts is None or (int(last["at"]), int(last["event_id"])) > (ts, event_id):
+                ts, event_id, opened = int(last["at"]), int(last["event_id"]), bool(last["stage"] == "processing")
+        if ts is not None:
+            until = ts // 1000 + self.lease_ms if opened else 0
+            if until != before:
+                if before:
+                    self.handle.deleteTimer(before)
+                if until:
+                    self.handle.registerTimer(until)
+            self.state.update((ts, event_id, opened, attempts, until))
         return
         yield  # a generator without rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, attempts, until = self.state.get()
+        _, _, _, attempts, until = self.state.get()
         status = "failed" if attempts >= self.max_attempts else "stale"
         yield pd.DataFrame(
             {"item": [str(key[0])], "attempts": [attempts], "lease_end_ms": [until], "status": [status]}
@@ -165,31 +263,29 @@ def windowed_latency(events: DataFrame, stage: str, ms: str, width: str, late: s
     )
 
 
-def ingest(records: DataFrame, store_root: str, first_store: DataFrame):
-    """Start a query that merges arriving records into the stored corpus.
+def ingest(records: DataFrame, root: str, schema: T.StructType, buckets: int = logstore.BUCKETS):
+    """Start a query that merges arriving records into the article store at ``root``.
 
-    Each micro-batch is deduplicated in itself, matched against the newest
-    snapshot and written as snapshot ``v<batch>``.  A retried batch reads the
-    snapshot before it and overwrites its own, so retries change nothing.
+    A micro-batch is matched by the stored key index and writes only the
+    articles it changes (see :mod:`litmill.operators.logstore`); a retried
+    batch starts from the manifest before it, so retries change nothing.
+    ``schema`` is that of the articles; batch numbers go on over restarts.
     """
-    spark = records.sparkSession
-    first_store.write.mode("overwrite").parquet(f"{store_root}/v-1")
-    schema = first_store.schema
-
-    def merge(batch: DataFrame, number: int) -> None:
-        current = spark.read.schema(schema).parquet(f"{store_root}/v{number - 1}")
-        batch = scale.stage(batch, "arrived")
-        keys = resolve.identity_keys(batch)
-        clusters = resolve.components(keys)
-        merged = resolve.merge_clusters(batch, clusters).withColumnRenamed("canonical_id", "record_id")
-        merged = scale.stage(merged, "merged")
-        matches = store.match_existing(merged, current)
-        after = store.upsert_articles(current, merged, matches)
-        after.write.mode("overwrite").parquet(f"{store_root}/v{number}")
+    kept = logstore.ArticleStore(root, schema, buckets)
+    return (
+        records.writeStream.foreachBatch(kept.upsert)
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
 
+def ingest_clusters(keys: DataFrame, root: str, ids: T.DataType, buckets: int = logstore.BUCKETS):
+    """Start a query that keeps clusters of records up to date as (record_id, kind, value) rows arrive."""
+    kept = logstore.ClusterForest(root, ids, buckets)
     return (
-        records.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", f"{store_root}/checkpoint")
+        keys.writeStream.foreachBatch(kept.add)
+        .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
