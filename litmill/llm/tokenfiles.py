@@ -3,51 +3,79 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from litmill.llm.common import Batches, IdPool, list_array, table, texts, worker_cache
+from litmill.llm.common import Batches, list_array, table, worker_cache
 from litmill.llm.registry import query
 from litmill.scale import new_path
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-SLICE = 256  # documents encoded together
-
-# The pattern of the byte-level splitter, for characters below U+0250 only.
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
-_split = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-).findall
-
-
-def _byte_names() -> dict[int, str]:
-    """Byte to the character that stands for it: itself if printable, else the next one from U+0100."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+SLICE_BYTES = 8 << 20  # text encoded together
+BLANK = "\u0120"  # fixed value: what stands for a blank in byte-level tokens
+
+class WordPool:
+    """Words to lists of ids, remembered up to a bound and then forgotten all at once."""
+
+    LIMIT = 700_000  # words
+    MOST_IDS = 6_000_000
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.start = np.zeros(1 << 14, np.uint32)
+        self.size = np.zeros(1 << 14, np.int32)  # -1: the word needs its whole text
+        self.n_ids = 0
+
+    @staticmethod
+    def _room(a: np.ndarray, need: int) -> np.ndarray:
+        if need <= len(a):
+            return a
+        out = np.zeros(max(need, len(a) * 3 // 2), a.dtype)
+        out[: len(a)] = a
+        return out
+
+    def add(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        n, held = len(self.at), np.maximum(size, 0)
+        self.ids = self._room(self.ids, self.n_ids + len(ids))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.start, self.size = self._room(self.start, n + len(words)), self._room(self.size, n + len(words))
+        self.start[n : n + len(words)] = self.n_ids + np.cumsum(held) - held
+        self.size[n : n + len(words)] = size
+        self.n_ids += len(ids)
+        self.at.update(zip(words, range(n, n + len(words))))
+
+    def full(self) -> bool:
+        return len(self.at) > self.LIMIT or self.n_ids > self.MOST_IDS
 
 
 class Encoder:
     """Byte-level encoding with the tokenizers library; text between blanks is encoded once and remembered.
 
     Cutting before a blank that stands between two other characters cuts where
-    the splitter of a byte-level model cuts anyway.  Texts with other white
-    space next to a blank, and pieces with rarer letters, go to the library
-    whole, as do texts that hold an added token of the model (each is one id
-    there) and all texts of a model of another kind.
+    the splitter of a byte-level model cuts anyway, so each word, its blank
+    included, has the same ids in every text.  Words not met before go to the
+    library many at a time, joined by blanks; the ids of a word start where a
+    token begins with a blank.  Texts with other white space next to a blank go
+    to the library whole, as do texts that hold an added token of the model
+    (each is one id there) and all texts of a model of another kind.
     """
 
-    PIECES = 200_000
+    JOINED = 500  # new words in one call text
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,79 +86,90 @@ class Encoder:
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         kind = self.whole.pre_tokenizer
         self.plain = isinstance(kind, ByteLevel) and not kind.add_prefix_space and self.whole.normalizer is None
-        self.names = _byte_names()
-        self.blank = self.names[32]
-        self.pool, self.pieces = IdPool(extra=1), {}
-
-    def _whole(self, text: str) -> list[int]:
-        return self.whole.encode(text, add_special_tokens=False).ids
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > self.PIECES:
-                self.pieces.clear()
-            named = piece.encode().decode("latin-1").translate(self.names)
-            ids = self.pieces[piece] = [t.id for t in self.whole.model.tokenize(named)]
-        return ids
-
-    def _chunk(self, chunk: str) -> list[int]:
-        if max(chunk) >= "ɐ":
-            return self._whole(chunk)
-        return [i for p in _split(chunk) for i in self._piece(p)]
-
-    def _word(self, word: str) -> list[int]:
-        """Ids of letters after a blank."""
-        named = word if word.isascii() else word.encode().decode("latin-1").translate(self.names)
-        return [t.id for t in self.whole.model.tokenize(self.blank + named)]
+        self.starts = np.zeros(self.whole.get_vocab_size(with_added_tokens=True) + 1, bool)
+        for token, i in self.whole.get_vocab(with_added_tokens=True).items():
+            if i >= len(self.starts):
+                self.starts = np.append(self.starts, np.zeros(i + 1 - len(self.starts), bool))
+            self.starts[i] = token.startswith(BLANK)
+        self.pool = WordPool()
+
+    def _library(self, bodies: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(bodies, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encode what follows a blank; text with white space at either end is marked as one that needs its context."""
-        lists, odd, tokenize, blank = [], np.zeros((len(new), 1)), self.whole.model.tokenize, self.blank
-        for k, c in enumerate(new):
-            if c.isascii() and c.isalpha():
-                lists.append([t.id for t in tokenize(blank + c)])
-            elif c.isalpha() and max(c) < "ɐ":
-                lists.append(self._word(c))
-            elif c[:-1].isalpha() and c[-1] in ".,!?" and max(c) < "ɐ":
-                lists.append(self._word(c[:-1]) + self._piece(c[-1]))
-            elif not c or c[0].isspace() or c[-1].isspace():
-                lists.append([])
-                odd[k] = 1
-            else:
-                lists.append(self._chunk(" " + c))
-        self.pool.add(new, lists, odd)
-
-    def __call__(self, bodies: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and the ids of all texts, one after another."""
+        """Encode what follows a blank; words with white space at either end, and empty ones, need their text."""
+        alone = [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in new]
+        words = [w for w, yes in zip(new, alone) if yes]
+        joined = [" " + " ".join(words[at : at + self.JOINED]) for at in range(0, len(words), self.JOINED)]
+        parts = [np.array(ids, np.uint32) for ids in self._library(joined)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        first = np.flatnonzero(self.starts[ids])
+        size = np.full(len(new), -1, np.int32)
+        size[np.flatnonzero(alone)] = np.diff(np.r_[first, len(ids)])
+        self.pool.add(new, size, ids)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and the ids of all texts (null as empty), one after another."""
+        column = pc.fill_null(column, "")
+        apart = np.full(len(column), not self.plain)
+        for a in self.added:
+            apart |= pc.match_substring(column, a).to_numpy(zero_copy_only=False)
+        if self.plain:
+            # A text that goes to the library whole is one long head without words.
+            cut = pc.split_pattern(pc.if_else(pa.array(apart), pa.scalar(""), column), " ")
+            ends, words = cut.offsets.to_numpy().astype(np.int64), cut.values
+        else:
+            ends, words = np.arange(len(column) + 1), pa.array([""] * len(column), pa.string())
+        ends, words = ends - ends[0], words.slice(ends[0], ends[-1] - ends[0])
+        head = ends[:-1]
+        heads = words.take(pa.array(head)).to_pylist()
+        coded = words.dictionary_encode()
+        known, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         pool = self.pool
-        if len(pool.at) > pool.LIMIT:
+        if pool.full():
             pool.clear()
-        heads, words, count, apart = [], [], [], []
-        for body in bodies:
-            apart.append(not self.plain or any(a in body for a in self.added))
-            head, *rest = (body,) if apart[-1] else body.split(" ")
-            heads.append(head)
-            words += rest
-            count.append(len(rest))
-        found = list(map(pool.at.get, words))
-        new = list({w for w, r in zip(words, found) if r is None})
-        if new:
-            self._learn(new)
-            found = [pool.at[w] if r is None else r for w, r in zip(words, found)]
-        rows = np.array(found, np.int64)
-        ids, ends = pool.take(rows), np.r_[0, np.cumsum(pool.size[rows])]
-        odd = np.r_[0, np.cumsum(pool.more[rows, 0])]
-        parts, sizes, at = [], np.zeros(len(bodies), np.int64), 0
-        for k, (body, head, n) in enumerate(zip(bodies, heads, count)):
-            if apart[k] or odd[at + n] > odd[at] or (n and (not head or head[-1].isspace())):
-                own = [np.array(self._whole(body), np.int32)]
-            else:
-                own = [np.array(self._chunk(head) if head else [], np.int32), ids[ends[at] : ends[at + n]]]
-            parts += own
-            sizes[k] = sum(map(len, own))
-            at += n
-        return sizes, np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        row = np.fromiter(map(pool.at.get, known, repeat(-1)), np.int64, len(known))
+        after_blank = np.ones(len(code), bool)
+        after_blank[head] = False
+        wanted = np.zeros(len(known), bool)
+        wanted[code[after_blank]] = True
+        new = np.flatnonzero(wanted & (row < 0))
+        if len(new):
+            row[new] = len(pool.at) + np.arange(len(new))
+            self._learn([known[k] for k in new])
+        row = np.where(row < 0, 0, row)
+        size = pool.size[row][code]
+        start = pool.start[row][code].astype(np.int64)
+        size[head] = 0
+        odd = np.add.reduceat(size < 0, head) > 0 if len(head) else np.zeros(0, bool)
+        several = np.diff(ends) > 1
+        odd |= several & np.fromiter((not h or h[-1].isspace() for h in heads), bool, len(heads))
+        apart |= odd
+        own = self._library(
+            [b if whole else h for b, h, whole in zip(pc.if_else(pa.array(apart), column, pa.scalar("")).to_pylist(), heads, apart)]
+        )
+        size[np.repeat(apart, np.diff(ends))] = 0
+        own_size = np.fromiter(map(len, own), np.int32, len(own))
+        size[head], start[head] = own_size, pool.n_ids + np.cumsum(own_size) - own_size
+        size = size.astype(np.int64)
+        stop = np.cumsum(size)
+        ids = np.concatenate([pool.ids[: pool.n_ids], np.fromiter(chain.from_iterable(own), np.uint32, int(own_size.sum()))])
+        place = np.repeat(start - (stop - size), size)
+        place += np.arange(len(place))
+        return (np.add.reduceat(size, head) if len(head) else size[:0]), ids[place]
+
+
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, length) of runs of rows of at most ``most`` bytes of text each; a longer text comes alone."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    first, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and held + n > most:
+            yield first, k - first
+            first, held = k, 0
+        held += n
+    if sizes:
+        yield first, len(sizes) - first
 
 
 def default_vocabulary() -> str:
@@ -162,9 +201,9 @@ def write_tokens(
         encoder = worker_cache("encoder_" + own, lambda: Encoder(own))
         part, row = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                sizes, ids = encoder(texts(batch, "text"))
+            for first, length in slices(whole.column("text"), SLICE_BYTES):
+                batch = whole.slice(first, length)
+                sizes, ids = encoder(batch.column("text"))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(sizes), end_id)
                     sizes = sizes + 1

@@ -169,7 +169,6 @@ def test_token_files_round_trip(spark, docs, rows, odd, empty):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenfiles.default_vocabulary())
-    whole.encode_special_tokens = True
     path = new_path(spark, "test-tokens")
     tokenfiles.write_tokens(odd, path)
     out = tokenfiles.read_digests(spark, path).collect()
@@ -203,6 +202,26 @@ def test_token_files_keep_added_tokens(spark):
     assert [(r["n_tokens"], r["ids_crc32"]) for r in out] == [summary(whole, t) for t in bodies]
 
 
+def test_encoder_equals_the_library(rows, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokenfiles.WordPool, "LIMIT", 40)
+    encoder = tokenfiles.Encoder(tokenfiles.default_vocabulary())
+    bodies = [t for _, t in rows] + [
+        None, "", " ", "  a", "a  b", "a ", " a", "\n a", "a \n", "a<|endoftext|>b", "日本 語 x", "don't 's 'll x\'s", "a\xa0b c\x1c d",
+        "\u0120 x \u0120y", "\u2003a \u3000 b", "é ñ ß", "1 2a b3 4.5", "x\x00 y", " \u2028 z", "tab\tb c",
+    ]
+    column = pa.array(bodies, pa.string())
+    for most in (100, 1 << 20):
+        for first, n in tokenfiles.slices(column, most):
+            sizes, ids = encoder(column.slice(first, n))
+            at = 0
+            for body, size in zip(bodies[first : first + n], sizes):
+                assert list(ids[at : at + size]) == encoder.whole.encode(body or "", add_special_tokens=False).ids
+                at += size
+            assert at == len(ids)
+
+
 def summary(whole, t):
     ids = [*whole.encode(t or "", add_special_tokens=False).ids, tokenfiles.END_ID]
     return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
@@ -471,7 +490,7 @@ def test_labelers_are_weighed_and_spans_added():
 # --- SQL twins ---
 
 
-@pytest.mark.parametrize("name", ["op1_preference_pairs", "op7_rule_ledger"])
+@pytest.mark.parametrize("name", ["op1_preference_pairs", "op7_rule_ledger", "op11_source_divergence", "op12_ranked_search"])
 def test_query_matches_its_sql(spark, sf, name):
     import duckdb
 
@@ -480,7 +499,7 @@ def test_query_matches_its_sql(spark, sf, name):
 
     queries, oracles = llm.load()
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     df, cur = queries[name](spark, sf), con.execute(oracles[name])
     assert table_key(df.columns, [tuple(r) for r in df.collect()]) == table_key([d[0] for d in cur.description], cur.fetchall())
