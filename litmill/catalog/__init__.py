@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("scans", "sinks", "scalars", "rules", "joins", "dedup", "aggregates", "windows", "ranking", "quality", "streams", "hooks", "flows",)
+_MODULES = ("scans", "sinks", "scalars", "rules", "joins", "dedup", "aggregates", "windows", "ranking", "quality", "ledger", "ledger", "streams", "hooks", "flows",)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -179,7 +179,7 @@ def checks_summary(checked: DataFrame, max_calls: int | None = None) -> DataFram
             ",",
             *[
                 F.when(n > 0, F.concat(F.lit(f"{t}:"), n.cast("string")))
-                for t in sorted(STUDY_TYPES)
+                for t in sorted((*STUDY_TYPES, "portfolio"))
                 for n in [F.count_if((F.col("class") == "eligible") & (F.col("study_type") == t))]
             ],
         ).alias("eligible_by_type"),
