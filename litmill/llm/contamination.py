@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +130,7 @@ class Index:
 
     def promising(self, words: list[str], threshold: float) -> list[int]:
         """Starts of the passages where, in some block of units, the bounds of the words reach the threshold."""
-        row = np.fromiter((self.row.get(w, -1) for w in words), np.int64, len(words))
+        row = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
         last = max(0, -(-(len(words) - PASSAGE) // STRIDE))
         out: list[int] = []
         for low in range(0, last + 1, LOOK):
@@ -155,14 +157,19 @@ class Index:
         pivot's own blocks do not, all cursors up to it jump behind the
         shortest of those blocks; else the unit is scored.
         """
-        cursors = [[self.units[t][0], t, 0] for t in sorted(query_terms) if t in self.units]
+        # unit, number, place, and the postings of the term
+        cursors = [
+            [self.units[t][0], k, 0, self.units[t], self.impacts[t], self.bounds[t], self.top[t]]
+            for k, t in enumerate(sorted(query_terms)) if t in self.units
+        ]
+        least = threshold - 1e-9
         out = []
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
             for i, c in enumerate(cursors):
-                bound += self.top[c[1]]
-                if bound >= threshold - 1e-9:
+                bound += c[6]
+                if bound >= least:
                     pivot = i
                     break
             if pivot < 0:
@@ -170,40 +177,27 @@ class Index:
             unit = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == unit:
                 pivot += 1
-            block, behind = 0.0, math.inf
-            for c in cursors[: pivot + 1]:
-                at = self._skip(c[1], c[2], unit)
-                if at < len(self.units[c[1]]):
-                    block += self.bounds[c[1]][at // POSTINGS]
-                    end = min(len(self.units[c[1]]), (at // POSTINGS + 1) * POSTINGS)
-                    behind = min(behind, self.units[c[1]][end - 1] + 1)
-            if pivot + 1 < len(cursors):
-                behind = min(behind, cursors[pivot + 1][0])
-            if block >= threshold - 1e-9:
-                score = 0.0
-                for c in cursors[: pivot + 1]:
-                    at = self._skip(c[1], c[2], unit)
-                    if at < len(self.units[c[1]]) and self.units[c[1]][at] == unit:
-                        score += self.impacts[c[1]][at]
-                if score >= threshold - 1e-9:
+            block, score, behind = 0.0, 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else math.inf
+            for _, _, place, units, impacts, bounds, _ in cursors[: pivot + 1]:
+                at = bisect_left(units, unit, place)
+                if at < len(units):
+                    block += bounds[at // POSTINGS]
+                    end = units[min(len(units), (at // POSTINGS + 1) * POSTINGS) - 1]
+                    if end < behind:
+                        behind = end + 1
+                    if units[at] == unit:
+                        score += impacts[at]
+            if block >= least:
+                if score >= least:
                     out.append((unit, score))
                 behind = unit + 1
             behind = max(behind, unit + 1)
             for c in cursors[: pivot + 1]:
-                c[2] = self._skip(c[1], c[2], behind)
-                c[0] = self.units[c[1]][c[2]] if c[2] < len(self.units[c[1]]) else math.inf
+                at = c[2] = bisect_left(c[3], behind, c[2])
+                c[0] = c[3][at] if at < len(c[3]) else math.inf
             cursors = [c for c in cursors if c[0] != math.inf]
         return out
 
-    def _skip(self, term: str, at: int, unit: float) -> int:
-        """First posting from ``at`` on whose unit is not below ``unit``, by whole blocks first."""
-        units = self.units[term]
-        while at < len(units) and units[min(len(units), (at // POSTINGS + 1) * POSTINGS) - 1] < unit:
-            at = (at // POSTINGS + 1) * POSTINGS
-        while at < len(units) and units[at] < unit:
-            at += 1
-        return at
-
     def held(self, text: str, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
         """Row of an item to (best score, question overlap, answer overlap) of the rows that the text holds."""
         words = terms(text)
