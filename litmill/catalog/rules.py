@@ -181,14 +181,13 @@ def select_sources(spark, sf_dir):
     return search.select_sources(A.spark_sql(spark, _QUESTIONS, benchmark=A.table(spark, sf_dir, "benchmark")))
 
 
-# Search plans: per question three concept groups made of words of its own text.
-_PLAN = """select cast(item_id as string) as query_id, 1 as group_id, 'this' as term, 1 as term_order from benchmark
- union all select cast(item_id as string), 1, 'thble', 2 from benchmark where item_id % 2 = 0
- union all select cast(item_id as string), 2, lower(split_part(text, ' ', 2)), 1 from benchmark
- union all select cast(item_id as string), 2, 'from the', 2 from benchmark
- union all select cast(item_id as string), 2, 'for', 3 from benchmark
- union all select cast(item_id as string), 3, 'tion', 1 from benchmark where item_id % 3 = 0
- union all select cast(item_id as string), 3, 'en', 2 from benchmark where item_id % 3 = 0"""
+# Search plans: all words of a question, in three concept groups by their place in it; a group's terms are its long
+# words and its pairs of neighbouring words.
+_PLAN = f"""w as (select item_id, n, unnest(words) as word, generate_subscripts(words, 1) as pos from
+  (select item_id, words, len(words) as n from (select item_id, string_split({A.q_match("text")}, ' ') as words from benchmark))),
+ placed as (select cast(item_id as varchar) as query_id, cast((pos - 1) * 3 // n as int) + 1 as group_id, word, lead(word) over (partition by item_id order by pos) as after, pos from w),
+ plan as (select query_id, group_id, word as term, 2 * pos as term_order from placed where length(word) >= 8
+  union all select query_id, group_id, word || ' ' || after, 2 * pos + 1 from placed where after is not null)"""
 DOC_TEXTS = f"docs as (select doc_id, {A.q_match('split_part(text, chr(10), 1)')} as title_n, {A.q_match('text')} as body_n from documents)"
 
 
@@ -200,11 +199,18 @@ def doc_texts(spark, sf_dir):
 
 
 def _plan(spark, sf_dir):
-    p = A.spark_sql(spark, _PLAN, benchmark=A.table(spark, sf_dir, "benchmark"))
-    return p.withColumn("term", A.text.match_text(F.col("term"))).filter("term <> ''")
-
-
-_Q_HITS = f"""{DOC_TEXTS}, plan0 as ({_PLAN}), plan as (select query_id, group_id, {A.q_match('term')} as term, term_order from plan0 where {A.q_match('term')} <> ''),
+    b = A.table(spark, sf_dir, "benchmark")
+    words = b.select(F.col("item_id").cast("string").alias("query_id"), F.split(A.text.match_text(F.col("text")), " ").alias("words"))
+    placed = words.select("query_id", F.size("words").alias("n"), F.posexplode(F.arrays_zip(
+        F.col("words").alias("word"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("after"))).alias("at", "w"))
+    rows = placed.select("query_id", (F.expr("at * 3 div n") + 1).cast("int").alias("group_id"), "w.word", "w.after", "at")
+    long_words = rows.filter(F.length("word") >= 8).select("query_id", "group_id", F.col("word").alias("term"), (2 * F.col("at") + 2).alias("term_order"))
+    pairs = rows.filter("after is not null").select(
+        "query_id", "group_id", F.concat_ws(" ", "word", "after").alias("term"), (2 * F.col("at") + 3).alias("term_order"))
+    return long_words.unionByName(pairs)
+
+
+_Q_HITS = f"""{DOC_TEXTS}, {_PLAN},
  hits as (select distinct p.query_id, p.group_id, d.doc_id from docs d join plan p on contains(' ' || d.title_n || ' ', ' ' || p.term || ' ') or contains(' ' || d.body_n || ' ', ' ' || p.term || ' ')),
  need as (select query_id, count(distinct group_id) as n from plan group by 1),
  found as (select h.query_id, h.doc_id from hits h join need n on h.query_id = n.query_id group by h.query_id, h.doc_id, n.n having count(distinct h.group_id) = n.n)"""
@@ -218,7 +224,7 @@ def boolean_concept_search(spark, sf_dir):
 
 @query(
     "p17_representative_search",
-    f"with {_Q_HITS.replace('plan as (select', 'plan as (select * exclude (rn) from (select row_number() over (partition by query_id, group_id order by term_order) as rn,').replace(chr(39) * 2 + '),' + chr(10) + ' hits', chr(39) * 2 + ') where rn = 1),' + chr(10) + ' hits')} select query_id, doc_id from found",
+    f"""with {_Q_HITS.replace("from docs d join plan p on", "from docs d join (select * from plan qualify row_number() over (partition by query_id, group_id order by term_order) = 1) p on")} select query_id, doc_id from found""",
 )
 def representative_search(spark, sf_dir):
     return search.concept_search(

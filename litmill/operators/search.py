@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,20 +46,6 @@ def has_phrase(body: Column, terms: Sequence[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def word_runs(c: Column, lengths: Sequence[int]) -> Column:
-    """Distinct runs of 1..n words of a normalised text, for the given lengths."""
-    words = F.split(c, " ")
-    parts, run = [], words
-    for n in range(1, max(lengths) + 1):
-        if n > 1:
-            # Pair each run with the word after it; the padding of the last ones is null.
-            after = F.slice(words, F.lit(n), F.size(words))
-            run = F.array_compact(F.zip_with(run, after, lambda a, b: F.concat(a, F.lit(" "), b)))
-        if n in lengths:
-            parts.append(run)
-    return F.array_distinct(F.concat(*parts))
-
-
 def phrase_match(
     docs: DataFrame,
     terms: DataFrame,
@@ -70,39 +57,41 @@ def phrase_match(
     """(doc, field, term columns): which normalised terms occur in which field of which document.
 
     With ``any_field`` the field is left out and each (doc, term) comes once.
-
-    The containment test becomes an equality join: each field gives its distinct
-    word runs, only of the lengths that occur among the terms, and these join
-    the terms.  ``terms`` needs a ``term`` column in match-text form.
+    ``terms`` needs a ``term`` column in match-text form; terms of more than
+    ``max_words`` words are left out.  ``doc_key`` is unique.
+
+    A term is looked for by one word of it, its longest, which seldom is a
+    common one.  Documents give their distinct words, without their texts, and
+    these meet the terms' words in an equality join.  That settles terms of one
+    word; for longer ones the texts of the documents found join back and are
+    searched in place.
     """
-    # Written once, the terms have a real size: Catalyst broadcasts them if it is small
-    # and then the word runs are not shuffled at all.
-    terms = scale.stage(terms, "terms")
-    # One number for each length that occurs.
-    found = terms.select(F.size(F.split("term", " ")).alias("n")).distinct().collect()
-    lengths = sorted(r["n"] for r in found if r["n"] and (max_words is None or r["n"] <= max_words)) or [1]
+    terms = scale.stage(terms, "terms")  # written once, the terms have a real size
+    words = F.split("term", " ")
+    if max_words is not None:
+        terms = terms.filter(F.size(words) <= max_words)
+    longest = F.reduce(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    # Each distinct term is looked for once, however many rows of ``terms`` have it.
+    anchors = terms.select("term", longest.alias("_word"), (F.size(words) > 1).alias("_long")).distinct()
+    own = lambda f: F.split(F.coalesce(F.col(f), F.lit("")), " ")
     if any_field:
-        both = F.array_distinct(F.concat(*[word_runs(F.col(f), lengths) for f in fields]))
-        runs = docs.select(doc_key, F.explode_outer(both).alias("term")).filter("term is not null")
-        return _meet(runs, terms)
-    parts = [
-        docs.select(
-            doc_key,
-            F.lit(f).alias("field"),
-            # The outer form does not test the array's size first, which would build it twice.
-            F.explode_outer(word_runs(F.col(f), lengths)).alias("term"),
-        ).filter("term is not null")
-        for f in fields
-    ]
-    runs = parts[0]
-    for p in parts[1:]:
-        runs = runs.unionByName(p)
-    return _meet(runs, terms)
+        parts = [docs.select(doc_key, F.explode(F.array_distinct(F.concat(*map(own, fields)))).alias("_word"))]
+        keys = [doc_key]
+    else:
+        parts = [docs.select(doc_key, F.lit(f).alias("field"), F.explode(F.array_distinct(own(f))).alias("_word")) for f in fields]
+        keys = [doc_key, "field"]
+    held = reduce(DataFrame.unionByName, parts)
+    met = scale.stage(held.join(anchors, "_word").select(*keys, "term", "_long"), "anchored")
+    body = reduce(lambda a, b: a | b, (F.contains(padded(F.col(f)), _spaced("term")) for f in fields)) if any_field else reduce(
+        lambda a, f: F.when(F.col("field") == f, F.contains(padded(F.col(f)), _spaced("term"))).otherwise(a), fields, F.lit(False)
+    )
+    searched = met.filter("_long").join(docs.select(doc_key, *fields), doc_key).filter(F.coalesce(body, F.lit(False)))
+    hits = met.filter("not _long").select(*keys, "term").unionByName(searched.select(*keys, "term"))
+    return hits.join(terms, "term")
 
 
-def _meet(runs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Join word runs with terms; skew of frequent terms is left to adaptive execution."""
-    return runs.join(terms, "term")
+def _spaced(term: str) -> Column:
+    return F.concat(F.lit(" "), F.col(term), F.lit(" "))
 
 
 def concept_search(
