@@ -171,11 +171,13 @@ def result_log_counts(spark, sf_dir):
 
 @query(
     "a27_stage_latency",
-    "select event_type as stage, count(*) as attempts, round(sum(value), 4) as total_ms, round(avg(value), 6) as mean_ms, max(value) as max_ms, quantile_disc(value, 0.5) as median_ms from events group by 1",
+    "select event_type as stage, count(*) as attempts, round(sum(value), 4) as total_ms, round(avg(value), 6) as mean_ms, max(value) as max_ms, quantile_disc(value, 0.5) as median_ms, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as input_tokens,\n coalesce(cast(sum(case when event_id % 3 = 0 then event_id % 100 end) as bigint), 0) as output_tokens from events group by 1",
 )
 def stage_latency(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), "value")
-    got = audit.stage_latency(e, "stage", "value")
+    e = A.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("stage"), "value", F.get_json_object("props", "$.k").cast("long").alias("input_tokens"),
+        F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 100).alias("output_tokens"))
+    got = audit.stage_latency(e, "stage", "value", ["input_tokens", "output_tokens"])
     return got.withColumn("total_ms", F.round("total_ms", 4)).withColumn("mean_ms", F.round("mean_ms", 6))
 
 

@@ -59,18 +59,18 @@ _DUCK_PORT = f"{DUCK_RETAINED}, r as (select article_id, composite_score, row_nu
 def rank_portfolio(spark, sf_dir):
     c = A.spark_sql(spark, CONTRIB, documents=A.table(spark, sf_dir, "documents"))
     rows = retained(spark, sf_dir).drop("contribution_score")
-    return corpus.rank_portfolio(rows, c).select("article_id", "position", "window")
+    return corpus.rank_portfolio(rows, c, 50).select("article_id", "position", "window")
 
 
 @query(
     "recommend",
-    f"""with {_DUCK_PORT}, top as (select article_id, position, cast((position - 1) // 3 as integer) as chunk from r where position <= least(24, case when n > 50 then 25 else n end)),
+    f"""with {_DUCK_PORT}, top as (select article_id, position, cast((position - 1) // 3 as integer) as chunk from r where position <= case when n > 50 then 25 else n end),
  res as ({RES}), best as (select * from (select *, row_number() over (partition by page_id % 97 order by case lower(format) when 'pdf' then 0 when 'xml' then 1 when 'html' then 2 when 'epub' then 3 when 'text' then 4 when 'other' then 5 else 99 end,
   case when is_preferred then 0 else 1 end, resource_id) as rn from res where is_downloadable and is_open_access) where rn = 1)
  select t.article_id, t.position, t.chunk, b.resource_id, lower(b.format) as format from top t left join best b on t.article_id = b.page_id % 97""",
 )
 def recommend(spark, sf_dir):
-    ranked = scale.stage(portfolio.truncate(retained(spark, sf_dir), portfolio.retained_order()), "portfolio")
+    ranked = scale.stage(portfolio.truncate(retained(spark, sf_dir), portfolio.retained_order(), 50), "portfolio")
     kept = ranked.filter("window = 'kept'").withColumn("has_summary", F.lit(True)).withColumn("summary_article_id", F.col("article_id"))
     res = resources(spark, sf_dir).withColumn("article_id", F.col("page_id") % 97)
     out = corpus.recommend(kept, res, portfolio.retained_order())

@@ -57,6 +57,40 @@ def attach_entry_terms(spark, sf_dir):
     return vocab.entry_terms(m, terms)
 
 
+# Plans of every question: all its words, and terms of the vocabulary chosen by its number.
+_EXPAND = f"""{DUCK_VOCAB}, n as (select count(*) as n from part), qw as (select item_id, string_split({A.q_match("text")}, ' ') as words from benchmark),
+ own0 as (select cast(item_id as varchar) as query_id, 1 as group_id, unnest(words) as term, generate_subscripts(words, 1) as term_order from qw
+  union all select cast(item_id as varchar), 2, {A.q_match("p_type")}, 1 from benchmark, n join part on true where p_partkey = 1 + item_id * 7 % n.n
+  union all select cast(item_id as varchar), 2, {A.q_match("p_name || ' ' || cast(p_partkey // 3 as varchar)")}, 2 from benchmark, n join part on true where p_partkey = 1 + item_id * 11 % n.n),
+ own as (select * from own0 where term <> ''),
+ known as (select t.concept_id, t.normalized_term, {A.q_match("t.term")} as synonym from terms t join concepts c on t.concept_id = c.concept_id where not c.obsolete),
+ more as (select o.query_id, o.group_id, k2.synonym as term, o.term_order, k.concept_id from own o join known k on o.term = k.normalized_term join known k2 on k.concept_id = k2.concept_id where k2.synonym <> ''),
+ allr as (select query_id, group_id, term, term_order, null as concept_id, 0 as syn from own union all select *, 1 from more),
+ expanded as (select * from allr qualify row_number() over (partition by query_id, group_id, term order by syn, concept_id, term_order) = 1)"""
+
+
+@query(
+    "p34_synonym_expansion",
+    f"with {_EXPAND} select query_id, group_id, term, cast(term_order as int) as term_order, case syn when 0 then 'own' else 'synonym' end as origin, concept_id from expanded",
+)
+def synonym_expansion(spark, sf_dir):
+    b, p = A.table(spark, sf_dir, "benchmark"), A.table(spark, sf_dir, "part")
+    n = p.count()
+    words = b.select(
+        F.col("item_id").cast("string").alias("query_id"), F.lit(1).alias("group_id"),
+        F.posexplode(F.split(A.text.match_text(F.col("text")), " ")).alias("at", "term"),
+    ).select("query_id", "group_id", "term", (F.col("at") + 1).cast("int").alias("term_order"))
+
+    def drawn(step, term, order):
+        asked = b.select("item_id", (1 + F.col("item_id") * step % n).alias("p_partkey")).join(p, "p_partkey")
+        return asked.select(F.col("item_id").cast("string").alias("query_id"), F.lit(2).alias("group_id"), term.alias("term"), F.lit(order).alias("term_order"))
+
+    name = F.concat_ws(" ", "p_name", F.expr("p_partkey div 3").cast("string"))
+    plan = words.unionByName(drawn(7, F.col("p_type"), 1)).unionByName(drawn(11, name, 2))
+    concepts, terms = vocab_tables(spark, sf_dir)
+    return vocab.expand_plan(plan, terms, concepts)
+
+
 @query(
     "a13_plan_metrics",
     f"""with {_DUCK_MATCH}, k as (select distinct keyword_id from looks), n as (select k.keyword_id, count(m.concept_id) as n from k left join matches m on k.keyword_id = m.keyword_id group by 1)

@@ -306,10 +306,10 @@ def fallback_rank(spark, sf_dir):
  select article_id, case when n <= 50 or rn <= 25 then 'kept' else 'truncated' end as "window" from r""",
 )
 def conditional_truncate(spark, sf_dir):
-    return portfolio.truncate(retained(spark, sf_dir), portfolio.retained_order()).select("article_id", "window")
+    return portfolio.truncate(retained(spark, sf_dir), portfolio.retained_order(), 50).select("article_id", "window")
 
 
-_DUCK_CHUNKS = f"""{DUCK_RETAINED}, r as (select article_id, row_number() over (order by {_Q_ORDER}) as position from retained), k as (select *, (position - 1) // 3 as chunk, article_id % 3 = 0 as selected from r where position <= 24)"""
+_DUCK_CHUNKS = f"""{DUCK_RETAINED}, r as (select article_id, row_number() over (order by {_Q_ORDER}) as position from retained), k as (select *, (position - 1) // 3 as chunk, article_id % 3 = 0 as selected from r)"""
 
 
 @query("w13_chunks_of_three", f"with {_DUCK_CHUNKS} select article_id, position, chunk from k where selected")

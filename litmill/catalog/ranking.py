@@ -65,24 +65,24 @@ def _coarse(table, out):
     """Coarse filter over a table of keyword rows, oracle side."""
     return f"""st as (select count(*) as total, count(*) filter (where core_matched and keyword_score > 0) as both_n, count(*) filter (where keyword_score > 0) as hits from {table}),
  o as (select *, row_number() over (order by {_Q_COARSE}) as place from {table}),
- {out} as (select o.* from o, st where case when total <= 200 then true when total > 400 then place <= 200 when both_n >= least(50, total) then core_matched and keyword_score > 0
-  when hits >= least(50, total) then keyword_score > 0 else place <= 200 end)"""
+ {out} as (select o.*, case when case when total <= 200 then true when total > 400 then place <= 200 when both_n >= least(50, total) then core_matched and keyword_score > 0
+  when hits >= least(50, total) then keyword_score > 0 else place <= 200 end then 'passed' else 'below_coarse_cut' end as coarse_status from o, st)"""
 
 
-@query("l02_coarse_filter", f"with {DUCK_KW}, {_coarse('kw', 'c')} select article_id, keyword_score from c")
+@query("l02_coarse_filter", f"with {DUCK_KW}, {_coarse('kw', 'c')} select article_id, keyword_score, coarse_status from c")
 def coarse_filter(spark, sf_dir):
     rows = scale.stage(keyword_rows(spark, sf_dir), "scored")
-    return rank.coarse_filter(rows).select("article_id", "keyword_score")
+    return rank.coarse_filter(rows, 200).select("article_id", "keyword_score", "coarse_status")
 
 
 # The same with the upper bound out of reach, so that the whole table falls in the middle band.
 _Q_MIDDLE = _coarse("kw", "c").replace("when total > 400 then place <= 200 ", "")
 
 
-@query("l02_coarse_filter_middle", f"with {DUCK_KW}, {_Q_MIDDLE} select article_id, keyword_score from c")
+@query("l02_coarse_filter_middle", f"with {DUCK_KW}, {_Q_MIDDLE} select article_id, keyword_score, coarse_status from c")
 def coarse_filter_middle(spark, sf_dir):
     rows = scale.stage(keyword_rows(spark, sf_dir), "scored")
-    return rank.coarse_filter(rows, high=10**12).select("article_id", "keyword_score")
+    return rank.coarse_filter(rows, 200, 10**12).select("article_id", "keyword_score", "coarse_status")
 
 
 DUCK_CAND = f"""{DUCK_KW}, q as (select embedding as e from embeddings where vec_id = 0), sem as (select k.*, round(list_cosine_similarity(cast(v.embedding as double[]), cast(q.e as double[])), 5) as cosine
@@ -124,7 +124,7 @@ def decided(spark, sf_dir):
     g = design(spark, sf_dir)
     groups = g.select("article_id", routing.study_group(
         F.col("publication_types"), F.col("stated"), F.col("abstract")).alias("study_group"))
-    return rank.decide(candidates(spark, sf_dir).join(groups, "article_id"))
+    return rank.decide(candidates(spark, sf_dir).join(groups, "article_id"), 50)
 
 
 @query("p21_selection_decision", f"with {_DUCK_DECIDE} select article_id, study_group, selection_status, exclusion_reason from decided")
@@ -154,6 +154,18 @@ def top_k_similar(spark, sf_dir):
     return rank.nearest(e, q, 20, "vec_id", "embedding").withColumn("cosine", F.round("cosine", 4))
 
 
+@query(
+    "l09_nearest_many",
+    """with v as (select vec_id, cast(embedding as double[]) as e from embeddings), p as (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) as cosine from v q, v where q.vec_id % 50 = 0)
+ select query_id, vec_id, round(cosine, 4) as cosine, cast(row_number() over (partition by query_id order by p.cosine desc, vec_id) as int) as position from p qualify position <= 20""",
+)
+def nearest_many(spark, sf_dir):
+    """Every vector whose id is divisible by 50 against all vectors."""
+    e = A.table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return rank.nearest_many(e, asked, 20, "vec_id", "embedding").withColumn("cosine", F.round("cosine", 4))
+
+
 # ---- the flagship: resolve, score and rank the corpus ---------------------------
 
 _TYPES_OF = "case canonical_id % 5 when 0 then 'Cohort Study' when 1 then 'Randomized Controlled Trial' when 2 then 'Letter' when 3 then 'Systematic Review' else 'Case-Control Study' end"

@@ -6,6 +6,7 @@ import math
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,3 +113,34 @@ def without_system_text(messages: Column) -> Column:
         messages,
         lambda m: F.when(m["role"] == "system", m.withField("content", F.lit(MASK))).otherwise(m),
     )
+
+
+def unit_rows(vectors: list) -> np.ndarray:
+    """Rows of unit length in doubles; a zero vector stays zero."""
+    m = np.asarray(vectors, np.float64)
+    size = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+class Nearest:
+    """The k keys with the greatest scores of each query so far; ties go to the lesser key."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.best = k, [[] for _ in range(queries)]
+
+    def add(self, keys: list, scores: np.ndarray) -> None:
+        """Take in a batch: ``scores`` has a row for each key and a column for each query."""
+        scores = np.round(scores, 9) + 0.0
+        place = min(self.k, len(keys)) - 1
+        least = -np.partition(-scores, place, axis=0)[place]
+        for q, held in enumerate(self.best):
+            # All that tie with the last one are taken, so that keys decide.
+            rows = np.flatnonzero(scores[:, q] >= least[q])
+            held += [(-float(scores[i, q]), keys[i]) for i in rows]
+            held.sort()
+            del held[self.k :]
+
+    def rows(self):
+        for q, held in enumerate(self.best):
+            for score, key in held:
+                yield q, key, -score

@@ -235,9 +235,10 @@ def plan_metrics(keywords: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def stage_latency(events: DataFrame, stage: str, ms: str) -> DataFrame:
-    """Per stage: attempts, total, mean, greatest and median time."""
+def stage_latency(events: DataFrame, stage: str, ms: str, tokens: Sequence[str] = ()) -> DataFrame:
+    """Per stage: attempts, total, mean, greatest and median time, and the sums of token counts (missing ones as 0)."""
     return events.groupBy(stage).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tokens],
         F.count("*").alias("attempts"),
         F.sum(ms).alias("total_ms"),
         F.avg(ms).alias("mean_ms"),
@@ -250,7 +251,7 @@ def peak_in_flight(spans: DataFrame, start: str, end: str, **kw) -> DataFrame:
     """One row: the greatest number of requests open at one time.
 
     Starts add one and ends take one away, ends first at equal times; the
-    running total is computed in slices, not in one task.
+    running total is computed by ranges of time, not in one task.
     """
     opened = spans.select(F.col(start).alias("at"), F.lit(1).alias("step"))
     closed = spans.select(F.col(end).alias("at"), F.lit(-1).alias("step"))

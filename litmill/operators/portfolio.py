@@ -72,12 +72,14 @@ def rank_fallback(df: DataFrame) -> DataFrame:
 
 
 def truncate(
-    df: DataFrame, order: list[Column], above: int = 50, keep: int = 25, key: str = "article_id"
+    df: DataFrame, order: list[Column], above: int | None = None, keep: int = 25, key: str = "article_id"
 ) -> DataFrame:
-    """More than ``above`` rows: the first ``keep`` stay and the rest are marked truncated.
+    """More than ``above`` rows: the first ``keep`` stay and the rest are marked truncated; without it all are kept.
 
     Only a bounded top list and a row count are needed, not a global window.
     """
+    if above is None:
+        return df.withColumn("window", F.lit("kept"))
     if not 1 <= keep <= above:
         raise ValueError("keep must be between 1 and above")
     top = df.orderBy(*order).limit(keep).select(key, F.lit(True).alias("_top"))
@@ -90,12 +92,14 @@ def truncate(
 
 
 def chunks(
-    df: DataFrame, order: list[Column], size: int = 3, top: int = 24
+    df: DataFrame, order: list[Column], size: int = 3, top: int | None = None
 ) -> DataFrame:
-    """The first ``top`` rows numbered and cut into contiguous chunks of ``size``."""
-    best = df.orderBy(*order).limit(top)
-    # ``top`` rows at most reach this window.
-    numbered = best.withColumn("position", F.row_number().over(W.orderBy(*order)))
+    """All rows, or the first ``top`` if given, numbered and cut into contiguous chunks of ``size``."""
+    if top is None:
+        numbered = scale.running_sum(df, [], order, name="position")
+    else:
+        # ``top`` rows at most reach this window.
+        numbered = df.orderBy(*order).limit(top).withColumn("position", F.row_number().over(W.orderBy(*order)))
     return numbered.withColumn("chunk", F.floor((F.col("position") - 1) / size).cast("int"))
 
 

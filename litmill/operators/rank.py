@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,17 +85,19 @@ def match_concepts(
 
 
 def coarse_filter(
-    df: DataFrame, low: int = 200, high: int = 400, keep: int = 200, floor: int = 50, key: str = "article_id"
+    df: DataFrame, low: int | None = None, high: int = 400, keep: int = 200, floor: int = 50, key: str = "article_id"
 ) -> DataFrame:
-    """Cheap cut before vectors are scored.
+    """Cheap cut before vectors are scored: all rows with ``coarse_status``, passed or below_coarse_cut.
 
-    Up to ``low`` rows all pass; beyond ``high`` the best ``keep`` pass; between,
+    Without ``low`` nothing is cut.  Up to ``low`` rows all pass; beyond ``high`` the best ``keep`` pass; between,
     rows with a core and a keyword hit, falling back to keyword hits and then to
     the best ``keep`` when fewer than ``floor`` are left.  Ties go to the greater
     id.  Needs keyword_score, recency_score, core_matched and publication_year;
     stage an expensive input first, it is read three times.
     """
     hit = F.col("keyword_score") > 0
+    if low is None:
+        return df.withColumn("coarse_status", F.lit("passed"))
     coarse = F.lit(0.85) * F.col("keyword_score") + F.lit(0.15) * F.col("recency_score")
     scored = df.withColumn("coarse_score", coarse)
     stats = scored.agg(
@@ -124,7 +127,8 @@ def coarse_filter(
         .when(hits >= need, hit)
         .otherwise(in_best)
     )
-    return marked.filter(passes).drop("_best", "_c")
+    status = F.when(passes, F.lit("passed")).otherwise(F.lit("below_coarse_cut"))
+    return marked.withColumn("coarse_status", status).drop("_best", "_c", "coarse_score")
 
 
 def candidate_score(df: DataFrame, cosine: Column, reference: dt.date | None = None) -> DataFrame:
@@ -181,6 +185,51 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, key: str, vec: s
     )
 
 
+def nearest_many(
+    vectors: DataFrame, queries: DataFrame, k: int, key: str, vec: str, query_key: str = "query_id", block: int = 1024
+) -> DataFrame:
+    """(query_key, key, cosine, position): the k vectors most like each query, all vectors compared with all queries.
+
+    Queries go to the tasks in blocks of ``block`` rows.  A task multiplies its
+    vectors, a batch at a time, with the block and keeps k rows for each query,
+    so what leaves it is bounded, and no pair becomes a row.  Cosines are
+    rounded to nine digits before they are ranked; ties go to the lesser key.
+    Rows without a vector take no part.
+    """
+    spark = vectors.sparkSession
+    asked = scale.running_sum(queries.filter(F.col(vec).isNotNull()).select(query_key, vec), [], [F.asc(query_key)], name="_n")
+    asked = scale.stage(asked.withColumn("_block", F.expr(f"(_n - 1) div {block}")), "queries")
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((query_key, queries), (key, vectors))}
+    blocks = [r[0] for r in asked.select("_block").distinct().collect()]
+    passes = []
+    for b in sorted(blocks):
+        rows = asked.filter(F.col("_block") == b).orderBy("_n").select(query_key, vec).collect()
+        unit = values.unit_rows([r[1] for r in rows])
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], unit))
+
+        def run(batches, sent=sent):
+            import pyarrow as pa
+
+            names, unit = sent.value
+            best = values.Nearest(len(names), k)
+            for batch in batches:
+                held = batch.filter(batch.column(vec).is_valid())
+                if held.num_rows:
+                    best.add(held.column(key).to_pylist(), values.unit_rows(held.column(vec).to_pylist()) @ unit.T)
+            found = list(best.rows())
+            if found:
+                at, keys, cosine = zip(*found)
+                yield pa.RecordBatch.from_pydict({query_key: [names[i] for i in at], key: keys, "cosine": cosine})
+
+        passes.append(
+            vectors.select(key, vec).mapInArrow(run, f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, cosine double")
+        )
+    if not passes:
+        return spark.createDataFrame([], f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, cosine double, position int")
+    first = W.partitionBy(query_key).orderBy(F.desc("cosine"), F.asc(key))
+    return reduce(DataFrame.unionByName, passes).withColumn("position", F.row_number().over(first)).filter(F.col("position") <= k)
+
+
 def mark_first(
     df: DataFrame, admissible: Column, order: Sequence[Column], limit: int, key: str, name: str
 ) -> DataFrame:
@@ -189,12 +238,15 @@ def mark_first(
     return df.join(F.broadcast(top), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def decide(df: DataFrame, limit: int = 50, key: str = "article_id") -> DataFrame:
-    """Selection status of every row, with the reason of each exclusion; a row without a vector is never selected."""
+def decide(df: DataFrame, limit: int | None = None, key: str = "article_id") -> DataFrame:
+    """Selection status of every row, with the reason of each exclusion; a row without a vector is never selected.
+
+    Without ``limit`` all admissible rows are selected.
+    """
     supported = F.coalesce(F.col("study_group").isin(*STUDY_TYPES), F.lit(False))
     scored = F.col("candidate_score").isNotNull()
     ok = F.col("core_matched") & supported & scored
-    out = mark_first(df, ok, rank_order(key), limit, key, "_in")
+    out = df.withColumn("_in", ok) if limit is None else mark_first(df, ok, rank_order(key), limit, key, "_in")
     reason = (
         F.when(~F.col("core_matched"), F.lit("core_intervention_not_matched"))
         .when(~supported, F.lit("unsupported_study_design"))

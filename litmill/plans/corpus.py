@@ -74,7 +74,7 @@ def rank_corpus(
         ),
     )
     scored = scale.stage(scored, "scored")
-    kept = rank.coarse_filter(scored) if coarse else scored
+    kept = rank.coarse_filter(scored, 200).filter("coarse_status = 'passed'").drop("coarse_status") if coarse else scored
     kept = kept.join(vectors.select("article_id", "embedding"), "article_id", "left")
     final = rank.candidate_score(kept, cosine_to(F.col("embedding"), query_vector)).drop("embedding")
     final = scale.stage(final, "candidates")
@@ -142,7 +142,7 @@ def screen_quality(
 
 
 def rank_portfolio(
-    retained: DataFrame, contributions: DataFrame | None, above: int = 50, keep: int = 25
+    retained: DataFrame, contributions: DataFrame | None, above: int | None = None, keep: int = 25
 ) -> DataFrame:
     """Retained articles in recommendation order, marked kept or truncated.
 
@@ -164,7 +164,7 @@ def rank_portfolio(
     return portfolio.truncate(ranked, order, above, keep)
 
 
-def recommend(ranked: DataFrame, resources: DataFrame, order: list[Column], top: int = 24, size: int = 3) -> DataFrame:
+def recommend(ranked: DataFrame, resources: DataFrame, order: list[Column], top: int | None = None, size: int = 3) -> DataFrame:
     """Kept articles in chunks with their best full text; the input rules are checked first."""
     good = portfolio.candidate_issues(ranked).filter(F.size("issues") == 0).drop("issues")
     best = portfolio.chunks(good, order, size, top)

@@ -19,14 +19,14 @@ def scored(spark, n, core=lambda i: i % 2 == 0, hit=lambda i: i % 4 == 0):
 
 @pytest.mark.parametrize("n, want", [(200, 200), (201, 51), (400, 100), (401, 200)])
 def test_coarse_bands(spark, n, want):
-    assert rank.coarse_filter(scored(spark, n)).count() == want
+    assert rank.coarse_filter(scored(spark, n), 200).filter("coarse_status = 'passed'").count() == want
 
 
 def test_coarse_fallbacks(spark):
     few_core = scored(spark, 300, core=lambda i: i < 8)
-    assert rank.coarse_filter(few_core).count() == 75
+    assert rank.coarse_filter(few_core, 200).filter("coarse_status = 'passed'").count() == 75
     nothing = scored(spark, 300, hit=lambda i: False)
-    assert rank.coarse_filter(nothing).count() == 200
+    assert rank.coarse_filter(nothing, 200).filter("coarse_status = 'passed'").count() == 200
 
 
 def test_no_core_concepts_means_matched(spark):
@@ -61,7 +61,7 @@ def test_weights_must_add_up():
 @pytest.mark.parametrize("n, kept", [(25, 25), (50, 50), (51, 25)])
 def test_truncate(spark, n, kept):
     df = spark.range(n).select(F.col("id").alias("article_id"), F.col("id").cast("double").alias("composite_score"))
-    out = portfolio.truncate(df, portfolio.fallback_order())
+    out = portfolio.truncate(df, portfolio.fallback_order(), 50)
     assert out.filter("window = 'kept'").count() == kept and out.count() == n
 
 
