@@ -120,6 +120,10 @@ def test_preference_pairs(spark):
     assert (out[2]["n_common"], out[2]["chosen"], out[2]["rejected"]) == (1, "", "")
     assert out[4]["n_common"] == 0 and out[4]["chosen"].count("x<|end|>") == 2 and out[4]["rejected_learned"] == []
     assert preference.format_pairs(preference.neighbour_pairs(df.limit(0))).count() == 0
+    names = ("n_common", "prompt", "chosen_learned", "_same", "kept")
+    own = preference.format_pairs(preference.neighbour_pairs(df).withColumns({n: F.lit("own") for n in names})).collect()
+    assert all(r["kept"] == r["_same"] == "own" and r["n_common"] == out[r["pair_id"]]["n_common"] for r in own)
+    assert all(r["prompt"] == out[r["pair_id"]]["prompt"] for r in own)
 
 
 # --- 2: neighbours ----------------------------------------------------------
@@ -315,6 +319,15 @@ def test_pieces_in_frames(docs, odd, empty):
     back = pieces.decode(pieces.encode(docs)).filter("not (decoded <=> coalesce(text, ''))")
     assert back.count() == 0
     assert pieces.encode(empty).count() == 0 and pieces.digests(empty).count() == 0
+    coder = pieces.Coder(pieces.default_model())
+    want = {}
+    for r in docs.filter("length(text) < 2000 and doc_id is not null").collect():
+        best = coder.n_best(r["text"] or "", pieces.N_BEST)
+        want[r["doc_id"], r["text"]] = [zlib.crc32(np.array(ids, "<u4").tobytes()) for _, ids in best]
+    met = pieces.digests(docs.filter("length(text) < 2000 and doc_id is not null")).collect()
+    assert sorted(tuple(r["ranks_crc32"]) for r in met) == sorted(map(tuple, want.values())) or len(met) > len(want)
+    marks = docs.sparkSession.createDataFrame([(1, "a\u2581b"), (2, "a b")], "doc_id long, text string")
+    assert {r["doc_id"]: r["round_trip"] for r in pieces.digests(marks).collect()} == {1: False, 2: True}
 
 
 # --- 6: Jaccard join --------------------------------------------------------
@@ -323,14 +336,13 @@ def test_pieces_in_frames(docs, odd, empty):
 def brute_classes(rows):
     sets = [set(jaccard.grams(t or "").tolist()) for _, t in rows]
     root, links = list(range(len(rows))), Counter()
-    compared = {frozenset(s) for s, (i, _) in zip(sets, rows) if i is not None}
 
     def top(i):
         return i if root[i] == i else top(root[i])
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and (sets[i] == sets[j] or {frozenset(sets[i]), frozenset(sets[j])} <= compared):
+            if sets[i] and sets[j]:
                 common = len(sets[i] & sets[j])
                 if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
                     links[i] += 1
@@ -363,7 +375,58 @@ def test_jaccard_blocks_agree(spark, monkeypatch):
     whole = got(jaccard.near_classes(df))
     monkeypatch.setattr(jaccard, "BLOCK", 7)
     assert got(jaccard.near_classes(df)) == whole
-    assert {r[2] for r in whole} == {59}
+    monkeypatch.setattr(jaccard, "BLOCK", 2048)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 9000)
+    assert got(jaccard.near_classes(df)) == whole
+
+
+def test_jaccard_links_rows_without_id(spark):
+    base = [f"t{i}" for i in range(100)]
+    texts = [" ".join([*base[:i], f"edit{i}", *base[i + 1 :]]) for i in (3, 50, 80)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (None, texts[0]), (7, "another text under the same id as before")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row_key", F.lit("own"))
+    out = jaccard.near_classes(df)
+    assert got(out.select("doc_id", "class_id", "n_links")) == sorted(
+        [(None, 7, 3), (None, 7, 3), (None, 7, 3), (7, 7, 3), (7, 7, 0)], key=repr
+    )
+    kept = jaccard.keep_first(df)
+    assert kept.columns == df.columns and sorted(r["text"] for r in kept.collect()) == sorted([rows[4][1], texts[2]])
+
+
+def test_jaccard_recall(spark):
+    """Measured: every pair of texts at 0.8 or more, by brute force, against the links found."""
+    rnd = np.random.default_rng(2)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(90)]
+        rows.append(" ".join(base))
+        for _ in range(3):
+            words = list(base)
+            for at in rnd.choice(90, rnd.integers(1, 4), replace=False):
+                words[at] = f"x{rnd.integers(1 << 40)}"
+            rows.append(" ".join(words))
+    sets = [set(jaccard.grams(t).tolist()) for t in rows]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    found = jaccard.near_classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    asked = [(r["doc_id"], r["n_links"]) for r in found.collect()]
+    assert all(n <= links[i] for i, n in asked)
+    assert sum(n for _, n in asked) >= 0.99 * sum(links) > 100
+
+
+def test_jaccard_ships_texts_once(spark):
+    """A long chain and a large group of near copies: each text goes to as many tasks as there are blocks."""
+    chain = [f"c{i}" for i in range(700)]
+    rows = [(i, " ".join(chain[2 * i : 2 * i + 60])) for i in range(320)]
+    rows += [(1000 + i, " ".join([*(f"n{k}" for k in range(80)), f"edit{i}"])) for i in range(700)]
+    sets = [set(jaccard.grams(t).tolist()) for _, t in rows]
+    bands, n = jaccard.bands_for(jaccard.SIMILARITY, jaccard.RECALL)
+    signs = np.array([jaccard.signature(np.array(sorted(s), np.uint64), bands, n).view(np.int64) for s in sets])
+    links, roots = jaccard.linked([np.array(sorted(s), np.uint64) for s in sets], signs, np.ones(len(sets), np.int64), None, 0.8)
+    want = [sum(len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets[:320])]
+    assert sum(links[:320]) >= 0.97 * sum(want) and set(links[320:]) == {699}
+    assert len({roots.top(i) for i in range(320, 1020)}) == 1
+    found = jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id >= 1000")
+    assert {(r["class_id"], r["n_links"]) for r in found.collect()} == {(1000, 699)}
 
 
 def test_bands_reach_the_recall():
@@ -485,6 +548,22 @@ def test_labelers_are_weighed_and_spans_added():
     model = personal.train_spans(sorted(patterns.items()))
     base, spans = personal.all_spans(text, model)
     assert set(base) <= set(spans) and ("email", 9, 33) in spans
+    # Patterns that training never met are judged by the weights.
+    yes, no = (0, 1, 1, 1, 0, 0, 2, 2, 0), (0, -1, -1, 0, -1, -1, 2, 2, 2)
+    for other in (model, personal.train_spans([])):
+        assert other.probability("card", yes) > 0.5 > other.probability("card", no)
+
+
+def test_wide_candidates_by_brute_force(rows):
+    for _, t in rows:
+        t = t or ""
+        base = personal.base_spans(t)
+        want = [(k, a, b) for k, a, b in base]
+        for kind, wide in personal._WIDE.items():
+            for m in wide.finditer(t):
+                if all(k != kind or b <= m.start() or a >= m.end() for k, a, b in base):
+                    want.append((kind, *m.span()))
+        assert sorted(want) == sorted((k, a, b) for k, a, b, _ in personal.candidates(t, base))
 
 
 # --- SQL twins ---
