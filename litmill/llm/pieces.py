@@ -212,13 +212,17 @@ class Coder:
         n - 1 runs that lose least by it (the earlier one of equals); these few
         are searched for their own n best, and their sums come off a heap.
         """
+        return self.search(text, n)[:3]
+
+    def search(self, text: str, n: int) -> tuple[np.ndarray, list[float], list[list[tuple[int, list[int]]]], np.ndarray]:
+        """What :meth:`encode` gives, and where the ids of each run end."""
         runs, rows = self.rows(text)
         if not runs:
-            return np.zeros(0, np.int32), [0.0], [[]]
-        ids = self.pool.take(rows)
+            return np.zeros(0, np.int32), [0.0], [[]], np.zeros(1, np.int64)
+        ids, ends = self.pool.take(rows), np.r_[0, np.cumsum(self.pool.size[rows])]
         total, gaps = float(self.pool.more[rows, 0].sum()), self.pool.more[rows, 1]
         if n == 1:
-            return ids, [total], [[]]
+            return ids, [total], [[]], ends
         few = min(n - 1, len(runs))
         limit = np.partition(gaps, few - 1)[few - 1]
         below, equal = np.flatnonzero(gaps < limit), np.flatnonzero(gaps == limit)
@@ -240,7 +244,16 @@ class Coder:
                     if after[::-1] not in seen:
                         seen.add(after[::-1])
                         heapq.heappush(heap, (sum(x[r] for x, r in zip(loss, after)), after[::-1]))
-        return ids, scores, edits
+        return ids, scores, edits, ends
+
+    @staticmethod
+    def spelt(ids: np.ndarray, ends: np.ndarray, edit: list[tuple[int, list[int]]]) -> np.ndarray:
+        """The ids with some runs spelt another way."""
+        parts, at = [], 0
+        for run, own in edit:
+            parts += [ids[at : ends[run]], np.array(own, np.int32)]
+            at = ends[run + 1]
+        return np.concatenate([*parts, ids[at:]])
 
     def n_best(self, text: str, n: int) -> list[tuple[int, list[int]]]:
         """The n best segmentations written out."""
@@ -330,7 +343,8 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", model_file:
 
 
 def digests(docs: DataFrame, n_best: int = N_BEST, model_file: str | None = None) -> DataFrame:
-    """One row per document: size and checksum of the best ids, the n best scores, and whether decoding gives the text back.
+    """One row per document: size and checksum of the best ids, scores and checksums of the n best, and whether decoding
+    the best gives the very text back (a text that holds the mark itself does not come back).
 
     Encodes and decodes in one task, so ids never leave it.
     """
@@ -343,8 +357,9 @@ def digests(docs: DataFrame, n_best: int = N_BEST, model_file: str | None = None
                 coder = _coder(model_file)
                 bodies = texts(batch, "text")
                 coder.learn(bodies)
-                found = [coder.encode(t, n_best) for t in bodies]
-                same = [coder.lattice.decode(f[0]) == t.replace(MARK, " ") for f, t in zip(found, bodies)]
+                found = [coder.search(t, n_best) for t in bodies]
+                same = [coder.lattice.decode(f[0]) == t for f, t in zip(found, bodies)]
+                ranks = [[zlib.crc32(coder.spelt(ids, ends, e).astype("<u4")) for e in edits] for ids, _, edits, ends in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
@@ -352,13 +367,13 @@ def digests(docs: DataFrame, n_best: int = N_BEST, model_file: str | None = None
                         pa.array([zlib.crc32(f[0].astype("<u4")) for f in found], pa.int64()),
                         pa.array([f[1] for f in found], pa.list_(pa.float64())),
                         pa.array([len(f[2][1]) if len(f[2]) > 1 else 0 for f in found], pa.int64()),
-                        pa.array(same),
+                        pa.array(same), pa.array(ranks, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_ids", "ids_crc32", "scores", "n_edits", "round_trip"],
+                    names=["doc_id", "n_ids", "ids_crc32", "scores", "n_edits", "round_trip", "ranks_crc32"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_ids long, ids_crc32 long, scores array<double>, n_edits long, round_trip boolean"
+        run, f"doc_id {kind}, n_ids long, ids_crc32 long, scores array<double>, n_edits long, round_trip boolean, ranks_crc32 array<long>"
     )
 
 
@@ -367,4 +382,5 @@ def piece_segmentation(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_ids", "ids_crc32", F.col("scores")[0].cast("long").alias("best_score"),
         F.array_join(F.transform("scores", lambda s: s.cast("long").cast("string")), ",").alias("scores"), "n_edits", "round_trip",
+        F.array_join(F.col("ranks_crc32").cast("array<string>"), ",").alias("ranks_crc32"),
     )
