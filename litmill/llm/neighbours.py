@@ -30,7 +30,7 @@ _letters, _digits = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
 def _shape(word: str) -> str:
     """Runs of letters, of capitals and of digits by class; other characters as they are."""
     word = _letters.sub(lambda m: "U" if len(m.group()) > 1 and m.group().isupper() else "a", word)
-    return _digits.sub("0", word)[:12]
+    return _digits.sub("0", word)
 
 
 class _Slots:
