@@ -152,10 +152,19 @@ def _votes(t: str, kind: str, start: int, end: int, strict: bool) -> tuple[int,
     return pattern, check, gazetteer, context, counter, edge
 
 
+def _looks(t: str, start: int, end: int) -> tuple[int, ...]:
+    """What the classifier sees of a span itself: steps of length, separators within, characters on either side."""
+    span = t[start:end]
+    size = 0 if end - start < 12 else 1 if end - start < 16 else 2 if end - start < 24 else 3
+    split = 1 if " " in span else 2 if "-" in span else 0
+    side = sum(1 for c in (t[start - 1 : start], t[end : end + 1]) if c and not (c.isspace() or c in ".,;:!?()"))
+    return size, split, side
+
+
 def candidates(t: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
-    """Base spans and wider ones that do not overlap one of their kind, with votes."""
+    """Base spans and wider ones that do not overlap one of their kind, with votes and looks."""
     for kind, a, b in base:
-        yield kind, a, b, _votes(t, kind, a, b, True)
+        yield kind, a, b, (*_votes(t, kind, a, b, True), *_looks(t, a, b))
     for kind, wide in _WIDE.items():
         if not _NEEDS[kind].search(t):
             continue
@@ -166,7 +175,7 @@ def candidates(t: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str,
             while i < len(own) and own[i][1] <= a:
                 i += 1
             if i == len(own) or own[i][0] >= b:
-                yield kind, a, b, _votes(t, kind, a, b, False)
+                yield kind, a, b, (*_votes(t, kind, a, b, False), *_looks(t, a, b))
 
 
 def _slices(batches: Batches) -> Batches:
@@ -179,9 +188,9 @@ def _slices(batches: Batches) -> Batches:
 
 
 def vote_counts(docs: DataFrame, text: str = "text") -> list[tuple[str, int]]:
-    """How often each pattern of kind and votes occurs among all candidates of all texts.
+    """How often each pattern of kind, votes and looks occurs among all candidates of all texts.
 
-    There are at most 4 * 3^6 patterns, whatever the table's size.
+    There are at most 4 * 3^6 * 4 * 3 * 3 patterns, whatever the table's size.
     """
 
     def run(batches: Batches) -> Batches:
@@ -219,41 +228,67 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
     return posterior, accuracy, prior
 
 
-def train_spans(patterns: list[tuple[str, int]], steps: int = 300) -> dict[str, float]:
-    """Probability of every vote pattern from a logistic span classifier fitted to the weighed labels.
+LABELERS = 6
+_LOOKS = (4, 3, 3)  # values of each look
+
+
+def span_features(kinds: list[str], seen: np.ndarray) -> np.ndarray:
+    """Kind, votes for, votes against, and the looks by value: one row for each pattern."""
+    votes = seen[:, :LABELERS]
+    looks = [np.eye(n)[seen[:, LABELERS + k]] for k, n in enumerate(_LOOKS)]
+    return np.hstack([np.array([[k == own for own in KINDS] for k in kinds], float).reshape(-1, len(KINDS)), votes > 0, votes < 0, *looks])
+
+
+# Where the fit starts and what it is held to: a vote counts one for, one against.
+START = np.r_[np.zeros(len(KINDS)), np.ones(LABELERS), -np.ones(LABELERS), np.zeros(sum(_LOOKS))]
+
+
+class SpanClassifier:
+    """Logistic model over what is seen of a span; any pattern gets a probability, whether it was met in training or not."""
+
+    def __init__(self, weights: np.ndarray = START) -> None:
+        self.weights = weights
+        self.known: dict[tuple, float] = {}
+
+    def probability(self, kind: str, seen: tuple[int, ...]) -> float:
+        p = self.known.get((kind, seen))
+        if p is None:
+            x = span_features([kind], np.array([seen]))[0]
+            p = self.known[kind, seen] = float(1 / (1 + np.exp(-(x @ self.weights))))
+        return p
+
+
+def train_spans(patterns: list[tuple[str, int]], steps: int = 300) -> SpanClassifier:
+    """The span classifier fitted to the labels that the weighed votes give.
 
-    Features are kind and signed votes; the fit is weighted by how often a
-    pattern occurs, all on the driver over at most 4 * 3^6 rows.
+    The fit is weighted by how often a pattern occurs, on the driver over a
+    bounded number of patterns; without any the classifier counts votes.
     """
     if not patterns:
-        return {}
-    split = [p.split(",") for p, _ in patterns]
-    votes = np.array([[int(x) for x in s[1:]] for s in split], float)
+        return SpanClassifier()
+    kinds = [p.split(",")[0] for p, _ in patterns]
+    seen = np.array([[int(x) for x in p.split(",")[1:]] for p, _ in patterns])
     counts = np.array([n for _, n in patterns], float)
-    target, _, _ = reliabilities(votes, counts)
-    kinds = np.array([[s[0] == k for k in KINDS] for s in split], float)
-    x = np.hstack([kinds, votes > 0, votes < 0])
+    target, _, _ = reliabilities(seen[:, :LABELERS].astype(float), counts)
+    x = span_features(kinds, seen)
     weight = np.sqrt(counts) / np.sqrt(counts).sum()
-    w = np.zeros(x.shape[1])
+    w = START.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(x @ w)))
-        grad = x.T @ (weight * (p - target)) + 1e-3 * w
+        grad = x.T @ (weight * (p - target)) + 1e-3 * (w - START)
         hess = x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
-        w -= step
+        w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    p = 1 / (1 + np.exp(-(x @ w)))
-    return {name: float(v) for (name, _), v in zip(patterns, p)}
+    return SpanClassifier(w)
 
 
-def all_spans(t: str, model: dict[str, float]) -> tuple[list, list]:
+def all_spans(t: str, model: SpanClassifier) -> tuple[list, list]:
     """(base spans, base and added spans)."""
     base = base_spans(t)
     added = [
-        (kind, a, b)
-        for kind, a, b, votes in candidates(t, base)
-        if not votes[0] and model.get(kind + "," + ",".join(map(str, votes)), 0.0) >= THRESHOLD
+        (kind, a, b) for kind, a, b, seen in candidates(t, base) if seen[0] <= 0 and model.probability(kind, seen) >= THRESHOLD
     ]
     return base, ordered(base + added)
 
@@ -262,7 +297,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find(docs: DataFrame, model: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, model: SpanClassifier | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, counts of base spans by kind, base_sha256, spans), one row per input row.
 
     Base spans always stand; the classifier, trained on the votes over the
@@ -302,7 +337,7 @@ def masked(t: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + t[at:]
 
 
-def redact(docs: DataFrame, model: dict[str, float] | None = None, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: SpanClassifier | None = None, text: str = "text") -> DataFrame:
     """``docs`` with the personal spans of the text masked; other columns and null texts stay as they are."""
     learned = train_spans(vote_counts(docs, text)) if model is None else model
 
