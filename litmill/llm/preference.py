@@ -46,7 +46,9 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     rendered once; nothing of it is learned.  What follows on either side is
     that side's completion, of which only assistant turns are learned.  If one
     side is a prefix of the other, or both are equal, the shorter side's
-    completion is empty.  Null arrays count as empty.  All other columns stay.
+    completion is empty.  Null arrays count as empty.  All other columns stay,
+    but for those with the name of a result (n_common, prompt and both
+    ..._learned), which give way.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
     df = pairs.withColumns({c: F.coalesce(F.col(c), none) for c in (chosen, rejected)})
@@ -54,9 +56,8 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
         chosen, rejected,
         lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)),
     )
-    df = df.withColumn("_same", same)
-    first_gap = F.array_position("_same", F.lit(False))
-    df = df.withColumn("n_common", F.when(first_gap > 0, first_gap - 1).otherwise(F.size("_same").cast("long")))
+    first_gap = F.array_position(same, F.lit(False))
+    df = df.withColumn("n_common", F.when(first_gap > 0, first_gap - 1).otherwise(F.size(same).cast("long")))
     n = F.col("n_common").cast("int")
     rest = lambda c: F.slice(c, n + 1, F.greatest(F.size(c), F.lit(1)))
     df = df.withColumn("prompt", render(F.slice(chosen, F.lit(1), n)))
@@ -68,7 +69,7 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
             chosen: render(F.col(chosen)),
             rejected: render(F.col(rejected)),
         }
-    ).drop("_same")
+    )
 
 
 def neighbour_pairs(turns: DataFrame) -> DataFrame:
