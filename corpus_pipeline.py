@@ -38,9 +38,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the ids of their best segmentation and its score."""
-    out = pieces.encode(docs, n_best=1)
-    return out.withColumn("score", F.col("scores")[0]).drop("scores", "edits")
+    """All documents with the ids of their best segmentation, the scores of the n best and what these spell otherwise.
+
+    Columns ids, scores and edits of the input give way; ``score`` is the best one.
+    """
+    return pieces.encode(docs).withColumn("score", F.col("scores")[0])
 
 
 STAGES = [
