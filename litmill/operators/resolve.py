@@ -90,12 +90,12 @@ def _gather(edges: DataFrame) -> DataFrame:
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
-    """True when each node has one target and no target points further."""
-    twice = edges.groupBy("src").count().filter("count > 1").limit(1).count()
-    if twice:
-        return False
-    targets = edges.select(F.col("dst").alias("src")).distinct()
-    return not targets.join(edges.select("src"), "src", "left_semi").limit(1).count()
+    """True when each node has one target and no target points further; one pass over the ends of all edges."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    wrong = (F.sum("out") > 1) | ((F.sum("out") > 0) & (F.sum("into") > 0))
+    return not ends.groupBy("node").agg(wrong.alias("wrong")).agg(F.bool_or("wrong")).first()[0]
 
 
 def components(keys: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -124,7 +124,8 @@ def components(keys: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _is_forest_of_stars(edges):
             break
-        edges = scale.stage(_gather(scale.stage(_jump(edges), "edges")), "edges")
+        # Both halves of the round read the same jumped edges, whose exchange Spark computes once.
+        edges = scale.stage(_gather(_jump(edges)), "edges")
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     stars = edges.select(F.col("src").alias("record_id"), F.col("dst").alias("cluster"))
@@ -340,11 +341,14 @@ def merge_clusters(records: DataFrame, clusters: DataFrame, pack_lists: bool = T
     if "retrieved_at" in have:
         aggs.append(F.max("retrieved_at").alias("retrieved_at"))
 
-    heavy = {"title", "abstract", "publication_types", "keywords", "full_text_resources"}
-    thin = members.select(
-        *[c for c in members.columns if c not in heavy],
-        F.length("abstract").alias("_len"),
-    ).withColumn("_o", order)
+    # Written once without the texts: the thin fields and the lists are read from it.
+    heavy = {"title", "normalized_title", "abstract"}
+    members = scale.stage(
+        members.select(*[c for c in members.columns if c not in heavy], F.length("abstract").alias("_len")).withColumn("_o", order),
+        "members",
+    )
+    order = F.col("_o")
+    thin = members.drop("publication_types", "keywords", "full_text_resources")
     merged = thin.groupBy("cluster").agg(
         F.min("_o")["record_id"].alias("canonical_id"),
         F.min_by(

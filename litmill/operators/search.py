@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from litmill import scale
@@ -32,6 +33,9 @@ class Concept:
     terms: tuple[str, ...]
 
 
+BITS = 60  # groups of a query in one number
+
+
 def padded(c: Column) -> Column:
     """Normalised text with a blank at either end, so that phrases match on word borders."""
     return F.concat(F.lit(" "), c, F.lit(" "))
@@ -60,36 +64,52 @@ def phrase_match(
     ``terms`` needs a ``term`` column in match-text form; terms of more than
     ``max_words`` words are left out.  ``doc_key`` is unique.
 
-    A term is looked for by one word of it, its longest, which seldom is a
-    common one.  Documents give their distinct words, without their texts, and
-    these meet the terms' words in an equality join.  That settles terms of one
-    word; for longer ones the texts of the documents found join back and are
-    searched in place.
+    A term is looked for by one word, or by two neighbouring words of a longer
+    one (its longest pair, which seldom is a common one).  Documents give their
+    distinct words and pairs, without their texts, and these meet the terms'
+    in an equality join, whatever the length of the terms.  That settles terms
+    of one or two words; for longer ones the texts of the documents found join
+    back and are searched in place.
     """
     terms = scale.stage(terms, "terms")  # written once, the terms have a real size
-    words = F.split("term", " ")
+    n_words = F.size(F.split("term", " "))
     if max_words is not None:
-        terms = terms.filter(F.size(words) <= max_words)
-    longest = F.reduce(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+        terms = terms.filter(n_words <= max_words)
+    key = F.reduce(_runs("term", 2), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     # Each distinct term is looked for once, however many rows of ``terms`` have it.
-    anchors = terms.select("term", longest.alias("_word"), (F.size(words) > 1).alias("_long")).distinct()
-    own = lambda f: F.split(F.coalesce(F.col(f), F.lit("")), " ")
+    anchors = terms.select(
+        "term", F.when(n_words > 1, key).otherwise(F.col("term")).alias("_run"), (n_words > 2).alias("_long")
+    ).distinct()
+    used = terms.agg(F.bool_or(n_words == 1), F.bool_or(n_words > 1)).first()
+    lengths = [n for n, yes in zip((1, 2), used) if yes] or [1]
+    runs = lambda fs: F.array_distinct(F.concat(*[_runs(f, n) for f in fs for n in lengths]))
     if any_field:
-        parts = [docs.select(doc_key, F.explode(F.array_distinct(F.concat(*map(own, fields)))).alias("_word"))]
-        keys = [doc_key]
+        held, keys = docs.select(doc_key, F.explode(runs(fields)).alias("_run")), [doc_key]
     else:
-        parts = [docs.select(doc_key, F.lit(f).alias("field"), F.explode(F.array_distinct(own(f))).alias("_word")) for f in fields]
-        keys = [doc_key, "field"]
-    held = reduce(DataFrame.unionByName, parts)
-    met = scale.stage(held.join(anchors, "_word").select(*keys, "term", "_long"), "anchored")
-    body = reduce(lambda a, b: a | b, (F.contains(padded(F.col(f)), _spaced("term")) for f in fields)) if any_field else reduce(
-        lambda a, f: F.when(F.col("field") == f, F.contains(padded(F.col(f)), _spaced("term"))).otherwise(a), fields, F.lit(False)
-    )
+        parts = [docs.select(doc_key, F.lit(f).alias("field"), F.explode(runs([f])).alias("_run")) for f in fields]
+        held, keys = reduce(DataFrame.unionByName, parts), [doc_key, "field"]
+    met = scale.stage(held.join(anchors, "_run").select(*keys, "term", "_long"), "anchored")
+    if any_field:
+        body = reduce(lambda a, b: a | b, (F.contains(padded(F.col(f)), _spaced("term")) for f in fields))
+    else:
+        body = reduce(
+            lambda a, f: F.when(F.col("field") == f, F.contains(padded(F.col(f)), _spaced("term"))).otherwise(a), fields, F.lit(False)
+        )
     searched = met.filter("_long").join(docs.select(doc_key, *fields), doc_key).filter(F.coalesce(body, F.lit(False)))
     hits = met.filter("not _long").select(*keys, "term").unionByName(searched.select(*keys, "term"))
     return hits.join(terms, "term")
 
 
+def _runs(field: str, n: int) -> Column:
+    """Single words, or pairs of neighbouring words, of a normalised text; none for null."""
+    words = F.split(F.coalesce(F.col(field), F.lit("")), " ")
+    if n == 1:
+        return words
+    after = F.slice(words, 2, F.size(words))
+    # The last word has none after it; its pair is null.
+    return F.array_compact(F.zip_with(words, after, lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
 def _spaced(term: str) -> Column:
     return F.concat(F.lit(" "), F.col(term), F.lit(" "))
 
@@ -106,15 +126,26 @@ def concept_search(
         raise ValueError("mode is all or representative")
     if mode == "representative":
         plan = plan.groupBy("query_id", "group_id").agg(F.min_by("term", "term_order").alias("term"))
-    groups = plan.groupBy("query_id").agg(F.count_distinct("group_id").alias("groups"))
-    # The number of groups travels with the terms, so the matches need no further join.
-    terms = plan.select("query_id", "group_id", "term").distinct().join(groups, "query_id")
-    hits = phrase_match(docs, terms, doc_key, fields, any_field=True)
-    # A query has a handful of groups, so their set is small.
-    met = hits.groupBy("query_id", doc_key).agg(
-        F.size(F.collect_set("group_id")).alias("met"), F.max("groups").alias("groups")
+    # Groups are numbered within their query; a bit for each says which ones a document meets.
+    numbered = plan.select("query_id", "group_id").distinct().withColumn(
+        "_at", F.row_number().over(W.partitionBy("query_id").orderBy("group_id")) - 1
     )
-    return met.filter("met = groups").select("query_id", doc_key)
+    numbered = scale.stage(numbered, "groups")
+    most = numbered.agg(F.max("_at")).first()[0] or 0
+    bits = [f"_bits{k}" for k in range(most // BITS + 1)]
+    mask = [
+        F.when(F.floor(F.col("_at") / BITS) == k, F.expr(f"shiftleft(1L, cast(_at % {BITS} as int))")).otherwise(F.lit(0).cast("long")).alias(b)
+        for k, b in enumerate(bits)
+    ]
+    # A term that several groups of a query share is one row of theirs.
+    terms = plan.select("query_id", "group_id", "term").distinct().join(numbered, ["query_id", "group_id"]).select(
+        "query_id", "term", *mask
+    ).groupBy("query_id", "term").agg(*[F.bit_or(b).alias(b) for b in bits])
+    need = numbered.select("query_id", *mask).groupBy("query_id").agg(*[F.bit_or(b).alias(f"_need{b}") for b in bits])
+    hits = phrase_match(docs, terms, doc_key, fields, any_field=True)
+    met = hits.groupBy("query_id", doc_key).agg(*[F.bit_or(b).alias(b) for b in bits]).join(need, "query_id")
+    whole = reduce(lambda a, b: a & b, (F.col(b) == F.col(f"_need{b}") for b in bits))
+    return met.filter(whole).select("query_id", doc_key)
 
 
 def design_values(design: Column, types: Column, body: Column) -> Column:

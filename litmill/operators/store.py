@@ -7,7 +7,6 @@ the stored one and the incoming rows; the caller writes it to a new path.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ FILL_FIELDS = (
     "publication_status", "language",
 )
 FILL_LISTS = ("authors", "publication_types")
+LONG_FIELDS = ("abstract",)
 # Ways to recognise an article, best first.
 WAYS = ("doi", "pmid", "pmcid", "title_year_author")
 
@@ -64,36 +64,21 @@ def task_articles(
     return pairs.join(articles, ["article_id"], "inner")
 
 
-def _keys(df: DataFrame, key: str) -> list[tuple[int, str, DataFrame]]:
-    """The four ways to recognise an article, each as (id, value), best first."""
+def long_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, kind, value) of every way to recognise an article, from one pass over the rows."""
     author = text.fold(text.null_if_empty(text.strip(F.col("first_author"))))
-    weak = F.concat_ws(
-        "|", "normalized_title", F.col("publication_year").cast("string"), author
-    )
-    ways = (
-        (1, "doi", text.fold(text.null_if_empty(text.strip(F.col("doi"))))),
-        (2, "pmid", text.null_if_empty(text.strip(F.col("pmid")))),
-        (3, "pmcid", F.upper(text.null_if_empty(text.strip(F.col("pmcid"))))),
-        (
-            4,
-            "title_year_author",
-            F.when(
-                F.col("publication_year").isNotNull() & author.isNotNull()
-                & F.col("normalized_title").isNotNull(),
-                weak,
-            ),
-        ),
+    weak = F.concat_ws("|", "normalized_title", F.col("publication_year").cast("string"), author)
+    known = F.col("publication_year").isNotNull() & author.isNotNull() & F.col("normalized_title").isNotNull()
+    values = (
+        text.fold(text.null_if_empty(text.strip(F.col("doi")))),
+        text.null_if_empty(text.strip(F.col("pmid"))),
+        F.upper(text.null_if_empty(text.strip(F.col("pmcid")))),
+        F.when(known, weak),
     )
-    return [
-        (n, way, df.select(key, value.alias("value")).filter("value is not null"))
-        for n, way, value in ways
-    ]
-
-
-def long_keys(df: DataFrame, key: str) -> DataFrame:
-    """(key, kind, value) of every way to recognise an article."""
-    parts = [values.withColumn("kind", F.lit(way)) for _, way, values in _keys(df, key)]
-    return reduce(DataFrame.unionByName, parts)
+    each = F.array(*[F.struct(F.lit(way).alias("kind"), v.alias("value")) for way, v in zip(WAYS, values)])
+    # The outer form does not test the array's size first, which would build it twice.
+    rows = df.select(key, F.explode_outer(each).alias("k")).select(key, "k.kind", "k.value")
+    return rows.filter("value is not null")
 
 
 def best_match(hits: DataFrame) -> DataFrame:
@@ -106,16 +91,12 @@ def best_match(hits: DataFrame) -> DataFrame:
 def match_existing(incoming: DataFrame, store: DataFrame) -> DataFrame:
     """(record_id, article_id, matched_by): the stored article each record belongs to.
 
-    One equality join per identifier instead of a disjunction, which would
+    One equality join on kind and value instead of a disjunction, which would
     become a nested-loop join.  Any strong identifier beats title, year and
     author; among several the earlier kind and the least article id win.
     """
-    found = None
-    for (_, way, left), (_, _, right) in zip(_keys(incoming, "record_id"), _keys(store, "article_id")):
-        one = right.groupBy("value").agg(F.min("article_id").alias("article_id"))
-        hits = left.join(one, ["value"], "inner").select("record_id", "article_id", F.lit(way).alias("kind"))
-        found = hits if found is None else found.unionByName(hits)
-    return best_match(found)
+    owners = long_keys(store, "article_id").groupBy("kind", "value").agg(F.min("article_id").alias("article_id"))
+    return best_match(long_keys(incoming, "record_id").join(owners, ["kind", "value"]))
 
 
 def _first_filled(name: str, list_field: bool) -> Column:
@@ -147,7 +128,9 @@ def upsert_articles(
     from the final texts if asked for.
     """
     both = [c for c in incoming.columns if c in store.columns]
-    fields = [f for f in FILL_FIELDS if f in both]
+    matches = scale.stage(matches.select("record_id", "article_id"), "matches")
+    long_text = [f for f in LONG_FIELDS if f in both]
+    fields = [f for f in FILL_FIELDS if f in both and f not in LONG_FIELDS]
     lists = [f for f in FILL_LISTS if f in both]
     fresh = incoming.join(matches.select("record_id"), "record_id", "left_anti")
     firsts = scale.stage(new_articles(fresh), "new-articles")
@@ -162,10 +145,16 @@ def upsert_articles(
     offers = incoming.join(joined, "record_id").groupBy("article_id").agg(
         *[_first_filled(f, False) for f in fields],
         *[_first_filled(f, True) for f in lists],
+        *[F.min(F.when(F.col(f) != "", F.col("record_id"))).alias(f"_r_{f}") for f in long_text],
         F.bool_or("is_retracted").alias("_retracted"),
     )
     rows = base.join(offers, "article_id", "left")
-    for f in fields + lists:
+    for f in long_text:
+        # Long texts take no part in the aggregate: where one is wanted, it joins back by the record that has it.
+        wanted = F.when(F.col(f).isNull() | (F.col(f) == ""), F.col(f"_r_{f}"))
+        texts = incoming.select(F.col("record_id").alias("_record"), F.col(f).alias(f"_n_{f}"))
+        rows = rows.join(texts, wanted == F.col("_record"), "left").drop("_record")
+    for f in fields + lists + long_text:
         c = F.col(f)
         empty = c.isNull() | ((F.size(c) == 0) if f in lists else (c.cast("string") == ""))
         rows = rows.withColumn(f, F.coalesce(F.when(empty, F.col(f"_n_{f}")), c))
