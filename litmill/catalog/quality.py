@@ -22,7 +22,7 @@ def named(spark, sf_dir):
     rub, _, _ = rubrics.rubric_tables(spark)
     c = crit(spark, sf_dir).withColumn("study_type", F.expr(_TYPES))
     c = c.withColumn("position", F.expr("cast(case when article_id % 11 = 0 and criterion_no = 3 then 1 else criterion_no end as int)"))
-    c = c.join(F.broadcast(rub), ["study_type", "position"], "left")
+    c = c.join(rub, ["study_type", "position"], "left")
     name = F.expr("case when article_id % 7 = 0 and criterion_no = 2 then 'stray' else coalesce(criterion_id, 'free_' || cast(criterion_no as string)) end")
     return c.select("article_id", "study_type", "status", quality.status_score(F.col("status")).alias("score"), name.alias("criterion_id"))
 
@@ -173,7 +173,7 @@ def rubric_fingerprint(spark, sf_dir):
     doc = doc.select("study_type", F.sha2(F.to_json(F.struct("study_type", "criteria")), 256).alias("fingerprint"))
     d = A.table(spark, sf_dir, "documents").select(F.expr(_TYPES.replace("article_id", "doc_id")).alias("study_type"))
     counts = d.groupBy("study_type").agg(F.count("*").alias("articles"))
-    return counts.join(F.broadcast(doc), "study_type", "left")
+    return counts.join(doc, "study_type", "left")
 
 
 # Batches from orders: status, payload presence and faults by key.

@@ -250,22 +250,19 @@ _CONSTRAINTS = """select cast(item_id as string) as query_id, 'study_design' as
  case item_id % 2 when 0 then 'cohort' else 'randomized_controlled_trial' end as value from benchmark where item_id % 5 <> 0
  union all select cast(item_id as string), 'language', 'include', 'en' from benchmark
  union all select cast(item_id as string), 'study_design', 'exclude', 'nonsense' from benchmark where item_id = 7"""
-_FOUND = "select cast(item_id as string) as query_id, doc_id from benchmark, documents where (doc_id + item_id) % 7 = 0"
 
 
 @query(
     "p18_apply_constraints",
-    f"""with {DUCK_DESIGN}, f as ({_FOUND}), c as ({_CONSTRAINTS}), dv as (select article_id, case inferred when 'randomized_controlled_trial' then 'randomized_controlled_trial' when 'cohort' then 'cohort' end as v from grouped)
+    f"""with {DUCK_DESIGN}, {_Q_HITS.replace("placed as", "spots as").replace("from placed", "from spots")}, f as (select * from found), c as ({_CONSTRAINTS}), dv as (select article_id, case inferred when 'randomized_controlled_trial' then 'randomized_controlled_trial' when 'cohort' then 'cohort' end as v from grouped)
  select f.query_id, f.doc_id from f join dv on f.doc_id = dv.article_id where
  not exists (select 1 from c where c.query_id = f.query_id and kind = 'study_design' and operator in ('include', 'prefer') and value is distinct from dv.v)
  and not exists (select 1 from c where c.query_id = f.query_id and kind = 'study_design' and operator = 'exclude' and value = dv.v)
  and not exists (select 1 from c where c.query_id = f.query_id and value = 'nonsense')""",
 )
 def apply_constraints(spark, sf_dir):
-    b, d = A.table(spark, sf_dir, "benchmark"), A.table(spark, sf_dir, "documents").select("doc_id")
-    # Every seventh pair of question and document, made by an equality join on the remainder.
-    left = b.select(F.col("item_id").cast("string").alias("query_id"), F.pmod(-F.col("item_id"), F.lit(7)).alias("k"))
-    found = d.withColumn("k", F.col("doc_id") % 7).join(left, "k").select("query_id", "doc_id")
+    b = A.table(spark, sf_dir, "benchmark")
+    found = boolean_concept_search(spark, sf_dir)
     g = design(spark, sf_dir)
     inferred = routing.infer_design(F.col("publication_types"), F.col("stated"), F.col("abstract"))
     docs = g.select(

@@ -145,14 +145,13 @@ def rubric_cover(criteria: DataFrame, rubric: DataFrame) -> DataFrame:
     """
     sizes = rubric.groupBy("study_type").agg(F.count("*").alias("expected"))
     known = rubric.select("study_type", "criterion_id", F.lit(True).alias("_known"))
-    # The rubric is a fixed dimension of a few dozen rows.
-    rows = criteria.join(F.broadcast(known), ["study_type", "criterion_id"], "left")
+    rows = criteria.join(known, ["study_type", "criterion_id"], "left")
     per = rows.groupBy("article_id", "study_type").agg(
         F.count("*").alias("given"),
         F.count_distinct("criterion_id").alias("distinct_ids"),
         F.count_distinct(F.when(F.col("_known"), F.col("criterion_id"))).alias("known_ids"),
     )
-    per = per.join(F.broadcast(sizes), "study_type", "left")
+    per = per.join(sizes, "study_type", "left")
     issues = codes(
         (F.col("expected").isNull(), "unknown_type"),
         (F.col("given") > F.col("distinct_ids"), "repeated"),
@@ -305,7 +304,7 @@ def criterion_questions(criteria: DataFrame, mapping: DataFrame, questions: Data
     The composite score is not copied down; only coverage and status travel.
     """
     dims = mapping.join(questions, "question_id")
-    return criteria.join(F.broadcast(dims), "criterion_id").drop("score")
+    return criteria.join(dims, "criterion_id").drop("score")
 
 
 def dimension_rollup(with_questions: DataFrame) -> DataFrame:

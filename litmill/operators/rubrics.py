@@ -1,4 +1,4 @@
-"""Rubric and question dimension tables (ids only): small, fixed, always broadcast."""
+"""Rubric and question dimension tables (ids only): small and fixed, parts of the plan; joins leave the choice to Catalyst."""
 
 from __future__ import annotations
 
@@ -122,10 +122,16 @@ def mapping_rows() -> list[tuple[str, str]]:
     return [(c, q) for criteria in RUBRICS.values() for c, qs in criteria.items() for q in qs]
 
 
+def _inline(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small fixed table as part of the plan, so that Catalyst knows its size."""
+    values = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"select * from values {values} as t({columns})")
+
+
 def rubric_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rubric, questions, mapping) as small frames."""
     return (
-        spark.createDataFrame(rubric_rows(), "study_type string, position int, criterion_id string"),
-        spark.createDataFrame(question_rows(), "question_id string, dimension_id string"),
-        spark.createDataFrame(mapping_rows(), "criterion_id string, question_id string"),
+        _inline(spark, rubric_rows(), "study_type, position, criterion_id"),
+        _inline(spark, question_rows(), "question_id, dimension_id"),
+        _inline(spark, mapping_rows(), "criterion_id, question_id"),
     )
