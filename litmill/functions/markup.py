@@ -82,7 +82,7 @@ def html_text(c: Column) -> Column:
     pieces = F.split(bare, rf"(?i)(?=<(?:{_RAW})[\s/>])|(?<=</script>)|(?<=</style>)")
 
     def plain(x: Column) -> Column:
-        x = F.regexp_replace(x, "<[!?][^>]*>", "")
+        x = F.regexp_replace(x, "<[!?][^>]*>|</[^A-Za-z>][^>]*>", "")
         x = F.regexp_replace(x, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?=[\s/>]){_REST}", "\n")
         x = F.regexp_replace(x, f"</?[A-Za-z]{_REST}|</?[A-Za-z][^>]*>", "")
         return decode_entities(x)
