@@ -215,14 +215,14 @@ class Coder:
         return self.search(text, n)[:3]
 
     def search(self, text: str, n: int) -> tuple[np.ndarray, list[float], list[list[tuple[int, list[int]]]], np.ndarray]:
-        """What :meth:`encode` gives, and where the ids of each run end."""
+        """What :meth:`encode` gives, and how many ids each run has."""
         runs, rows = self.rows(text)
         if not runs:
-            return np.zeros(0, np.int32), [0.0], [[]], np.zeros(1, np.int64)
-        ids, ends = self.pool.take(rows), np.r_[0, np.cumsum(self.pool.size[rows])]
+            return np.zeros(0, np.int32), [0.0], [[]], np.zeros(0, np.int64)
+        ids, sizes = self.pool.take(rows), self.pool.size[rows]
         total, gaps = float(self.pool.more[rows, 0].sum()), self.pool.more[rows, 1]
         if n == 1:
-            return ids, [total], [[]], ends
+            return ids, [total], [[]], sizes
         few = min(n - 1, len(runs))
         limit = np.partition(gaps, few - 1)[few - 1]
         below, equal = np.flatnonzero(gaps < limit), np.flatnonzero(gaps == limit)
@@ -244,16 +244,20 @@ class Coder:
                     if after[::-1] not in seen:
                         seen.add(after[::-1])
                         heapq.heappush(heap, (sum(x[r] for x, r in zip(loss, after)), after[::-1]))
-        return ids, scores, edits, ends
+        return ids, scores, edits, sizes
 
     @staticmethod
-    def spelt(ids: np.ndarray, ends: np.ndarray, edit: list[tuple[int, list[int]]]) -> np.ndarray:
-        """The ids with some runs spelt another way."""
-        parts, at = [], 0
-        for run, own in edit:
-            parts += [ids[at : ends[run]], np.array(own, np.int32)]
-            at = ends[run + 1]
-        return np.concatenate([*parts, ids[at:]])
+    def checksums(ids: np.ndarray, sizes: np.ndarray, edits: list[list[tuple[int, list[int]]]]) -> list[int]:
+        """Checksum of the ids of each rank, from the best ids and the runs spelt another way; no list is built anew."""
+        ids, ends = np.ascontiguousarray(ids, "<i4"), sizes.cumsum()
+        out = [zlib.crc32(ids)]
+        for edit in edits[1:]:
+            crc, at = 0, 0
+            for run, own in edit:
+                crc = zlib.crc32(np.array(own, "<i4"), zlib.crc32(ids[at : ends[run] - sizes[run]], crc))
+                at = ends[run]
+            out.append(zlib.crc32(ids[at:], crc))
+        return out
 
     def n_best(self, text: str, n: int) -> list[tuple[int, list[int]]]:
         """The n best segmentations written out."""
@@ -359,12 +363,12 @@ def digests(docs: DataFrame, n_best: int = N_BEST, model_file: str | None = None
                 coder.learn(bodies)
                 found = [coder.search(t, n_best) for t in bodies]
                 same = [coder.lattice.decode(f[0]) == t for f, t in zip(found, bodies)]
-                ranks = [[zlib.crc32(coder.spelt(ids, ends, e).astype("<u4")) for e in edits] for ids, _, edits, ends in found]
+                ranks = [coder.checksums(ids, sizes, edits) for ids, _, edits, sizes in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
                         pa.array([len(f[0]) for f in found], pa.int64()),
-                        pa.array([zlib.crc32(f[0].astype("<u4")) for f in found], pa.int64()),
+                        pa.array([r[0] for r in ranks], pa.int64()),
                         pa.array([f[1] for f in found], pa.list_(pa.float64())),
                         pa.array([len(f[2][1]) if len(f[2]) > 1 else 0 for f in found], pa.int64()),
                         pa.array(same), pa.array(ranks, pa.list_(pa.int64())),
