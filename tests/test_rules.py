@@ -112,3 +112,37 @@ def test_ledger_rows_without_anything(spark):
     assert got[3] == ("invalid", ["missing_portfolio_input"])
     assert got[4] == ("invalid", ["invalid_portfolio_payload"]) and got[5] == ("failed", [])
     assert payloads.check_ledger(ledger.limit(0), articles).count() == 0
+
+
+def _lookup_case(spark):
+    """Twelve keywords that share a common term with forty concepts, some of which share a second one as well."""
+    terms = [(f"c{i}", "common", "Common", "entry") for i in range(40)]
+    terms += [(f"c{i}", "rare", "Rare", "preferred") for i in range(0, 40, 5)] + [("c1", "alone", "Alone", "entry")]
+    concepts = [(f"c{i}", f"label {i}", i == 39) for i in range(40)]
+    looks = [(f"k{k}", 1 + k % 2, " COMMON ") for k in range(12)] + [(f"k{k}", 2 - k % 2, "rare") for k in range(0, 12, 3)]
+    looks += [("k0", 1, "rare"), ("k0", 3, "common"), ("none", 1, "unknown")]
+    return (
+        spark.createDataFrame(looks, "keyword_id string, lookup_order int, lookup_term string"),
+        spark.createDataFrame(terms, "concept_id string, normalized_term string, term string, term_type string"),
+        spark.createDataFrame(concepts, "concept_id string, preferred_label string, obsolete boolean"),
+    )
+
+
+def _lookup_by_hand(looks, terms, concepts):
+    label = {r.concept_id: r.preferred_label for r in concepts.collect() if not r.obsolete}
+    pairs = {}
+    for q in looks.collect():
+        for t in terms.collect():
+            if t.concept_id in label and t.normalized_term == q.lookup_term.strip().lower():
+                row = (q.lookup_order, t.term, t.term_type)
+                key = (q.keyword_id, t.concept_id)
+                pairs[key] = min(row, pairs.get(key, row))
+    return sorted((k, c, label[c], term, kind, at) for (k, c), (at, term, kind) in pairs.items())
+
+
+def test_first_match_of_each_keyword(spark):
+    case = _lookup_case(spark)
+    best = {}
+    for row in _lookup_by_hand(*case):
+        best[row[0]] = min((row[5], row[1], row), best.get(row[0], (9, "", None)))
+    assert sorted(tuple(r) for r in vocab.first_matches(*case).collect()) == sorted(b[2] for b in best.values())
