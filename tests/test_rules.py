@@ -146,3 +146,10 @@ def test_first_match_of_each_keyword(spark):
     for row in _lookup_by_hand(*case):
         best[row[0]] = min((row[5], row[1], row), best.get(row[0], (9, "", None)))
     assert sorted(tuple(r) for r in vocab.first_matches(*case).collect()) == sorted(b[2] for b in best.values())
+
+
+def test_match_metrics_without_pairs(spark):
+    case = _lookup_case(spark)
+    want = _lookup_by_hand(*case)
+    keys = {r[0] for r in want}
+    assert tuple(vocab.match_metrics(*case).first()) == (13, len(keys), 13 - len(keys), len(want))
