@@ -153,3 +153,9 @@ def test_match_metrics_without_pairs(spark):
     want = _lookup_by_hand(*case)
     keys = {r[0] for r in want}
     assert tuple(vocab.match_metrics(*case).first()) == (13, len(keys), 13 - len(keys), len(want))
+
+
+def test_concepts_that_a_lookup_meets(spark):
+    case = _lookup_case(spark)
+    got = {r[0] for r in vocab.matched_concepts(*case).collect()}
+    assert got == {r[1] for r in _lookup_by_hand(*case)}
