@@ -140,6 +140,16 @@ def _lookup_by_hand(looks, terms, concepts):
     return sorted((k, c, label[c], term, kind, at) for (k, c), (at, term, kind) in pairs.items())
 
 
+def test_lookup_pairs_by_cells(spark, monkeypatch):
+    case = _lookup_case(spark)
+    monkeypatch.setattr(vocab, "CELL", 7)
+    found = vocab.vocab_lookup(*case)
+    assert sorted(tuple(r) for r in found.collect()) == _lookup_by_hand(*case)
+    # Nothing is grouped once pairs exist: the plan above the join of pairs has no exchange.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < (plan.index("Aggregate") if "Aggregate" in plan else len(plan))
+
+
 def test_first_match_of_each_keyword(spark):
     case = _lookup_case(spark)
     best = {}
