@@ -6,11 +6,13 @@ DataFrame semantics allow) and returns one; the caller starts the query.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from litmill.operators import logstore
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CHANGES = "task string, event_id long, ts timestamp, stage string, previous string"
+CHANGES = "task string, event_id long, at long, stage string, previous string"
 TERMINAL = ("completed", "failed")
 
 
@@ -39,48 +41,106 @@ def progress(events: DataFrame, by: str, kind: str, kinds: tuple[str, ...]) -> D
 class InOrder(StatefulProcessor):
     """Hands a key's rows on in event order, however they arrive within the watermark.
 
-    Rows wait in state by slices of event time and are handed on, a slice at a
-    time, when the watermark has passed the slice's end.  Nothing holds more of
-    a key than one slice or one arriving frame.
+    Arriving rows are sorted, up to ``SORTED`` at a time, and wait in state in
+    blocks of ``BLOCK``.  A key has one timer, at the end of the slice of event
+    time that holds its earliest row; when the watermark has passed it, the
+    rows of all slices that are over come out, merged.  A block is read when
+    the merge reaches its first row, so a task holds a block or two of each
+    sorted lot, however many rows a key has, and a key costs a few calls of the
+    state store for each arrival and each firing, not some for each row.
     """
 
+    SORTED, BLOCK = 65_536, 1_024
+
     def __init__(self, width_ms: int) -> None:
         self.width = width_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slice long, part int", "rows string")
-        self.parts = handle.getMapState("parts", "slice long", "n int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            at = frame["ts"].astype("datetime64[us]").astype("int64")
-            for number, part in frame.assign(ts=at).groupby(at // (1000 * self.width)):
-                at_slice = (int(number),)
-                n = self.parts.getValue(at_slice)[0] if self.parts.containsKey(at_slice) else 0
-                held = part[["ts", "event_id", "value"]].to_json(orient="values")
-                self.waiting.updateValue((int(number), n), (held,))
-                self.parts.updateValue(at_slice, (n + 1,))
-                if not n:
-                    self.handle.registerTimer((int(number) + 1) * self.width)
-        return
-        yield  # a generator without rows
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        number = expiredTimerInfo.getExpiryTimeInMs() // self.width - 1
-        held = []
-        for n in range(self.parts.getValue((number,))[0]):
-            held += json.loads(self.waiting.getValue((number, n))[0])
-            self.waiting.removeKey((number, n))
-        self.parts.removeKey((number,))
-        out = self.ordered(key, sorted(held, key=lambda r: (r[0], r[1])))
-        if out:
-            yield self.frame(key, out)
+        self.waiting = handle.getMapState("waiting", "first long, number long", "rows string")
+        self.book = handle.getValueState("book", "number long, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        number, timer = self.book.get() if self.book.exists() else (0, None)
+        earliest = None
+        arriving = ([r["at"], r["event_id"], r["value"]] for r in rows)
+        while lot := sorted(islice(arriving, self.SORTED), key=_in_time):
+            number = self._put(lot, number)
+            earliest = lot[0][0] if earliest is None else min(earliest, lot[0][0])
+        if earliest is not None:
+            self.book.update((number, self._timer(timer, self._over(earliest))))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        number, timer = self.book.get() if self.book.exists() else (0, None)
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        mark = timerValues.getCurrentWatermarkInMs()
+        until = 1000 * self.width * (mark // self.width)  # slices up to here are over
+        blocks = sorted((int(first), int(n)) for first, n in self.waiting.keys())
+        due, later = [b for b in blocks if b[0] < until], [b[0] for b in blocks if b[0] >= until]
+        rest: list[list] = []
+        for row in self.ordered(self._merged(due, until, rest)):
+            yield self.row(key, row)
+        for lot in rest:
+            number = self._put(lot, number)
+            later.append(lot[0][0])
+        after = self._over(min(later)) if later else self.idle(mark)
+        if after is None:
+            self.book.clear()
+        else:
+            self.book.update((number, self._timer(None, after)))
+
+    def _over(self, at: int) -> int:
+        """When the slice of a time is over."""
+        return (at // (1000 * self.width) + 1) * self.width
+
+    def _timer(self, old: int | None, new: int) -> int:
+        if old is not None and old <= new:
+            return old
+        if old is not None:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(new)
+        return new
+
+    def _put(self, rows: list, number: int) -> int:
+        for i in range(0, len(rows), self.BLOCK):
+            self.waiting.updateValue((rows[i][0], number), (json.dumps(rows[i : i + self.BLOCK]),))
+            number += 1
+        return number
+
+    def _merged(self, blocks: list, until: int, rest: list[list]) -> Iterator[list]:
+        """The rows of sorted blocks before a time, in order; ``rest`` takes what is later."""
+        heap: list = []
+        blocks = blocks[::-1]
+        while blocks or heap:
+            while blocks and (not heap or blocks[-1][0] <= heap[0][0][0]):
+                at = blocks.pop()
+                rows = json.loads(self.waiting.getValue(at)[0])
+                self.waiting.removeKey(at)
+                heapq.heappush(heap, ((*_in_time(rows[0]), at[1]), 0, rows))
+            (_, _, n), i, rows = heap[0]
+            yield rows[i]
+            i += 1
+            if i < len(rows) and rows[i][0] < until:
+                heapq.heapreplace(heap, ((*_in_time(rows[i]), n), i, rows))
+                continue
+            heapq.heappop(heap)
+            if i < len(rows):
+                rest.append(rows[i:])
+
+    def idle(self, mark: int) -> int | None:
+        """Timer of a key without waiting rows; without one the key needs none."""
+        return None
 
     def close(self) -> None:
         pass
 
 
+def _in_time(row: list) -> tuple:
+    return row[0], row[1]
+
+
 class _Changes(InOrder):
     """Remembers the last stage of a task and emits only changes."""
 
@@ -88,20 +148,27 @@ class _Changes(InOrder):
         super().init(handle)
         self.last = handle.getValueState("last", "stage string")
 
-    def ordered(self, key, rows: list) -> list:
-        seen = self.last.get()[0] if self.last.exists() else None
-        out = []
+    def ordered(self, rows: Iterator[list]) -> Iterator[tuple]:
+        known = self.last.exists()
+        seen = self.last.get()[0] if known else None
         for at, event_id, stage in rows:
-            if stage != seen or not (out or self.last.exists()):
-                out.append((at, event_id, stage, seen))
-            seen = stage
-        self.last.update((seen,))
-        return out
+            if stage != seen or not known:
+                yield at, event_id, stage, seen
+            known, seen = True, stage
+        if known:
+            self.last.update((seen,))
+
+    def row(self, key, out: tuple) -> Row:
+        at, event_id, stage, previous = out
+        return Row(task=key[0], event_id=event_id, at=at, stage=stage, previous=previous)
 
-    def frame(self, key, out: list) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=["ts", "event_id", "stage", "previous"])
-        made["ts"] = pd.to_datetime(made["ts"], unit="us")
-        return made.assign(task=str(key[0]))[["task", "event_id", "ts", "stage", "previous"]]
+
+def _rows_in_order(rows: DataFrame, late: str, processor: InOrder, schema: str) -> DataFrame:
+    """``processor`` over rows of key, event_id, ts and value; its ``at`` becomes ``ts``."""
+    names = ["ts" if c == "at" else c for c in T.StructType.fromDDL(schema).fieldNames()]
+    made = rows.withColumn("at", F.unix_micros("ts")).withWatermark("ts", late).groupBy("key").transformWithState(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return made.withColumn("ts", F.timestamp_micros("at")).select(*names)
 
 
 def stage_changes(events: DataFrame, task: str = "task", late: str = "1 day", slice_ms: int = 3_600_000) -> DataFrame:
@@ -111,11 +178,8 @@ def stage_changes(events: DataFrame, task: str = "task", late: str = "1 day", sl
     its slice of event time.  State holds what waits and one value per task.
     Needs the RocksDB state store.
     """
-    rows = events.select(F.col(task).cast("string").alias("task"), "event_id", "ts", F.col("stage").alias("value"))
-    return rows.withWatermark("ts", late).groupBy("task").transformWithStateInPandas(
-        statefulProcessor=_Changes(slice_ms), outputStructType=CHANGES, outputMode="Append",
-        timeMode="EventTime",
-    )
+    rows = events.select(F.col(task).cast("string").alias("key"), "event_id", "ts", F.col("stage").alias("value"))
+    return _rows_in_order(rows, late, _Changes(slice_ms), CHANGES)
 
 
 def terminal(events: DataFrame, task: str = "task") -> DataFrame:
@@ -142,32 +206,27 @@ class _Lives(InOrder):
         super().init(handle)
         self.until = handle.getValueState("until", "at long")
 
-    def ordered(self, key, rows: list) -> list:
+    def ordered(self, rows: Iterator[list]) -> Iterator[tuple]:
         until = self.until.get()[0] if self.until.exists() else None
-        out = []
+        before = until
         for at, event_id, _ in rows:
             if until is None or at >= until:
-                out.append((at, event_id))
+                yield at, event_id
                 until = at + self.life
-        self.until.update((until,))
-        self.handle.registerTimer(self._end(until))  # then the key is forgotten
-        return out
-
-    def _end(self, until: int) -> int:
-        """A timer just after the slice in which the lifetime ends, whose rows still need it."""
-        return (until // (1000 * self.width) + 1) * self.width + 1
+        if until != before:
+            self.until.update((until,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if at % self.width == 0:
-            yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        elif self.until.exists() and self._end(self.until.get()[0]) == at:
-            self.until.clear()
+    def idle(self, mark: int) -> int | None:
+        if not self.until.exists():
+            return None
+        end = self._over(self.until.get()[0])  # the rows of this slice still need it
+        if end > mark:
+            return end
+        self.until.clear()
+        return None
 
-    def frame(self, key, out: list) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=["ts", "event_id"])
-        made["ts"] = pd.to_datetime(made["ts"], unit="us")
-        return made.assign(key=str(key[0]))[["key", "event_id", "ts"]]
+    def row(self, key, out: tuple) -> Row:
+        return Row(key=key[0], event_id=out[1], at=out[0])
 
 
 def ttl_ids(events: DataFrame, key: str, ttl_ms: int, late: str = "1 day", slice_ms: int = 3_600_000) -> DataFrame:
@@ -177,10 +236,7 @@ def ttl_ids(events: DataFrame, key: str, ttl_ms: int, late: str = "1 day", slice
     dropped from state when its lifetime is over.  Needs the RocksDB state store.
     """
     rows = events.select(F.col(key).cast("string").alias("key"), "event_id", "ts", F.lit("").alias("value"))
-    return rows.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Lives(slice_ms, ttl_ms), outputStructType="key string, event_id long, ts timestamp",
-        outputMode="Append", timeMode="EventTime",
-    )
+    return _rows_in_order(rows, late, _Lives(slice_ms, ttl_ms), "key string, event_id long, at long")
 
 
 class _Stale(StatefulProcessor):
