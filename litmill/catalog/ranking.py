@@ -9,7 +9,7 @@ from litmill.catalog import adapters as A
 from litmill.catalog import query
 from litmill.catalog.rules import DOC_TEXTS, DUCK_DESIGN, _TYPES, design, doc_texts
 from litmill.catalog.scalars import Q_RECENCY
-from litmill.functions import dates
+from litmill.functions import dates, values
 from litmill.operators import rank, routing
 from litmill.operators.search import Concept
 from litmill.plans import corpus
@@ -91,13 +91,11 @@ DUCK_CAND = f"""{DUCK_KW}, q as (select embedding as e from embeddings where vec
 
 def candidates(spark, sf_dir):
     """Scored candidates, written once: ranking and decision read them several times."""
-    from litmill.functions.values import cosine_to
-
     e = A.table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id = 0").select("embedding").first()[0]
     rows = keyword_rows(spark, sf_dir).join(e.select(F.col("vec_id").alias("article_id"), "embedding"), "article_id", "left")
-    out = rank.candidate_score(rows, F.round(cosine_to(F.col("embedding"), q), 5)).drop("embedding")
-    return scale.stage(out.withColumn("candidate_score", F.round("candidate_score", 4)), "candidates")
+    out = rank.candidate_score(rows, F.round(values.cosine_to(F.col("embedding"), q), 5)).drop("embedding")
+    return scale.stage(out.withColumn("candidate_score", values.rounded(F.col("candidate_score"), 4)), "candidates")
 
 
 @query("a04_candidate_score", f"with {DUCK_CAND} select article_id, cosine, round(semantic_score, 4) as semantic_score, candidate_score from cand")

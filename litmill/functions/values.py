@@ -144,3 +144,12 @@ class Nearest:
         for q, held in enumerate(self.best):
             for score, key in held:
                 yield q, key, -score
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """``c`` to so many digits by its scaled binary value, as the SQL twins round it.
+
+    Spark's own ``round`` goes by the decimal notation of ``c``, which differs where the next digit is a 5.
+    """
+    scale = float(10**digits)
+    return F.round(c * scale) / scale

@@ -162,3 +162,15 @@ def test_hydrated_plans_do_not_use_nested_loops(spark, sf):
 def test_filters_reach_the_scan(spark, sf):
     df = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey = 5").select("o_custkey")
     assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,5)]" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_round_as_their_sql(spark):
+    import duckdb
+
+    from litmill.functions import values
+
+    # Keyword, semantic and recency scores whose sum has a 5 behind its fourth digit.
+    cases = [(7.0, -0.05383, 60.0815), (7.0, -0.04285, 60.0815), (18.9, -0.15748, 60.0815), (44.1, -0.12284, 60.0815), (0.0, -0.02663, 60.0815)]
+    sums = [0.5 * k + 0.4 * ((c + 1) / 2 * 100) + 0.1 * r for k, c, r in cases]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in sums], "x double").select(values.rounded(F.col("x"), 4)).collect()]
+    assert got == [duckdb.connect().execute("select round(cast(? as double), 4)", [x]).fetchone()[0] for x in sums]
