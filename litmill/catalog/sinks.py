@@ -71,7 +71,7 @@ def upsert_resources(spark, sf_dir):
     r = resources(spark, sf_dir)
     old = r.filter("page_id % 2 = 0 and page_id % 3 <> 0").select(
         "article_id", "url", "format", F.lit("L").alias("landing_url"), "is_open_access", "is_downloadable",
-        (F.col("is_preferred") & F.col("is_downloadable")).alias("is_preferred"))
+        (F.col("is_preferred") & F.col("is_downloadable")).alias("is_preferred"), F.col("page_id").alias("record_seq"))
     new = r.filter("page_id % 2 = 1 or page_id % 4 = 0").select(
         "article_id", "url", "format", F.lit("").alias("landing_url"), (F.col("page_id") % 3 == 0).alias("is_open_access"),
         (F.col("page_id") % 4 == 0).alias("is_downloadable"), F.lit(False).alias("is_preferred"),

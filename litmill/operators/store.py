@@ -173,19 +173,23 @@ def upsert_resources(store: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Flags only ever turn true; the first landing page stays; a new preferred
     resource demotes the old one.  ``seq`` orders the incoming rows (null = stored).
+    Stored rows that share a link go by ``record_seq`` if they have one, so the
+    result never hangs on the order in which rows are read.
     """
     old = store.withColumn("_seq", F.lit(-1).cast("long")).withColumn("_new", F.lit(False))
     new = incoming.withColumnRenamed("seq", "_seq").withColumn("_new", F.lit(True))
     rows = old.unionByName(new, allowMissingColumns=True)
+    rows = rows if "record_seq" in rows.columns else rows.withColumn("record_seq", F.lit(None).cast("long"))
+    order = F.struct("_seq", "record_seq", format_rank(F.col("format")), "format", "landing_url")
     merged = rows.groupBy("article_id", "url").agg(
-        F.min_by("format", "_seq").alias("format"),
-        F.min_by("landing_url", F.when(F.col("landing_url") != "", F.col("_seq"))).alias("landing_url"),
+        F.min_by("format", order).alias("format"),
+        F.min_by("landing_url", F.when(F.col("landing_url") != "", order)).alias("landing_url"),
         # A stored false stays unless an incoming row says true.
         F.coalesce(
-            F.when(F.bool_or("is_open_access"), F.lit(True)), F.min_by("is_open_access", "_seq")
+            F.when(F.bool_or("is_open_access"), F.lit(True)), F.min_by("is_open_access", order)
         ).alias("is_open_access"),
         F.coalesce(
-            F.when(F.bool_or("is_downloadable"), F.lit(True)), F.min_by("is_downloadable", "_seq")
+            F.when(F.bool_or("is_downloadable"), F.lit(True)), F.min_by("is_downloadable", order)
         ).alias("is_downloadable"),
         F.bool_or(F.coalesce("is_preferred", F.lit(False)) & ~F.col("_new")).alias("_was"),
     )

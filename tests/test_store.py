@@ -83,3 +83,12 @@ def test_forest_equals_one_batch(spark):
         assert rows(forest.clusters(spark)) == rows(want)
     # The late batch wrote its own members and the names it changed, nothing else.
     assert dict(rows(forest.clusters(spark).filter("record_id >= 1000")))["1000"] == "-5"
+
+
+def test_stored_links_that_repeat(spark):
+    kind = "article_id string, url string, format string, landing_url string, is_open_access boolean, is_downloadable boolean, is_preferred boolean, record_seq long"
+    twins = [("a", "u", "text", "late", False, True, False, 9), ("a", "u", "html", "early", False, False, True, 2)]
+    new = spark.createDataFrame([], kind.replace("record_seq", "seq long, record_seq"))
+    for stored in (twins, twins[::-1]):
+        got = store.upsert_resources(spark.createDataFrame(stored, kind).coalesce(1), new).first()
+        assert (got.format, got.landing_url, got.is_downloadable, got.is_preferred) == ("html", "early", True, True)
