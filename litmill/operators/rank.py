@@ -186,12 +186,13 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, key: str, vec: s
 
 
 def nearest_many(
-    vectors: DataFrame, queries: DataFrame, k: int, key: str, vec: str, query_key: str = "query_id", block: int = 1024
+    vectors: DataFrame, queries: DataFrame, k: int, key: str, vec: str, query_key: str = "query_id", block: int = 1024,
+    piece: int = 2048,
 ) -> DataFrame:
     """(query_key, key, cosine, position): the k vectors most like each query, all vectors compared with all queries.
 
     Queries go to the tasks in blocks of ``block`` rows.  A task multiplies its
-    vectors, a batch at a time, with the block and keeps k rows for each query,
+    vectors, ``piece`` rows at a time, with the block and keeps k rows for each query,
     so what leaves it is bounded, and no pair becomes a row.  Cosines are
     rounded to nine digits before they are ranked; ties go to the lesser key.
     Rows without a vector take no part.
@@ -214,8 +215,9 @@ def nearest_many(
             best = values.Nearest(len(names), k)
             for batch in batches:
                 held = batch.filter(batch.column(vec).is_valid())
-                if held.num_rows:
-                    best.add(held.column(key).to_pylist(), values.unit_rows(held.column(vec).to_pylist()) @ unit.T)
+                for i in range(0, held.num_rows, piece):
+                    few = held.slice(i, piece)
+                    best.add(few.column(key).to_pylist(), values.unit_rows(few.column(vec).to_pylist()) @ unit.T)
             found = list(best.rows())
             if found:
                 at, keys, cosine = zip(*found)
