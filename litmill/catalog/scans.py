@@ -1,6 +1,5 @@
 """Readers, driven over files that Spark derives from the test tables."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from litmill import scale
@@ -21,18 +20,26 @@ def _xml(c):
     return c
 
 
+def wrapped(root):
+    """Batches of lines between the tags of a root element; they pass through as they are, none is unpacked."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": [f"<{root}>"]})
+        yield from batches
+        yield pa.RecordBatch.from_pydict({"value": [f"</{root}>"]})
+
+    return run
+
+
 def _write_lines(df, col, root=None):
     """Write one text per row into a new folder, each file inside a root element if one is named."""
     path = scale.new_path(df.sparkSession, "derived")
     lines = df.select(F.col(col).alias("value"))
     if root:
 
-        def wrap(parts):
-            yield pd.DataFrame({"value": [f"<{root}>"]})
-            yield from parts
-            yield pd.DataFrame({"value": [f"</{root}>"]})
-
-        lines = lines.mapInPandas(wrap, "value string")
+        lines = lines.mapInArrow(wrapped(root), "value string")
     lines.write.text(path)
     return path
 
