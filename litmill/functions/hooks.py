@@ -29,6 +29,12 @@ def hashed_words(texts: Sequence[str], size: int = 64) -> list[list[float]]:
     return out
 
 
+def _slices(part: pd.DataFrame, rows: int) -> Iterator[pd.DataFrame]:
+    """A frame in pieces, so that what is made of one leaves before the next is made."""
+    for i in range(0, len(part), rows):
+        yield part.iloc[i : i + rows]
+
+
 def embed(df: DataFrame, col: str, make: Callable[[], EmbedFn], batch: int = 64, out: str = "embedding") -> DataFrame:
     """Add vectors.  ``make`` is called once per task and returns the embedding function."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
@@ -36,32 +42,31 @@ def embed(df: DataFrame, col: str, make: Callable[[], EmbedFn], batch: int = 64,
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = make()
         for part in parts:
-            texts, vectors = part[col].tolist(), []
-            for i in range(0, len(texts), batch):
-                got = list(fn(texts[i : i + batch]))
-                if len(got) != len(texts[i : i + batch]):
+            for few in _slices(part, batch):
+                vectors = list(fn(few[col].tolist()))
+                if len(vectors) != len(few):
                     raise RuntimeError("the embedding function must give one vector per text")
-                vectors.extend(got)
-            yield part.assign(**{out: vectors})
+                yield few.assign(**{out: vectors})
 
     return df.mapInPandas(run, schema)
 
 
 def assess(
-    df: DataFrame, fn: Callable[[dict], list[dict]], schema: str, attempts: int = 2
+    df: DataFrame, fn: Callable[[dict], list[dict]], schema: str, attempts: int = 2, chunk: int = 64
 ) -> DataFrame:
     """Run a user's assessment of each article; failures become rows with an error, not a lost job.
 
     ``fn`` takes one row as a dict and returns rows of ``schema``; the columns
-    ``attempts`` and ``error_type`` are added.
+    ``attempts`` and ``error_type`` are added.  The answers of ``chunk`` articles
+    at a time leave the task.
     """
     full = T.StructType.fromDDL(f"{schema}, attempts int, error_type string")
     names = full.fieldNames()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for few in (f for part in parts for f in _slices(part, chunk)):
             rows: list[dict] = []
-            for item in part.to_dict("records"):
+            for item in few.to_dict("records"):
                 error, tried = None, 0
                 while tried < attempts:
                     tried += 1
