@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,24 +80,29 @@ def check_batches(
     missing_frozen_spans, any other bad reference an invalid_evidence_span.
     """
     known = articles.select("article_id").distinct().withColumn("_known", F.lit(True))
-    listed = batch_articles.groupBy("batch_id", "article_id").agg(F.count("*").alias("_times"))
-    given = assessed.select("batch_id", "article_id").distinct().withColumn("_assessed", F.lit(True))
-    fresh = criteria.groupBy("batch_id", "article_id").agg(
-        F.avg("score").alias("_mean"), F.count("score").alias("_applicable")
-    )
-    stored = scores.groupBy("batch_id", "article_id").agg(
-        F.count("*").alias("_scored"),
-        F.min("quality_score").alias("_low"),
-        F.max("quality_score").alias("_high"),
-        F.count_if(F.col("quality_score").isNull()).alias("_no_score"),
-    )
-    keys = ["batch_id", "article_id"]
-    rows = (
-        listed.join(known, ["article_id"], "left")
-        .join(given, keys, "full_outer")
-        .join(stored, keys, "full_outer")
-        .join(fresh, keys, "left")
-    )
+    # All four tables meet in one aggregation, which a task can spill, not in joins that each hold a sorted table.
+    parts = [
+        batch_articles.select("batch_id", "article_id").join(known, ["article_id"], "left").withColumn("_kind", F.lit(0)),
+        assessed.select("batch_id", "article_id").withColumn("_kind", F.lit(1)),
+        scores.select("batch_id", "article_id", F.col("quality_score").alias("_v")).withColumn("_kind", F.lit(2)),
+        criteria.select("batch_id", "article_id", F.col("score").alias("_v")).withColumn("_kind", F.lit(3)),
+    ]
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    # Rows without a key agree with no row of another table.
+    alone = F.when(F.col("batch_id").isNull() | F.col("article_id").isNull(), F.col("_kind"))
+    kind = lambda k: F.col("_kind") == k
+    some_of = lambda k: F.nullif(F.count_if(kind(k)), F.lit(0))
+    rows = every.groupBy("batch_id", "article_id", alone.alias("_alone")).agg(
+        some_of(0).alias("_times"),
+        F.bool_or("_known").alias("_known"),
+        F.max(F.when(kind(1), F.lit(True))).alias("_assessed"),
+        some_of(2).alias("_scored"),
+        F.min(F.when(kind(2), F.col("_v"))).alias("_low"),
+        F.max(F.when(kind(2), F.col("_v"))).alias("_high"),
+        F.count_if(kind(2) & F.col("_v").isNull()).alias("_no_score"),
+        F.avg(F.when(kind(3), F.col("_v"))).alias("_mean"),
+        F.count(F.when(kind(3), F.col("_v"))).alias("_applicable"),
+    ).filter("_times is not null or _assessed or _scored is not null")
     calc = F.lit(5.0) + F.lit(5.0) * F.col("_mean")
     off = quality.apart(F.col("_low"), calc, tolerance) | quality.apart(F.col("_high"), calc, tolerance)
     per = rows.groupBy("batch_id").agg(
