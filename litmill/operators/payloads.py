@@ -2,8 +2,9 @@
 
 A ledger row holds all that its check needs, so everything here is one
 expression over parsed, nested values: no row is exploded and nothing is
-shuffled but the ids of the articles.  A field that is missing and one that is
-null count alike.
+shuffled but the ids of the articles.  Each payload is parsed once, for the
+kind of batch it belongs to.  A field that is missing and one that is null
+count alike.
 """
 
 from __future__ import annotations
@@ -60,10 +61,10 @@ def _yes(c: Column) -> Column:
 
 
 def _all(*conditions: Column) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & _yes(c)
-    return out
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return _yes(out)
 
 
 def _list(c: Column) -> Column:
@@ -86,7 +87,7 @@ def _ids(c: Column, field: str | None = None) -> Column:
 
 def _same(a: Column, b: Column) -> Column:
     """Equal as sets."""
-    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+    return F.sort_array(F.array_distinct(a)) == F.sort_array(F.array_distinct(b))
 
 
 def _distinct(c: Column) -> Column:
@@ -98,7 +99,9 @@ def _within(c: Column, other: Column) -> Column:
 
 
 def _text(c: Column, most: int, least: int = 1) -> Column:
-    return F.length(F.trim(F.coalesce(c, F.lit("")))).between(least, most)
+    # Few texts are long enough to count again without their blanks.
+    short = (F.length(c) <= most) | (F.length(F.trim(c)) <= most)
+    return short & (F.trim(c) != "") if least else c.isNull() | short
 
 
 def _one_of(c: Column, values: tuple[str, ...], optional: bool = False) -> Column:
@@ -132,11 +135,18 @@ def _cited(frozen: Column, article: Column, ids: Column) -> Column:
     return _all(F.exists(frozen, lambda f: f["id"] == F.lower(article)), _within(ids, own), _distinct(ids))
 
 
-def valid_assessment(a: Column, study_type: Column) -> Column:
-    """Whether a parsed assessment keeps the contract of a batch of the given study type."""
-    rubric = F.create_map(
-        *[x for t, c in RUBRICS.items() for x in (F.lit(t), F.array_sort(F.array(*[F.lit(k) for k in c])))]
-    )
+def criteria_of(study_type: Column) -> Column:
+    """Criteria of a study type in order; null for an unknown one."""
+    pairs = [x for t, c in RUBRICS.items() for x in (F.lit(t), F.array(*[F.lit(k) for k in sorted(c)]))]
+    return F.try_element_at(F.create_map(*pairs), study_type)
+
+
+def valid_assessment(a: Column, study_type: Column, rubric: Column, given: Column, rel: Column, qual: Column, ids: Column) -> Column:
+    """Whether a parsed assessment keeps the contract of a batch of the given study type.
+
+    rubric: its criteria.  given, rel, qual, ids: the articles that the
+    assessment names, rates for relevance, rates for quality and is about.
+    """
 
     def criterion(c: Column) -> Column:
         status = F.trim(c["status"])
@@ -153,16 +163,13 @@ def valid_assessment(a: Column, study_type: Column) -> Column:
         )
 
     def quality(q: Column) -> Column:
-        named = F.array_sort(F.transform(q["criteria"], lambda c: F.trim(c["criterion_id"])))
+        named = F.sort_array(F.transform(q["criteria"], lambda c: F.trim(c["criterion_id"])))
         return _all(
             q["article_id"].rlike(UUID), F.coalesce(F.trim(q["study_type"]), study_type) == study_type,
-            named == F.try_element_at(rubric, study_type), _each(q["criteria"], criterion),
+            named == rubric, _each(q["criteria"], criterion),
             *(_remarks(q[k], MOST_REMARKS) for k in ("strengths", "limitations", "evidence_gaps")), q["confidence"].between(0, 1),
         )
 
-    given = _ids(a["article_ids"])
-    rel, qual = _ids(a["relevance_assessments"], "article_id"), _ids(a["quality_assessments"], "article_id")
-    ids = assessed_ids(a)
     return _all(
         a["_bad"].isNull(), F.size(a["relevance_assessments"]).between(1, MOST_ARTICLES),
         F.size(a["quality_assessments"]).between(1, MOST_ARTICLES), _each(a["relevance_assessments"], relevance),
@@ -171,19 +178,16 @@ def valid_assessment(a: Column, study_type: Column) -> Column:
     )
 
 
-def assessed_ids(a: Column) -> Column:
-    """Articles an assessment is about: those it names, or those it rates for relevance."""
-    given = _ids(a["article_ids"])
-    return F.when(F.size(given) > 0, given).otherwise(F.array_distinct(_ids(a["relevance_assessments"], "article_id")))
+def valid_evaluation(e: Column, frozen: Column, candidates: Column, named: Column, own: Column, expected: Column) -> Column:
+    """Whether a parsed portfolio evaluation keeps its contract and cites frozen spans only.
 
-
-def valid_evaluation(e: Column, frozen: Column) -> Column:
-    """Whether a parsed portfolio evaluation keeps its contract and cites frozen spans only."""
-    candidates = F.transform(frozen, lambda f: f["id"])
+    candidates, named, own, expected: the articles that are frozen, that the
+    evaluation names, that it rates and that it is about.
+    """
 
     def covered(c: Column) -> Column:
         evidence, checked, ids = _ids(c["evidence_article_ids"]), _ids(c["checked_article_ids"]), _list(c["evidence_span_ids"])
-        own = lambda article: F.filter(ids, lambda x: F.startswith(x, F.concat(article, F.lit(":"))))
+        cited = lambda article: F.filter(ids, lambda x: F.startswith(x, F.concat(article, F.lit(":"))))
         absent = F.trim(c["status"]) == "absent"
         return _all(
             _text(c["concept"], 1 << 30), _one_of(c["status"], COVERAGE), _text(c["reason"], REASON), _distinct(evidence),
@@ -191,8 +195,8 @@ def valid_evaluation(e: Column, frozen: Column) -> Column:
             F.when(absent, (F.size(ids) == 0) & (F.size(checked) > 0)).otherwise(
                 _all(
                     F.size(evidence) > 0, F.size(ids) > 0,
-                    F.aggregate(evidence, F.lit(0), lambda n, x: n + F.size(own(x))) == F.size(ids),
-                    _each(evidence, lambda x: (F.size(own(x)) > 0) & _cited(frozen, x, own(x))),
+                    F.aggregate(evidence, F.lit(0), lambda n, x: n + F.size(cited(x))) == F.size(ids),
+                    _each(evidence, lambda x: (F.size(cited(x)) > 0) & _cited(frozen, x, cited(x))),
                 )
             ),
         )
@@ -206,9 +210,6 @@ def valid_evaluation(e: Column, frozen: Column) -> Column:
         )
 
     j, q, contributions = e["joint_query_coverage"], e["query_coverage"], e["article_contributions"]
-    own = _ids(contributions, "article_id")
-    named = _ids(e["candidate_article_ids"])
-    expected = F.when(F.size(named) > 0, named).otherwise(own)
     evidence, checked = _ids(j["evidence_article_ids"]), _ids(j["checked_article_ids"])
     spans, positive = _list(j["evidence_span_ids"]), j["evidence_by_article"]
     none = F.coalesce(F.cardinality(positive), F.lit(0)) <= 0
@@ -273,61 +274,72 @@ def check_ledger(ledger: DataFrame, articles: DataFrame, tolerance: float = 1e-9
     asked = listed.select("batch_id", F.explode(F.array_distinct("_ids")).alias("_id"))
     known = articles.select(F.lower(F.col("article_id").cast("string")).alias("_id")).distinct()
     lost = asked.join(known, "_id", "left_anti").select("batch_id").distinct().withColumn("_lost", F.lit(True))
-    rows = listed.join(lost, "batch_id", "left").withColumns(
+    t, ids, state = F.col("study_type"), F.col("_ids"), F.col("status")
+    has_a, has_s = F.col("assessment_payload").isNotNull(), F.col("score_payload").isNotNull()
+    known_type, is_portfolio = _yes(t.isin(*STUDY_TYPES)), _yes(t == PORTFOLIO)
+    over = state.isin("failed", "pending", "processing")
+    rated = known_type & ~is_portfolio & ~_yes(over)
+    offering = is_portfolio & ~_yes(over)
+    rows = listed.withColumns(
         {
-            "_a": _parsed("assessment_payload", ASSESSMENT), "_e": _parsed("assessment_payload", EVALUATION),
-            "_i": _parsed("input_payload", INPUT), "_s": F.from_json("score_payload", SCORES),
+            "_a": F.when(rated, _parsed("assessment_payload", ASSESSMENT)),
+            "_e": F.when(offering, _parsed("assessment_payload", EVALUATION)),
+            "_i": F.when(rated | offering, _parsed("input_payload", INPUT)),
+            "_s": F.when(rated, F.from_json("score_payload", SCORES)),
+            "_rubric": F.when(rated, criteria_of(t)),
         }
     )
-    a, e, t, ids = F.col("_a"), F.col("_e"), F.col("study_type"), F.col("_ids")
-    has_a, has_s = F.col("assessment_payload").isNotNull(), F.col("score_payload").isNotNull()
-    known_type = _yes(t.isin(*STUDY_TYPES))
+    a, e = F.col("_a"), F.col("_e")
     empty = F.array().cast("array<struct<id: string, spans: array<string>>>")
     rows = rows.withColumns(
         {
-            "_valid": F.when(known_type & has_a, valid_assessment(a, t)),
-            "_about": assessed_ids(a),
-            "_frozen": F.coalesce(span_lists(F.col("_i.batch.articles")), empty),
-            "_offered": F.coalesce(span_lists(F.col("_i.input.candidate_articles")), empty),
+            "_given": _ids(a["article_ids"]), "_rel": _ids(a["relevance_assessments"], "article_id"),
+            "_qual": _ids(a["quality_assessments"], "article_id"),
+            "_frozen": F.when(rated, F.coalesce(span_lists(F.col("_i.batch.articles")), empty)).otherwise(empty),
+            "_offered": F.when(offering, F.coalesce(span_lists(F.col("_i.input.candidate_articles")), empty)).otherwise(empty),
         }
     )
+    given, rel, qual = F.col("_given"), F.col("_rel"), F.col("_qual")
+    # Articles an assessment is about: those it names, or those it rates for relevance.
+    rows = rows.withColumn("_about", F.when(F.size(given) > 0, given).otherwise(F.array_distinct(rel)))
+    rows = rows.withColumn(
+        "_valid", F.when(rated & has_a, valid_assessment(a, t, F.col("_rubric"), given, rel, qual, F.col("_about")))
+    )
     # What cites spans: relevance ratings and criteria, each with its article.
     cite = lambda x, ids_: F.struct(F.lower(x["article_id"]).alias("id"), _list(ids_).alias("spans"))
+    citing = lambda c: F.filter(c, lambda x: F.size(x["evidence_span_ids"]) > 0)
     cites = F.concat(
-        F.transform(a["relevance_assessments"], lambda r: cite(r, r["evidence_span_ids"])),
-        F.flatten(F.transform(a["quality_assessments"], lambda q: F.transform(q["criteria"], lambda c: cite(q, c["evidence_span_ids"])))),
+        F.transform(citing(a["relevance_assessments"]), lambda r: cite(r, r["evidence_span_ids"])),
+        F.flatten(
+            F.transform(a["quality_assessments"], lambda q: F.transform(citing(q["criteria"]), lambda c: cite(q, c["evidence_span_ids"])))
+        ),
     )
-    frozen = F.col("_frozen")
-    cites = F.filter(cites, lambda c: F.size(c["spans"]) > 0)
+    frozen, sound = F.col("_frozen"), _yes(F.col("_valid"))
     is_frozen = lambda c: F.exists(frozen, lambda f: f["id"] == c["id"])
     own_prefix = lambda c: _each(c["spans"], lambda s: F.startswith(s, F.concat(c["id"], F.lit(":"))))
 
     def calculated(q: Column) -> Column:
         """Quality score of an assessed article: none without an applicable criterion."""
         scores = F.array_compact(F.transform(q["criteria"], lambda c: status_score(F.trim(c["status"]))))
-        total = F.aggregate(scores, F.lit(0.0), lambda x, y: x + y)
-        return F.when(F.size(scores) > 0, F.lit(5.0) + F.lit(5.0) * total / F.size(scores))
+        mean = lambda x: F.lit(5.0) + F.lit(5.0) * F.aggregate(x, F.lit(0.0), lambda n, y: n + y) / F.size(x)
+        return F.get(F.transform(F.filter(F.array(scores), lambda x: F.size(x) > 0), mean), F.lit(0))
 
-    want = F.transform(a["quality_assessments"], lambda q: F.struct(F.lower(q["article_id"]).alias("id"), calculated(q).alias("score")))
+    # The assessment of a scored article is found by the place of its id, and its criteria are read once.
     stored = F.transform(
         F.col("_s"),
         lambda s: F.struct(
             F.lower(s["article_id"]).alias("id"), s["quality_score"].alias("stored"),
-            F.get(F.filter(F.col("_want"), lambda w: w["id"] == F.lower(s["article_id"])), F.lit(0))["score"].alias("score"),
+            calculated(F.get(a["quality_assessments"], F.array_position(qual, F.lower(s["article_id"])).cast("int") - 1)).alias("score"),
         ),
     )
-    rows = rows.withColumn("_cites", cites).withColumn("_want", want).withColumn(
-        "_stored", F.coalesce(stored, F.array().cast("array<struct<id: string, stored: double, score: double>>"))
-    )
+    empty = F.array().cast("array<struct<id: string, stored: double, score: double>>")
+    rows = rows.withColumn("_cites", F.when(sound, cites)).withColumn("_stored", F.when(sound, F.coalesce(stored, empty)).otherwise(empty))
     usable = lambda s: s["stored"].isNotNull() & s["score"].isNotNull()
     scored = F.transform(F.filter("_stored", usable), lambda s: s["id"])
-    sound = _yes(F.col("_valid"))
     some = lambda c, holds: _yes(F.exists(c, lambda x: _yes(holds(x))))
     any_frozen = F.size(frozen) > 0
+    listing_issues = codes((F.size(ids) == 0, "empty_article_ids"), (~_distinct(ids), "duplicate_article_ids"))
     article_issues = codes(
-        (F.size(ids) == 0, "empty_article_ids"),
-        (~_distinct(ids), "duplicate_article_ids"),
-        (_yes(F.col("_lost")), "missing_articles"),
         (~known_type, "unknown_study_type"),
         (~has_a, "missing_assessment_payload"),
         (~has_s, "missing_score_payload"),
@@ -349,23 +361,35 @@ def check_ledger(ledger: DataFrame, articles: DataFrame, tolerance: float = 1e-9
     )
     offered = F.col("_offered")
     checkable = has_a & (F.size(offered) > 0)
-    valid = valid_evaluation(e, offered)
-    named = _ids(e["candidate_article_ids"])
-    own = F.when(F.size(named) > 0, named).otherwise(_ids(e["article_contributions"], "article_id"))
+    rows = rows.withColumns(
+        {
+            "_candidates": F.transform(offered, lambda f: f["id"]), "_named": _ids(e["candidate_article_ids"]),
+            "_own": _ids(e["article_contributions"], "article_id"),
+        }
+    )
+    candidates, named, own, expected = (F.col(c) for c in ("_candidates", "_named", "_own", "_expected"))
+    rows = rows.withColumn("_expected", F.when(F.size(named) > 0, named).otherwise(own))
+    valid = valid_evaluation(e, offered, candidates, named, own, expected)
     portfolio_issues = codes(
         (F.size(offered) == 0, "missing_portfolio_input"),
         (~has_a, "missing_portfolio_payload"),
-        (checkable & F.col("_sound_e") & ~_same(own, F.transform(offered, lambda f: f["id"])), "portfolio_articles_mismatch"),
+        (checkable & F.col("_sound_e") & ~_same(expected, candidates), "portfolio_articles_mismatch"),
         (checkable & ~F.col("_sound_e"), "invalid_portfolio_payload"),
     )
-    state = F.col("status")
     stale = codes((~state.eqNullSafe("completed"), "unsupported_status"))
-    is_portfolio = F.coalesce(t == PORTFOLIO, F.lit(False))
-    found = F.concat(stale, F.when(is_portfolio, portfolio_issues).otherwise(article_issues))
-    rows = rows.withColumn("_sound_e", F.when(is_portfolio & checkable, valid).otherwise(F.lit(False)))
-    over = state.isin("failed", "pending", "processing")
-    return rows.withColumn("issues", F.when(over, F.array().cast("array<string>")).otherwise(found)).select(
-        "batch_id", "task_id", "study_type", F.size("_ids").alias("article_count"), "issues",
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("_sound_e", F.when(offering & checkable, valid).otherwise(F.lit(False)))
+    # Lost articles are told to rows that no longer hold their payloads.
+    thin = rows.select(
+        "batch_id", "task_id", "study_type", F.size("_ids").alias("article_count"), state.alias("_state"),
+        F.when(over, none).otherwise(F.concat(stale, F.when(is_portfolio, portfolio_issues).otherwise(listing_issues))).alias("_head"),
+        F.when(_yes(over) | is_portfolio, none).otherwise(article_issues).alias("_tail"),
+        (~_yes(over) & ~is_portfolio).alias("_asks"),
+    ).join(lost, "batch_id", "left")
+    missing = F.when(F.col("_asks") & _yes(F.col("_lost")), F.array(F.lit("missing_articles"))).otherwise(none)
+    state = F.col("_state")
+    return thin.withColumn("issues", F.concat("_head", missing, "_tail")).select(
+        "batch_id", "task_id", "study_type", "article_count", "issues",
         F.when(state == "failed", F.lit("failed"))
         .when(state.isin("pending", "processing"), F.lit("pending"))
         .when(F.size("issues") > 0, F.lit("invalid"))

@@ -169,3 +169,16 @@ def test_concepts_that_a_lookup_meets(spark):
     case = _lookup_case(spark)
     got = {r[0] for r in vocab.matched_concepts(*case).collect()}
     assert got == {r[1] for r in _lookup_by_hand(*case)}
+
+
+def test_ledger_payloads_meet_no_join(spark):
+    schema = ("batch_id long, task_id long, group_id string, study_type string, status string, article_ids array<string>, "
+              "input_payload string, assessment_payload string, score_payload string")
+    ledger = spark.createDataFrame([(1, 1, "g", "cohort", "completed", ["x", "y"], "{", "{", "{}")], schema)
+    articles = spark.createDataFrame([("x",)], "article_id string")
+    out = payloads.check_ledger(ledger, articles)
+    assert out.collect()[0]["issues"] == ["missing_articles", "invalid_assessment_payload"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # Above the topmost join nothing is parsed or judged.
+    top = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert not any(word in line for line in plan[:top] for word in ("from_json", "assessment_payload", "forall"))
