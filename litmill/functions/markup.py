@@ -41,26 +41,32 @@ def decode_entities(c: Column) -> Column:
     semicolon too, the longest that fits.  A number without a character becomes
     U+FFFD; what is no reference stays.
     """
-    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    # Maps are read from end to end, so names go by their first letter and whole texts without a reference are let by.
+    letters: dict[str, dict[str, str]] = {}
+    for name, chars in html5.items():
+        letters.setdefault(name[0], {})[name] = chars
+    names = F.from_json(F.lit(json.dumps(letters)), "map<string,map<string,string>>")
     old = F.create_map(*[F.lit(x) for kv in _OLD.items() for x in kv])
+    find = lambda name: F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
 
-    def one(part: Column) -> Column:
-        number = F.nullif(F.regexp_extract(part, r"^&#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", 0), F.lit(""))
+    def numbered(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^&#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", 0)
         digits = F.regexp_replace(number, r"^&#[xX]?0*|;$", "")
-        sixteen = number.rlike("^&#[xX]")
         code = F.when(F.length(digits) > 7, 0x110000).otherwise(
-            F.when(sixteen, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+            F.when(part.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
         )
         code = F.coalesce(code, F.lit(0))
         char = F.coalesce(F.try_element_at(old, code), _character(code), F.lit("\ufffd"))
-        name = F.nullif(F.regexp_extract(part, r"^&([A-Za-z][A-Za-z0-9]*;)", 1), F.lit(""))
-        bare = F.nullif(F.regexp_extract(part, f"^&({'|'.join(_BARE)})", 1), F.lit(""))
-        whole = F.try_element_at(names, name)
-        used = F.when(number.isNotNull(), F.length(number)).otherwise(
-            F.length(F.when(whole.isNotNull(), name).otherwise(bare)) + 1
-        )
-        text_of = F.when(number.isNotNull(), char).otherwise(F.coalesce(whole, F.try_element_at(names, bare)))
-        return F.when(text_of.isNull(), part).otherwise(F.concat(text_of, F.substring(part, used + 1, F.length(part))))
+        return F.when(number == "", part).otherwise(F.concat(char, F.substring(part, F.length(number) + 1, F.length(part))))
+
+    def named(part: Column) -> Column:
+        whole = F.regexp_extract(part, "^&([A-Za-z][A-Za-z0-9]*;)", 1)
+        bare = F.regexp_extract(part, f"^&({'|'.join(_BARE)})", 1)
+        rest = lambda name: F.substring(part, F.length(name) + 2, F.length(part))
+        return F.coalesce(F.concat(find(whole), rest(whole)), F.concat(find(bare), rest(bare)), part)
+
+    def one(part: Column) -> Column:
+        return F.when(part.startswith("&#"), numbered(part)).when(part.startswith("&"), named(part)).otherwise(part)
 
     return F.array_join(F.transform(F.split(c, r"(?=&#?[0-9A-Za-z])"), one), "")
 
@@ -69,6 +75,8 @@ def decode_entities(c: Column) -> Column:
 # a tag with more values ends at its first closing sign.
 _REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+){0,300}+>"""
 _RAW = "script|style"
+# White space that is not one blank already.
+_ODD_SPACE = f" {text.SPACE}+|[{text.SPACE}&&[^ ]]{text.SPACE}*"
 
 
 def html_text(c: Column) -> Column:
@@ -79,7 +87,9 @@ def html_text(c: Column) -> Column:
     a fragment without text.
     """
     bare = F.regexp_replace(c, r"(?s)<!--.*?(?:-->|\z)", "")
-    pieces = F.split(bare, rf"(?i)(?=<(?:{_RAW})[\s/>])|(?<=</script>)|(?<=</style>)")
+    cut = rf"(?i)(?=<(?:{_RAW})[\s/>])|(?<=</script>)|(?<=</style>)"
+    # One look for a tag to cut at spares most texts the search at every place.
+    whole_or_cut = lambda x: F.when(x.rlike(rf"(?i)</?(?:{_RAW})[\s/>]"), F.split(x, cut)).otherwise(F.array(x))
 
     def plain(x: Column) -> Column:
         x = F.regexp_replace(x, "<[!?][^>]*>|</[^A-Za-z>][^>]*>", "")
@@ -90,9 +100,13 @@ def html_text(c: Column) -> Column:
     def raw(x: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(x, f"^<[A-Za-z]{_REST}", ""), rf"(?i)</(?:{_RAW})>$", "")
 
-    whole = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(rf"^(?i)<(?:{_RAW})[\s/>]"), raw(x)).otherwise(plain(x))), "")
-    lines = F.transform(F.split(whole, _LINE_ENDS), text.collapse)
-    return text.null_if_empty(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
+    def read(x: Column) -> Column:
+        done = F.transform(whole_or_cut(x), lambda x: F.when(x.rlike(rf"^(?i)<(?:{_RAW})[\s/>]"), raw(x)).otherwise(plain(x)))
+        lines = F.transform(F.split(F.array_join(done, ""), _LINE_ENDS), lambda x: F.trim(F.regexp_replace(x, _ODD_SPACE, " ")))
+        return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+    # A list of one, so that the fragment is read once for the test and for the result.
+    return F.get(F.filter(F.transform(F.array(bare), read), lambda x: x != ""), F.lit(0))
 
 
 def sentence_bounds(c: Column, guard_abbreviations: bool = False) -> Column:

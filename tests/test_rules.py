@@ -2,6 +2,7 @@
 
 import html
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -182,3 +183,11 @@ def test_ledger_payloads_meet_no_join(spark):
     # Above the topmost join nothing is parsed or judged.
     top = next(i for i, line in enumerate(plan) if "Join" in line)
     assert not any(word in line for line in plan[:top] for word in ("from_json", "assessment_payload", "forall"))
+
+
+def test_html_is_read_once(spark):
+    df = spark.createDataFrame([("a   b\t\tc&nbsp;&eacute;&notit;<br> <style>x  &amp;</style>",), ("<p> </p>",), (None,)], "h string")
+    out = df.select(markup.html_text(F.col("h")).alias("x"))
+    assert [r["x"] for r in out.collect()] == ["a b c é¬it;\nx &amp;", None, None]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_replace\(h#", plan)) == 1
