@@ -30,8 +30,8 @@ def first_per_key(spark, sf_dir):
 )
 def ordered_distinct(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents")
-    w = d.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "item"))
-    return O.ordered_distinct(w, ["doc_id"], "item", "pos", text.list_key(F.col("item"))).select("doc_id", "item", "pos")
+    out = O.ordered_distinct_lists(d, ["doc_id"], F.split("text", " "), "item", "pos", text.list_key(F.col("item")))
+    return out.select("doc_id", "item", "pos")
 
 
 @query("w04_latest_by_key", "select user_id, event_type, arg_max(event_id, event_id) as event_id, arg_max(value, event_id) as value from events group by 1, 2")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from litmill import scale
 from litmill.operators import audit, ordering, portfolio, rank, resolve
 
@@ -148,3 +149,23 @@ def test_rows_without_vector_are_never_selected(spark):
     df = spark.createDataFrame([(1, None, True, "cohort"), (2, 9.0, True, "cohort")], "article_id long, candidate_score double, core_matched boolean, study_group string")
     out = {r["article_id"]: r["selection_status"] for r in rank.decide(df).collect()}
     assert out == {1: "no_vector", 2: "selected"}
+
+
+def test_lists_are_shuffled_before_they_are_unpacked(spark):
+    lists = [(1, ["b", "A", "a", ""]), (None, ["x", "X"]), (2, ["a"]), (3, None), (None, ["y"]), (4, [])]
+    df = spark.createDataFrame(lists, "g int, l array<string>").repartition(3)
+    out = ordering.ordered_distinct_lists(df, ["g"], F.col("l"), "item", "pos", F.lower("item"))
+    got = [(r["g"], r["item"], r["pos"]) for r in out.filter("g is not null").orderBy("g", "pos").collect()]
+    assert got == [(1, "b", 0), (1, "A", 1), (2, "a", 0)]
+    assert sorted(r["item"] for r in out.filter("g is null").collect()) == ["x", "y"]
+    d = spark.createDataFrame(lists, "g int, l array<string>")
+    unpacked = ordering.ordered_distinct_lists(d, ["g"], F.col("l"), "item", "pos", F.lower("item"))
+    plan = unpacked._jdf.queryExecution().sparkPlan().toString()
+    prepared = unpacked._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and prepared.count("Exchange hashpartitioning") == 1
+    assert prepared.index("Generate") < prepared.index("Exchange hashpartitioning")
+
+
+def test_ordered_distinct_query_moves_texts_only(spark, sf):
+    plan = entry.queries()["w03_ordered_distinct"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning")
