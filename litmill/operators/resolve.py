@@ -98,16 +98,24 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
     return not ends.groupBy("node").agg(wrong.alias("wrong")).agg(F.bool_or("wrong")).first()[0]
 
 
-def components(keys: DataFrame, max_rounds: int = 60) -> DataFrame:
+def staged_keys(records: DataFrame) -> DataFrame:
+    """Identity keys, written once: components and digests read them without the records."""
+    return scale.stage(identity_keys(records), "identity-keys")
+
+
+def components(keys: DataFrame, max_rounds: int = 60, staged: bool = False) -> DataFrame:
     """(record_id, cluster): records that share a key, directly or through others.
 
     ``cluster`` is the least record id of the component.  A key's holders are
     joined to its least holder (a star, never a clique), so a key held by a
     third of all records costs one row per record.  Large-star and small-star
     rounds then run until every component is one star; each round is written
-    out, which bounds lineage.  Records without keys are not listed.
+    out, which bounds lineage.  Records without keys are not listed.  ``staged``
+    keys are a table already and are not written again.
     """
-    keys = scale.stage(keys.select("record_id", "kind", "value"), "identity-keys")
+    keys = keys.select("record_id", "kind", "value")
+    if not staged:
+        keys = scale.stage(keys, "identity-keys")
     hubs = (
         keys.groupBy("kind", "value")
         .agg(F.min("record_id").alias("hub"), F.max("record_id").alias("_last"))
@@ -307,7 +315,7 @@ _FIRST_FILLED = (
 )
 
 
-def merge_clusters(records: DataFrame, clusters: DataFrame, pack_lists: bool = True) -> DataFrame:
+def merge_clusters(records: DataFrame, clusters: DataFrame, pack_lists: bool = True, texts: DataFrame | None = None) -> DataFrame:
     """One merged row per cluster.
 
     Lists are united into arrays of distinct items, whole at every size; where an
@@ -317,8 +325,10 @@ def merge_clusters(records: DataFrame, clusters: DataFrame, pack_lists: bool = T
     Thin fields are merged with map-side-combined aggregates.  Titles and
     abstracts stay out of that shuffle: only the winning record ids travel, and
     the texts join back by record id.  A preprint server is kept only when the
-    merged status is preprint, as the record contract demands.
+    merged status is preprint, as the record contract demands.  ``texts`` holds
+    the same records, others too, where reading them costs less than ``records``.
     """
+    texts = records if texts is None else texts
     order = member_order()
     members = assign(records, clusters)
     have = set(records.columns)
@@ -362,11 +372,11 @@ def merge_clusters(records: DataFrame, clusters: DataFrame, pack_lists: bool = T
             "preprint_server",
             F.when(F.col("peer_review_status") == "preprint", F.col("preprint_server")),
         )
-    identity = records.select(
+    identity = texts.select(
         F.col("record_id").alias("canonical_id"), "source", "source_record_id",
         "search_run_id", "title", "normalized_title",
     )
-    abstracts = records.select(F.col("record_id").alias("_abstract_id"), "abstract")
+    abstracts = texts.select(F.col("record_id").alias("_abstract_id"), "abstract")
     # Without any abstract the canonical member's own (blank) one is looked up, so that
     # no crowd of null keys meets in one task.
     merged = merged.withColumn("_abstract_id", F.coalesce("_abstract_id", "canonical_id"))

@@ -33,9 +33,10 @@ def resolve_corpus(rec: DataFrame, pack_lists: bool = True) -> Resolved:
     ``rec`` must be cheap to read again (a table, not a long lineage).
     """
     good, bad, runs = records.split_quarantine(rec)
-    keys = resolve.identity_keys(good)
-    clusters = scale.stage(resolve.components(keys), "clusters")
-    merged = resolve.merge_clusters(good, clusters, pack_lists)
+    keys = resolve.staged_keys(good)
+    clusters = scale.stage(resolve.components(keys, staged=True), "clusters")
+    # Winners are good records, so their texts are looked up without judging all records again.
+    merged = resolve.merge_clusters(good, clusters, pack_lists, rec)
     return Resolved(merged, clusters, keys, bad, runs)
 
 

@@ -169,3 +169,17 @@ def test_lists_are_shuffled_before_they_are_unpacked(spark):
 def test_ordered_distinct_query_moves_texts_only(spark, sf):
     plan = entry.queries()["w03_ordered_distinct"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+def test_keys_and_texts_are_read_without_the_records(spark, sf):
+    """The cluster ids read staged keys; the winners' texts come without the judgement of all records."""
+    from litmill.catalog import adapters
+    from litmill.plans import corpus
+
+    adapters.forget()
+    rec, keys, _ = adapters.resolved(spark, sf)
+    assert "md5" not in keys._jdf.queryExecution().optimizedPlan().toString()
+    assert keys.exceptAll(resolve.identity_keys(rec)).count() == 0 == resolve.identity_keys(rec).exceptAll(keys).count()
+    articles = corpus.resolve_corpus(rec).articles.select("canonical_id", "title")
+    plan = articles._jdf.queryExecution().optimizedPlan().toString()
+    assert "split_part" not in plan and "array_compact" not in plan and "issues" not in plan
