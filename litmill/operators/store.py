@@ -116,7 +116,8 @@ def new_articles(fresh: DataFrame) -> DataFrame:
 
 
 def upsert_articles(
-    store: DataFrame, incoming: DataFrame, matches: DataFrame, build_spans: bool = False
+    store: DataFrame, incoming: DataFrame, matches: DataFrame, build_spans: bool = False,
+    long_fields: Sequence[str] = LONG_FIELDS,
 ) -> DataFrame:
     """Next snapshot of the articles.
 
@@ -125,12 +126,13 @@ def upsert_articles(
     stay.  Unmatched records that match each other make one article, which the
     first of them founds and the others fill; it takes the first record id as a
     text id ("r" + id).  Running it twice changes nothing.  Spans are rebuilt
-    from the final texts if asked for.
+    from the final texts if asked for.  ``long_fields`` are kept out of the
+    aggregate; give none where ids stand for the texts.
     """
     both = [c for c in incoming.columns if c in store.columns]
     matches = scale.stage(matches.select("record_id", "article_id"), "matches")
-    long_text = [f for f in LONG_FIELDS if f in both]
-    fields = [f for f in FILL_FIELDS if f in both and f not in LONG_FIELDS]
+    long_text = [f for f in long_fields if f in both]
+    fields = [f for f in FILL_FIELDS if f in both and f not in long_text]
     lists = [f for f in FILL_LISTS if f in both]
     fresh = incoming.join(matches.select("record_id"), "record_id", "left_anti")
     firsts = scale.stage(new_articles(fresh), "new-articles")
