@@ -151,6 +151,17 @@ def test_lookup_pairs_by_cells(spark, monkeypatch):
     assert plan.index("Join") < (plan.index("Aggregate") if "Aggregate" in plan else len(plan))
 
 
+def test_lookup_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    case = _lookup_case(spark)
+    monkeypatch.setattr(vocab, "CELL", 4)
+    monkeypatch.setattr(vocab, "TASK_PAIRS", 60, raising=False)
+    found = vocab.vocab_lookup(*case).withColumn("_task", F.spark_partition_id())
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(r[:-1] for r in rows) == _lookup_by_hand(*case)
+    # About 500 pairs: so few rows meet that Spark alone would give them to one task.
+    assert len({r[-1] for r in rows}) > 3
+
+
 def test_first_match_of_each_keyword(spark):
     case = _lookup_case(spark)
     best = {}
